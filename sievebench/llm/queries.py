@@ -5,10 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievebench.llm import packing, splitting, tokens
+from sievebench.llm import leakage, near_duplicates, packing, splitting, tokens
 from sievebench.session import table
 
 
+def _all_queries(spark: SparkSession, folder: str) -> DataFrame:
+    columns = ("query_id", "text", "split", "source")
+    return table(spark, folder, "production_queries").select(*columns).unionByName(table(spark, folder, "synthetic_queries").select(*columns))
+
+
+def p1_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Every evaluation record with its largest overlap with a training text."""
+    return leakage.cross_split_overlaps(_all_queries(spark, folder), key="query_id")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """``query_id`` of the affected evaluation records."""
+    return p1_overlaps(spark, folder).filter("partners > 0").select("query_id").distinct()
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Affected records of each split and source."""
+    return leakage.leak_report(p1_overlaps(spark, folder))
+
+
+def _copies(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks").select(F.lit("chunk").alias("kind"), "ord", "text")
+    return chunks.unionByName(table(spark, folder, "synthetic_queries").select(F.lit("synthetic").alias("kind"), "ord", "text"))
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Each row with words, its group, the group's size, and whether it is the row to keep."""
+    return near_duplicates.group_report(near_duplicates.similar_groups(_copies(spark, folder), key="ord", kind="kind"), "ord")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """``kind, ord_a, ord_b``: every pair of rows in one group."""
+    return near_duplicates.group_pairs(near_duplicates.similar_groups(_copies(spark, folder), key="ord", kind="kind"), "ord")
+
+
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Every chunk cut into pieces of at most 1,000 characters, with doc_id, order and place."""
     cut = splitting.split_texts(table(spark, folder, "chunks"), keep=["ord", "chunk_id", "doc_id"])
@@ -49,6 +84,11 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_overlaps": p1_overlaps,
+    "p1_report": p1_report,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p7_ids": p7_ids,
