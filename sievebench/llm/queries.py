@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievebench.llm import leakage, near_duplicates, packing, splitting, tokens
+from sievebench.llm import leakage, near_duplicates, packing, splitting, subjects, tokens
 from sievebench.session import table
 
 
@@ -83,6 +83,21 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, folder))
 
 
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """How many sentences of each document concern each subject."""
+    return subjects.document_subjects(table(spark, folder, "documents"), table(spark, folder, "subject_examples"), key="doc_id")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id, subject`` where at least a quarter of the sentences are about the subject."""
+    return p9_shares(spark, folder).filter(F.col("about") >= subjects.SHARE * F.col("sentences")).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and sentences of each subject in the corpus."""
+    return subjects.composition(p9_shares(spark, folder))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_overlaps": p1_overlaps,
@@ -94,6 +109,9 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
+    "p9_found": p9_found,
+    "p9_shares": p9_shares,
+    "p9_composition": p9_composition,
 }
 
 SQL = {
