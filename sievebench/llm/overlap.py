@@ -129,7 +129,7 @@ class Signer:
         return bag, chunks, n_cold, order, hot
 
 
-def _sign_batches(hot, threshold: float, salts: dict[str, int] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sign_batches(hot, threshold: float, salts: dict[str, int] | None, sketch: Callable[[list[int]], bytes] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Kept columns, then text; the first kept column is the side, which ``salts`` may give a salt of its own.
 
     Equal bags of one side in a batch are signed once.
@@ -142,7 +142,7 @@ def _sign_batches(hot, threshold: float, salts: dict[str, int] | None) -> Callab
             n = batch.num_columns - 1
             sides = batch.column(0).to_pylist()
             bags, firsts, seen = [], [], set()
-            chunks, ends, colds, order, order_ends, hots = [], [0], [], [], [0], []
+            chunks, ends, colds, order, order_ends, hots, sketches = [], [0], [], [], [0], [], []
             for side, text in zip(sides, texts_of(batch.column(n)), strict=True):
                 bag, keys, cold, tokens, h = signers.get(side, plain).sign(text)
                 first = bag is not None and (side, bag) not in seen
@@ -156,6 +156,8 @@ def _sign_batches(hot, threshold: float, salts: dict[str, int] | None) -> Callab
                 order_ends.append(len(order))
                 colds.append(cold)
                 hots.append(h)
+                if sketch:
+                    sketches.append(sketch(tokens) if first else None)
             made = [
                 pa.array(bags, pa.int64()),
                 pa.array(firsts),
@@ -164,25 +166,34 @@ def _sign_batches(hot, threshold: float, salts: dict[str, int] | None) -> Callab
                 pa.ListArray.from_arrays(pa.array(order_ends, pa.int32()), pa.array(order, pa.int64())),
                 pa.array(hots, pa.int32()),
             ]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:n], *made], [*batch.schema.names[:n], "bag", "first", "chunks", "n_cold", "words", "n_hot"]
-            )
+            names = [*batch.schema.names[:n], "bag", "first", "chunks", "n_cold", "words", "n_hot"]
+            if sketch:
+                made.append(pa.array(sketches, pa.binary()))
+                names.append("counters")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names)
 
     return run
 
 
 def signatures(
-    df: DataFrame, *, keep: list[str], text: str, hot: dict[str, int], threshold: float = THRESHOLD, salts: dict[str, int] | None = None
+    df: DataFrame,
+    *,
+    keep: list[str],
+    text: str,
+    hot: dict[str, int],
+    threshold: float = THRESHOLD,
+    salts: dict[str, int] | None = None,
+    sketch: Callable[[list[int]], bytes] | None = None,
 ) -> DataFrame:
     """``keep`` columns, the side first, and a signature of every row; ``bag`` is null for a text without words.
 
     Of rows of one side with one bag in a batch only the ``first`` carries chunks and words, so copies are dropped before any shuffle.
     """
     rows = df.select(*[F.col(c) for c in keep], F.col(text).cast("binary").alias("__text"))
-    made = "bag long, first boolean, chunks array<long>, n_cold int, words array<long>, n_hot int"
+    made = "bag long, first boolean, chunks array<long>, n_cold int, words array<long>, n_hot int" + ", counters binary" * bool(sketch)
     schema = T.StructType([*[rows.schema[c] for c in keep], *T._parse_datatype_string(made).fields])
     shared = df.sparkSession.sparkContext.broadcast(hot)
-    return rows.mapInArrow(_sign_batches(shared, threshold, salts), schema)
+    return rows.mapInArrow(_sign_batches(shared, threshold, salts, sketch), schema)
 
 
 def postings(signed: DataFrame) -> DataFrame:
