@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievebench.llm import leakage, near_duplicates, packing, splitting, subjects, tokens
+from sievebench.llm import leakage, near_duplicates, neighbours, packing, splitting, subjects, tokens
 from sievebench.session import table
 
 
@@ -83,6 +83,16 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, folder))
 
 
+def p6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 most similar others of every usable vector."""
+    return neighbours.nearest(table(spark, folder, "vector_store"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """``vec_id_a, vec_id_b``: neighbours with a cosine of at least 0.94."""
+    return neighbours.close_pairs(p6_neighbours(spark, folder), 0.94).select(F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b"))
+
+
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     """How many sentences of each document concern each subject."""
     return subjects.document_subjects(table(spark, folder, "documents"), table(spark, folder, "subject_examples"), key="doc_id")
@@ -109,6 +119,8 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
+    "p6_found": p6_found,
+    "p6_neighbours": p6_neighbours,
     "p9_found": p9_found,
     "p9_shares": p9_shares,
     "p9_composition": p9_composition,
