@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievebench.llm import leakage, near_duplicates, neighbours, packing, splitting, subjects, tokens
+from sievebench.llm import clusters, leakage, near_duplicates, neighbours, packing, splitting, subjects, tokens
 from sievebench.session import table
 
 
@@ -29,6 +29,27 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leak_report(p1_overlaps(spark, folder))
 
 
+def _named_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    ours = table(spark, folder, "vector_store").filter("owner_kind = 'production_query'").select("vec_id", "embedding")
+    members, assign = clusters.vector_clusters(ours)
+    seeds = assign(table(spark, folder, "seeds").filter("z IS NOT NULL"), "z", ["cluster_id"])
+    return clusters.named_clusters(members, seeds.select("cluster", F.col("cluster_id").alias("name")))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """``vec_id, cluster_id`` of every vector of production queries that lies in a cluster."""
+    return _named_clusters(spark, folder).select(F.col("id").alias("vec_id"), F.col("name").alias("cluster_id"))
+
+
+def p2_typical(spark: SparkSession, folder: str) -> DataFrame:
+    """Each cluster's size and its five most typical queries."""
+    best = clusters.typical_members(_named_clusters(spark, folder))
+    refs = table(spark, folder, "vector_store").select(F.col("vec_id").alias("id"), "embedding_ref")
+    texts = table(spark, folder, "production_queries").filter("embedding_ref IS NOT NULL").groupBy("embedding_ref").agg(F.min("text").alias("text"))
+    named = best.join(refs, "id").join(texts, "embedding_ref", "left")
+    return named.select(F.col("name").alias("cluster_id"), "size", "rank", F.col("id").alias("vec_id"), "text", F.round("cosine", 6).alias("cosine"))
+
+
 def _copies(spark: SparkSession, folder: str) -> DataFrame:
     chunks = table(spark, folder, "chunks").select(F.lit("chunk").alias("kind"), "ord", "text")
     return chunks.unionByName(table(spark, folder, "synthetic_queries").select(F.lit("synthetic").alias("kind"), "ord", "text"))
@@ -112,6 +133,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_overlaps": p1_overlaps,
     "p1_report": p1_report,
+    "p2_found": p2_found,
+    "p2_typical": p2_typical,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p3_found": p3_found,

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievebench.llm.sums import ROWS, rows_of, total_rows
 from sievebench.llm.tokens import texts_of
 from sievebench.session import materialise
 
@@ -195,40 +196,6 @@ def _assign(model: Model, flat: Numbered, cosine: float, weight: float) -> tuple
     return best, x
 
 
-def _rows_of(name: int, values: np.ndarray) -> pa.RecordBatch:
-    """The nonzero rows of a matrix as ``which, row, numbers``."""
-    rows = np.flatnonzero(np.abs(values).sum(1) > 0)
-    flat = np.ascontiguousarray(values[rows], np.float64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([name] * len(rows), pa.int32()), pa.array(rows, pa.int32()), pa.array([x.tobytes() for x in flat], pa.binary())],
-        ["which", "row", "numbers"],
-    )
-
-
-_ROWS = "which int, row int, numbers binary"
-
-
-def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[tuple[int, int], np.ndarray] = {}
-    for batch in batches:
-        for which, row, numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            x = np.frombuffer(numbers, np.float64)
-            sums[which, row] = sums[which, row] + x if (which, row) in sums else x
-    keys = list(sums)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([sums[k].tobytes() for k in keys], pa.binary())],
-        ["which", "row", "numbers"],
-    )
-
-
-def _total(partial: DataFrame, shapes: dict[int, tuple[int, int]]) -> dict[int, np.ndarray]:
-    """Sums of the tasks' matrices; rows are summed in parallel, and only one matrix of each kind is collected."""
-    out = {which: np.zeros(shape) for which, shape in shapes.items()}
-    for which, row, numbers in partial.repartition(8, "which", "row").mapInArrow(_sum_rows, _ROWS).collect():
-        out[which][row] = np.frombuffer(numbers, np.float64)
-    return out
-
-
 def _matrix(model: Model, flat: Numbered, first: int, last: int) -> np.ndarray:
     """Rows ``first..last`` of the weighted, normalised document-term matrix over the active terms."""
     of = flat.document[flat.sentence] if len(flat.sentence) else np.zeros(0, np.int64)
@@ -251,7 +218,7 @@ def _multiply(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             for first in range(0, flat.n_documents, 256):
                 x = _matrix(model, flat, first, min(first + 256, flat.n_documents))
                 out += x.T @ (x @ model.basis)
-        yield _rows_of(0, out)
+        yield rows_of(0, out)
 
     return run
 
@@ -278,8 +245,8 @@ def _evidence(shared, cosine: float, weight: float) -> Callable[[Iterator[pa.Rec
             others /= np.maximum(total, 1)[:, None]
             for s in range(model.n_subjects):
                 counts[:, s] += np.bincount(flat.terms, others[flat.sentence, s], len(counts))
-        yield _rows_of(0, counts)
-        yield _rows_of(1, sums)
+        yield rows_of(0, counts)
+        yield rows_of(1, sums)
 
     return run
 
@@ -373,7 +340,7 @@ def document_subjects(
         basis = np.linalg.qr(basis)[0] if len(used) else basis
         model = Model(term_weight, active, basis, np.zeros((len(known), width), np.float32), np.zeros((len(groups), width), np.float32), subject_of, len(subjects))
         for _ in range(2):
-            product = _total(numbered.mapInArrow(_multiply(spark.sparkContext.broadcast(model)), _ROWS), {0: basis.shape})[0]
+            product = total_rows(numbered.mapInArrow(_multiply(spark.sparkContext.broadcast(model)), ROWS), {0: basis.shape})[0]
             u, s, _ = np.linalg.svd(product, full_matrices=False)
             model.basis = u
         place = u * np.sqrt(s)
@@ -389,8 +356,8 @@ def document_subjects(
         centroid /= np.maximum(np.linalg.norm(centroid, axis=1), 1e-9)[:, None]
         model.centroid = centroid.astype(np.float32)
         for _ in range(2 if step == rounds - 1 else 1):
-            found = _total(
-                numbered.mapInArrow(_evidence(spark.sparkContext.broadcast(model), cosine, weight), _ROWS),
+            found = total_rows(
+                numbered.mapInArrow(_evidence(spark.sparkContext.broadcast(model), cosine, weight), ROWS),
                 {0: seed_counts.shape, 1: centroid.shape},
             )
             counts, sums = seed_counts + found[0], found[1] + SEED_WEIGHT * centroid
