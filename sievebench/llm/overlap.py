@@ -83,7 +83,7 @@ class Signer:
         return -(-self.t.numerator * n // self.t.denominator)
 
     def tokens(self, text: str | None) -> tuple[list[int], int, list[int]]:
-        """Digests of the words in global order, a repeated word's occurrences being distinct; how many are cold."""
+        """Salted digests of the words in global order, a repeated word's occurrences being distinct; how many are cold."""
         seen: dict[str, int] = {}
         ordered: list[tuple[int, int]] = []
         hot, digest = self.hot, xxhash.xxh3_64_intdigest
@@ -101,21 +101,23 @@ class Signer:
                 ordered.append((0, value - (1 << 64) if value >= 1 << 63 else value))
         ordered.sort()
         cold = sum(1 for rank, _ in ordered if not rank)
+        if salt := self.salt:
+            return [x ^ salt for _, x in ordered], cold
         return [x for _, x in ordered], cold
 
     def sign(self, text: str | None) -> tuple[int | None, list[int], int, list[int], int]:
-        """``(id of the bag of words, chunk digests, how many of them are cold, words in order, hot words)``."""
+        """``(id of the bag of words, whole and hot chunks, number of cold chunks, words in order, hot words)``.
+
+        Cold chunks are the first words themselves and not repeated among the chunks.
+        """
         order, cold = self.tokens(text)
         n = len(order)
         if not n:
             return None, [], 0, [], 0
         bag = _digest(order, self.salt)
         least = self.least(n)
-        chunks = order[: min(cold, n - least + 1)]
-        if self.salt:
-            chunks = [_signed((x ^ self.salt) & (2**64 - 1)) for x in chunks]
-        chunks.append(bag)
-        n_cold, hot = len(chunks), n - cold
+        chunks = [bag]
+        n_cold, hot = min(cold, n - least + 1), n - cold
         if hot >= least and hot > 1:
             if n <= SHORT:
                 last = min(n, n - least + 2)
@@ -198,10 +200,11 @@ def signatures(
 
 def postings(signed: DataFrame) -> DataFrame:
     """``chunk, bag, n, reach`` of every first row; ``reach`` is the most words a pair can share that meets in the chunk."""
+    every = F.concat(F.slice("words", 1, F.col("n_cold")), F.col("chunks"))
     return (
         signed.filter("first")
-        .select("bag", F.size("words").alias("n"), "n_cold", "n_hot", F.posexplode("chunks").alias("at", "chunk"))
-        .select("chunk", "bag", "n", F.when(F.col("at") < F.col("n_cold"), F.col("n")).otherwise(F.col("n_hot")).alias("reach"))
+        .select("bag", F.size("words").alias("n"), "n_cold", "n_hot", F.posexplode(every).alias("at", "chunk"))
+        .select("chunk", "bag", "n", F.when(F.col("at") <= F.col("n_cold"), F.col("n")).otherwise(F.col("n_hot")).alias("reach"))
     )
 
 
