@@ -111,7 +111,7 @@ def p6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """``vec_id_a, vec_id_b``: neighbours with a cosine of at least 0.94."""
-    return neighbours.close_pairs(p6_neighbours(spark, folder), 0.94).select(F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b"))
+    return neighbours.close_pairs(p6_neighbours(spark, folder), table(spark, folder, "vector_store"), 0.94).select(F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b"))
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:

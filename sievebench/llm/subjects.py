@@ -45,7 +45,7 @@ PRIOR = 2.0
 SEED_WEIGHT = 5.0
 SHARE = 0.25
 _WORD = re.compile(r"[^\W_]+")
-_BREAK = re.compile(r"[\n\r\x0b\x0c\x85  ]+|(?<=[.!?…])[\"'”’)\]]*\s+|(?<=[。！？।؟])")
+_BREAK = re.compile(r"[\n\r\x0b\x0c\x85\u2028\u2029]+|(?<=[.!?…])[\"'”’)\]]*\s+|(?<=[。！？।؟])")
 _FLUSH = 200_000
 
 
