@@ -1 +1 @@
-"""functions."""
+"""Column expressions and small closed forms."""
