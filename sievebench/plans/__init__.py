@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that each define QUERIES and SQL.
-MODULES = ("timestamps", "demand")
+MODULES = ("timestamps", "demand", "retrieval")
 
 
 def _merged(what: str) -> dict:
