@@ -13,7 +13,13 @@ from sievebench.session import table
 DIM = 64
 
 _WHITE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-SQL_NORM = f"trim(regexp_replace({{0}}, '{_WHITE}', ' ', 'g'), ' ')"
+
+
+def norm_sql(column: str) -> str:
+    """The words of a text joined by single spaces, in SQL."""
+    return f"trim(regexp_replace({column}, '{_WHITE}', ' ', 'g'), ' ')"
+
+
 
 CTES = {
     "store": """store AS (
