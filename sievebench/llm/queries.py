@@ -149,7 +149,34 @@ QUERIES = {
     "p9_composition": p9_composition,
 }
 
+_BAGS = r"""
+    tokens AS (SELECT side, id, word, row_number() OVER (PARTITION BY side, id, word) AS again FROM (
+        SELECT side, id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM texts)),
+    sizes AS (SELECT side, id, count(*) AS n FROM tokens GROUP BY ALL)"""
+_UNIT = """unit AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / n) AS v FROM (
+        SELECT vec_id, embedding, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM vector_store
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0))"""
+
 SQL = {
+    # Every pair of texts that share a word is counted, so these take the plain definition at its word.
+    "p1_found": f"""WITH records AS (SELECT query_id, text, split FROM production_queries UNION ALL SELECT query_id, text, split FROM synthetic_queries),
+        texts AS (SELECT side, row_number() OVER () AS id, text FROM (SELECT DISTINCT CASE WHEN split = 'train' THEN 't' ELSE 'e' END AS side, text
+            FROM records WHERE split IS NOT NULL AND text IS NOT NULL)), {_BAGS},
+        shared AS (SELECT e.id AS e, t.id AS t, count(*) AS c FROM tokens e JOIN tokens t ON e.word = t.word AND e.again = t.again
+            WHERE e.side = 'e' AND t.side = 't' GROUP BY ALL),
+        hit AS (SELECT DISTINCT e FROM shared JOIN sizes a ON a.id = e JOIN sizes b ON b.id = t WHERE c * 10 >= 7 * (a.n + b.n - c))
+        SELECT DISTINCT query_id FROM records JOIN texts ON texts.text = records.text AND texts.side = 'e' JOIN hit ON hit.e = texts.id
+        WHERE split IS NOT NULL AND split <> 'train'""",
+    "p5_found": f"""WITH RECURSIVE texts AS (SELECT 'chunk' AS side, ord AS id, text FROM chunks UNION ALL SELECT 'synthetic', ord, text FROM synthetic_queries), {_BAGS},
+        shared AS (SELECT a.side, a.id AS a, b.id AS b, count(*) AS c FROM tokens a JOIN tokens b ON a.side = b.side AND a.word = b.word AND a.again = b.again AND a.id < b.id GROUP BY ALL),
+        links AS (SELECT s.side, a, b FROM shared s JOIN sizes x ON x.side = s.side AND x.id = a JOIN sizes y ON y.side = s.side AND y.id = b WHERE c * 10 >= 7 * (x.n + y.n - c)),
+        both_ways AS (SELECT * FROM links UNION SELECT side, b, a FROM links),
+        reach AS (SELECT DISTINCT side, a AS start, a AS node FROM both_ways UNION SELECT r.side, r.start, w.b FROM reach r JOIN both_ways w ON w.side = r.side AND w.a = r.node)
+        SELECT side AS kind, start AS ord_a, node AS ord_b FROM reach WHERE start < node""",
+    "p6_found": f"""WITH {_UNIT},
+        pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) AS s FROM unit a JOIN unit b ON a.vec_id <> b.vec_id),
+        best AS (SELECT a, b, s FROM pairs QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+        SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM best WHERE s >= 0.94""",
     # White space of every kind that Python's str.isspace knows counts as one character in a run.
     "p3_found": r"""
         SELECT ord FROM chunks
