@@ -1,0 +1,371 @@
+"""Arms, validation and reports: the operators put together as a benchmark run, from a YAML configuration."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from pathlib import Path
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievebench.functions.text import canonical_json, config_hash
+from sievebench.functions.vectors import l2_normalize
+from sievebench.operators import demand as D
+from sievebench.operators import fidelity as A
+from sievebench.operators import gate as G
+from sievebench.operators import mixture as M
+from sievebench.operators import ranking as R
+from sievebench.operators import sampling as S
+from sievebench.operators.dedup import dedup_rate, semantic_dedup
+from sievebench.operators.similarity import gold_ranks, nearest_items
+from sievebench.session import materialise
+from sievebench.sources.worlds import stream, toy_world
+
+
+class Registry:
+    """Factories by name; an unknown name is an error that lists the known ones."""
+
+    def __init__(self, kind: str) -> None:
+        self.kind, self.entries = kind, {}
+
+    def register(self, name: str) -> Callable:
+        def add(factory):
+            if name in self.entries:
+                raise ValueError(f"{self.kind} {name} is registered already")
+            self.entries[name] = factory
+            return factory
+
+        return add
+
+    def get(self, name: str):
+        if name not in self.entries:
+            raise KeyError(f"unknown {self.kind} {name!r}; known: {sorted(self.entries)}")
+        return self.entries[name]
+
+    def keys(self) -> list[str]:
+        return sorted(self.entries)
+
+
+DATASETS, ARMS, CHECKS, STRATEGIES, OPTIMIZERS = (Registry(k) for k in ("dataset", "arm", "check", "qrel strategy", "optimizer"))
+STEPS = ("seed_sampler.uniform", "seed_sampler.quota", "seed_sampler.spec", "context_assembler", "generator", "gate", "qrel_builder", "curator", "validator")
+for _name in ("dedup", "zero_context", "answerability", "round_trip", "uniqueness"):
+    CHECKS.entries[_name] = _name
+for _name in ("binary", "relabel_nearest"):
+    STRATEGIES.entries[_name] = _name
+
+
+@DATASETS.register("toy_world")
+def _toy(spark: SparkSession, params: dict, seed: int) -> dict[str, DataFrame]:
+    names = {"k_true": "components", "n_chunks": "chunks", "n_prod": "queries", "sub_offset": "offset", "demand_skew": "skew"}
+    known = {names.get(k, k): v for k, v in params.items() if k not in ("sub_probs",)}
+    return toy_world(spark, seed=seed, **known)
+
+
+@dataclass
+class Resources:
+    """What all arms share: tables, and the fitted partition, mixture and demand."""
+
+    spark: SparkSession
+    chunks: DataFrame
+    queries: DataFrame
+    centres: np.ndarray
+    mixture: M.Mixture
+    demand: list[float]
+    radius: float
+    d: int
+    seed: int
+    zoo: dict[str, np.ndarray] = field(default_factory=dict)
+
+
+def load_config(path: str) -> dict:
+    import yaml
+
+    return yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+
+
+def meta_block(config: dict) -> dict:
+    """The block that names the run: the top-level mapping with a ``schema_version``."""
+    return next((v for v in config.values() if isinstance(v, dict) and "schema_version" in v), {})
+
+
+def _family(block: dict) -> str:
+    while block.get("type") == "cached":
+        block = (block.get("params") or {}).get("inner", {})
+    name = str((block.get("params") or {}).get("model", ""))
+    return name.split("/")[-1].split("-")[0].lower()
+
+
+def validate_config(config: dict) -> list[str]:
+    """Warnings; raises for an unknown version, a missing block, an unknown type, or a version 2 feature in version 1."""
+    version = meta_block(config).get("schema_version")
+    if version not in (1, 2):
+        raise ValueError(f"unsupported schema_version {version!r}; accepted are 1 and 2")
+    for block in ("resources", "pipeline", "artifacts_dir"):
+        if block not in config:
+            raise ValueError(f"the configuration has no {block!r} block")
+    resources = config["resources"]
+    features = {
+        "dataset.params.split_stratify_by": (resources.get("dataset", {}).get("params") or {}).get("split_stratify_by"),
+        "partition.ladder": (resources.get("partition") or {}).get("ladder"),
+        "validator.audit_export": next(((s.get("params") or {}).get("audit_export") for s in config["pipeline"] if s.get("type") == "validator"), None),
+    }
+    for key in ("generator_llm", "judge_llm"):
+        if (resources.get(key) or {}).get("type") == "cached":
+            features[f"{key}.type: cached"] = True
+    used = [k for k, v in features.items() if v is not None]
+    if version == 1 and used:
+        raise ValueError(f"schema_version 1 doesn't have {', '.join(used)}; set schema_version 2")
+    ladder = features["partition.ladder"]
+    if ladder is not None and not (isinstance(ladder, list) and ladder and all(isinstance(x, int) and x > 0 for x in ladder)):
+        raise ValueError("partition.ladder must be a list of positive numbers")
+    for step in config["pipeline"]:
+        if step.get("type") not in STEPS:
+            raise KeyError(f"unknown step {step.get('type')!r}; known: {sorted(STEPS)}")
+    generator, judge = resources.get("generator_llm") or {}, resources.get("judge_llm") or {}
+    own, other = _family(generator), _family((judge.get("params") or {}).get("chat", judge))
+    return [f"judge and generator are of one model family, {own}; prefer another judge"] if own and own == other else []
+
+
+def build_resources(spark: SparkSession, tables: dict[str, DataFrame], *, clusters: int, components: int, lam: float = 0.7, radius_pct: float = 5.0, seed: int = 0) -> Resources:
+    """Partition, mixture, demand and radius are fitted on train queries only."""
+    chunks, queries = materialise(tables["chunks"], "chunks"), materialise(tables["queries"], "queries")
+    d = len(chunks.first()["vector"])
+    train = queries.filter("split = 'train'")
+    centres = M.fit_partition(train, clusters, tries=3, seed=seed)
+    mixture = M.fit_mixture(train, components, dim=d, rounds=30, tolerance=1e-4, seed=seed)
+    demand = D.tilt(D.proportions(M.assign(train, centres, ["query_id"]), clusters), lam).orderBy("cluster").collect()
+    asked = train.select(F.col("query_id").alias("qid"), "vector")
+    near = nearest_items(asked, train.select(F.col("query_id").alias("item"), "vector"), 1, dim=d, apart=True)
+    radius = near.agg(F.percentile("score", F.lit(radius_pct / 100))).first()[0]
+    return Resources(spark, chunks, queries, centres, mixture, [r["tilted"] for r in demand], radius, d, seed, R.make_zoo(d, seed))
+
+
+def _emit(style: float, noise: float, seed: int, d: int):
+    """Vectors a simulated generator gives: the base, a common style and noise of its own for each candidate."""
+    direction = stream(seed, "style").standard_normal(d)
+    direction /= np.linalg.norm(direction)
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for qid, base in zip(pdf["qid"], pdf["base"], strict=True):
+                g = stream(seed, str(qid)).standard_normal(d)
+                v = np.asarray(base) + style * direction + noise * g / np.linalg.norm(g)
+                out.append((v / np.linalg.norm(v)).tolist())
+            yield pd.DataFrame({"qid": pdf["qid"], "seed_id": pdf["seed_id"], "item": pdf["item"], "query_type": pdf["query_type"], "vector": out})
+
+    return run
+
+
+def seeds_for(arm: str, r: Resources, n: int) -> DataFrame:
+    """``seed_id, item, query_type, base``: the seeds of an arm with the vectors that generation starts from."""
+    items = r.chunks.select("item", F.col("vector").alias("base"))
+    numbered = r.chunks.select(F.row_number().over(_by("item")).alias("ord"), F.col("item").alias("chunk_id"), "vector")
+    if arm == "a0":
+        seeds = S.uniform_seeds(numbered, n, r.seed).select("seed_id", F.col("chunk_id").alias("item"), F.lit("factoid").alias("query_type"))
+        return seeds.join(items, "item")
+    if arm == "a1":
+        quota = D.allocate(r.demand, n, min(3, n // len(r.demand)))
+        quotas = r.spark.createDataFrame(list(enumerate(quota)), "cluster int, quota long")
+        labelled = M.assign(numbered, r.centres, ["ord", "chunk_id"])
+        return S.quota_seeds(labelled, quotas, r.seed).select("seed_id", F.col("chunk_id").alias("item"), "query_type").join(items, "item")
+    draws, _ = M.guarded_sample(r.mixture, r.queries.filter("split = 'train'").select(F.col("query_id").alias("item"), "vector"), n, r.radius, seed=r.seed)
+    targets = r.spark.createDataFrame([(f"seed-spec-{i:05d}", v.tolist()) for i, v in enumerate(draws)], "qid string, vector array<double>")
+    near = nearest_items(targets, r.chunks.select("item", "vector"), 1, dim=r.d).select("qid", "item")
+    style = nearest_items(targets, r.queries.filter("split = 'train'").select(F.col("query_id").alias("item"), "vector"), 3, dim=r.d)
+    parts = style.join(r.queries.select(F.col("query_id").alias("item"), "vector"), "item").select("qid", F.posexplode("vector").alias("pos", "x"))
+    means = parts.groupBy("qid", "pos").agg(F.avg("x").alias("m")).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda p: p.m).alias("m"))
+    return near.join(means, "qid").select(F.col("qid").alias("seed_id"), "item", F.lit("factoid").alias("query_type"), l2_normalize("m").alias("base"))
+
+
+def _by(*columns: str):
+    from pyspark.sql import Window
+
+    return Window.orderBy(*columns)
+
+
+def generate(seeds: DataFrame, r: Resources, *, candidates: int = 1, style: float = 0.15, noise: float = 0.3) -> DataFrame:
+    """``qid, seed_id, item, query_type, vector`` of every candidate."""
+    every = seeds.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1)))).withColumn("qid", F.concat(F.lit("synq-"), "seed_id", F.lit("-"), "k"))
+    return every.select("qid", "seed_id", "item", "query_type", "base").mapInPandas(_emit(style, noise, r.seed, r.d), "qid string, seed_id string, item string, query_type string, vector array<double>")
+
+
+def gate(candidates: DataFrame, r: Resources, *, cosine: float = 0.95, zero_share: float = 0.05, least: float = 0.4, k: int = 10) -> DataFrame:
+    """Candidates with ``rejected_by``: duplicates first, as a scan in order finds them, then the other checks."""
+    held = materialise(candidates.withColumn("ord", F.row_number().over(_by("qid"))), "candidates")
+    ranked = materialise(nearest_items(held.select("qid", "vector"), r.chunks.select("item", "vector"), k, dim=r.d), "ranked")
+    trip = G.round_trip(ranked, held.select("qid", "item"), held, k)
+    evidence = ranked.join(held.select("qid", "item"), ["qid", "item"], "left_semi").select("qid", F.col("score").alias("evidence"))
+    rows = held.join(trip.select("qid", "passed"), "qid").join(evidence, "qid", "left")
+    others = [("zero_context", ~G.hash_judge("qid", zero_share, r.seed)), ("answerability", G.evidence_judge("evidence", least)), ("round_trip", F.col("passed"))]
+    judged = materialise(rows.withColumn("other", G.first_failure(others)), "judged")
+    kept = semantic_dedup(judged.select("ord", "vector", F.col("other").isNull().alias("fit")), cosine, dim=r.d, eligible="fit")
+    return judged.join(kept, "ord").withColumn("rejected_by", F.when(~F.col("kept"), F.lit("dedup")).otherwise(F.col("other"))).drop("other", "kept", "passed", "evidence")
+
+
+@ARMS.register("a0")
+def _a0(r: Resources, n: int, params: dict) -> tuple[DataFrame, DataFrame]:
+    return _generated("a0", r, n, {"style": 0.45, "noise": 0.55} | params)
+
+
+@ARMS.register("a1")
+def _a1(r: Resources, n: int, params: dict) -> tuple[DataFrame, DataFrame]:
+    return _generated("a1", r, n, {"style": 0.15, "noise": 0.68} | params)
+
+
+@ARMS.register("a2")
+def _a2(r: Resources, n: int, params: dict) -> tuple[DataFrame, DataFrame]:
+    return _generated("a2", r, n, {"style": 0.05, "noise": 0.42} | params)
+
+
+@ARMS.register("oracle")
+def _oracle(r: Resources, n: int, params: dict) -> tuple[DataFrame, DataFrame]:
+    rows = R.hash_sample(r.queries.filter("split = 'oracle'").select(F.col("query_id").alias("qid"), "vector"), "qid", n, "oracle", r.seed)
+    return materialise(rows, "oracle"), r.spark.createDataFrame([("accepted", 0)], "outcome string, n long").limit(0)
+
+
+def _generated(arm: str, r: Resources, n: int, params: dict) -> tuple[DataFrame, DataFrame]:
+    made = gate(generate(seeds_for(arm, r, n), r, style=params["style"], noise=params["noise"], candidates=params.get("n_candidates", 1)), r)
+    made = materialise(made, arm)
+    tally = G.tallies(made).select(F.coalesce("rejected_by", F.lit("accepted")).alias("outcome"), "n")
+    kept = made.filter("rejected_by IS NULL").select("qid", "vector")
+    return R.hash_sample(kept, "qid", n, "cap", r.seed), tally
+
+
+def _zoo_scores(rows: DataFrame, r: Resources, k: int = 10, dropped: DataFrame | None = None, systems: dict | None = None) -> DataFrame:
+    near = nearest_items(rows, r.chunks.select("item", "vector"), 1, dim=r.d).select("qid", "item")
+    pairs = near.join(rows.withColumnRenamed("vector", "qvector"), "qid").join(r.chunks.select("item", F.col("vector").alias("ivector")), "item")
+    searched, held = r.chunks, pairs
+    if dropped is not None:
+        searched, held = searched.join(dropped, "item", "left_anti"), pairs.join(dropped, "item", "left_anti")
+    ranks = materialise(gold_ranks(held, searched, systems or r.zoo, dim=r.d), "ranks")
+    return R.ndcg(rows, near, ranks, k, by=["system"])
+
+
+def _matrix(scores: DataFrame, r: Resources) -> np.ndarray:
+    pdf = scores.toPandas().pivot(index="system", columns="qid", values="score")
+    return pdf.loc[list(r.zoo)].to_numpy()
+
+
+def validate(r: Resources, arms: list[str], n: int, *, n_boot: int = 200, params: dict | None = None, tau: float = 0.9, ap: float = 0.8) -> dict:
+    """The metrics of each arm: validity, fidelity, efficiency, diversity, controls and gates. Undefined ones are None."""
+    anchor = materialise(R.hash_sample(r.queries.filter("split = 'anchor'").select(F.col("query_id").alias("qid"), "vector"), "qid", n, "anchor", r.seed), "anchor")
+    anchor_scores = _matrix(_zoo_scores(anchor, r), r)
+    real = anchor.withColumnRenamed("qid", "id")
+    best = materialise(nearest_items(anchor, r.chunks.select("item", "vector"), 1, dim=r.d).select("score"), "best")
+    demand = r.spark.createDataFrame([(i, float(x)) for i, x in enumerate(_histogram(r))], "cluster int, p_hat double")
+    gone = R.drop_mask(r.chunks.select("item"), 0.1, r.seed).filter("dropped").select("item")
+    report = {}
+    for arm in arms:
+        rows, tally = ARMS.get(arm)(r, n, (params or {}).get(arm, {}))
+        rows = materialise(rows.select("qid", "vector"), "arm")
+        count = rows.count()
+        if count < 2:
+            continue
+        scores = materialise(_zoo_scores(rows, r), "scores")
+        agreement = R.agreement(anchor_scores, _matrix(scores, r), n_boot, r.seed)
+        synthetic = rows.withColumnRenamed("qid", "id")
+        own = nearest_items(rows, r.chunks.select("item", "vector"), 1, dim=r.d).select("score")
+        labels = materialise(M.assign(rows, r.centres, ["qid", "vector"]), "labels")
+        weights = D.importance(labels, demand)
+        exact = scores.filter("system = 'exact'").join(labels.select("qid", "cluster"), "qid")
+        within = [x["auc"] for x in A.within_cluster_c2st(M.assign(real, r.centres, ["id", "vector"]), labels.withColumnRenamed("qid", "id"), seed=r.seed).collect() if x["auc"] is not None]
+        low = _zoo_scores(rows, r, dropped=gone, systems={"exact": r.zoo["exact"]}).withColumnRenamed("score", "low")
+        deltas = exact.join(low.select("qid", "low"), "qid").select((F.row_number().over(_by("qid")) - 1).alias("i"), (F.col("score") - F.col("low")).alias("delta"))
+        control = R.bootstrap_pvalue(materialise(deltas, "deltas"), n_boot, r.seed).first()
+        kept = semantic_dedup(rows.select(F.row_number().over(_by("qid")).alias("ord"), "vector"), 0.95, dim=r.d)
+        gap = weights.agg(F.max("gap")).first()[0]
+        report[arm] = {
+            "n": count,
+            "validity": agreement,
+            "fidelity": {
+                "kl": A.histogram_kl(best, own).first()[0],
+                "c2st": A.c2st(real, synthetic, seed=r.seed).first()["auc"],
+                "within_c2st": float(np.mean(within)) if within else None,
+                "mmd": A.mmd_rbf(real, synthetic, 0.5, dim=r.d).first()[0],
+            },
+            "efficiency": {"ess": D.effective_size(weights.filter("n > 0"), n="n").first()[0] / count, "gap": gap, "post_stratified": D.post_stratified(exact, demand).first()[0]},
+            "diversity": {"dedup_rate": dedup_rate(kept).first()[0]},
+            "controls": {"drop_delta": control["delta"], "drop_p": control["p_value"]},
+            "gate": {x["outcome"]: x["n"] for x in tally.collect()},
+            "gates_passed": bool(R.gates(agreement["tau"], agreement["tau_ap"]) if (tau, ap) == (0.9, 0.8) else agreement["tau"] >= tau and agreement["tau_ap"] >= ap),
+        }
+    return report
+
+
+def _histogram(r: Resources) -> list[float]:
+    rows = D.proportions(M.assign(r.queries.filter("split = 'train'"), r.centres, ["query_id"]), len(r.centres)).orderBy("cluster").collect()
+    return [x["p_hat"] for x in rows]
+
+
+def render_markdown(report: dict) -> str:
+    head = "| arm | n | KL | C2ST | wC2ST | MMD | ESS/N | tau [CI] | tau_AP | RBO | drop p | gates |\n|---|---|---|---|---|---|---|---|---|---|---|---|"
+    show = lambda x: "-" if x is None else f"{x:.3f}"
+    lines = []
+    for arm, m in report.items():
+        v, f = m["validity"], m["fidelity"]
+        lines.append(
+            f"| {arm} | {m['n']} | {show(f['kl'])} | {show(f['c2st'])} | {show(f['within_c2st'])} | {show(f['mmd'])} | {show(m['efficiency']['ess'])} | {show(v['tau'])} "
+            f"[{show(v['tau_low'])}, {show(v['tau_high'])}] | {show(v['tau_ap'])} | {show(v['rbo'])} | {show(m['controls']['drop_p'])} | {'pass' if m['gates_passed'] else 'fail'} |"
+        )
+    return "\n".join([head, *lines]) + "\n"
+
+
+def run(spark: SparkSession, config: dict, out: str) -> dict:
+    """Validates and runs a configuration; writes ``metrics.json`` (no clock in it) and ``report.md``."""
+    warnings = validate_config(config)
+    meta, resources = meta_block(config), config["resources"]
+    seed = int(meta.get("seed", 0))
+    tables = DATASETS.get(resources["dataset"]["type"])(spark, resources["dataset"].get("params") or {}, seed)
+    demand = resources.get("demand") or {}
+    r = build_resources(spark, tables, clusters=(resources.get("partition") or {}).get("n_clusters", 8), components=demand.get("n_components", 16), lam=demand.get("lam", 0.7), radius_pct=demand.get("tau_r_pct", 5.0), seed=seed)
+    step = next((s.get("params") or {} for s in config["pipeline"] if s["type"] == "validator"), {})
+    arms = validate(r, step.get("arms", ["a1"]), step.get("n_per_arm", 500), n_boot=step.get("n_boot", 200))
+    metrics = {"name": meta.get("name", "run"), "schema_version": meta["schema_version"], "seed": seed, "config_hash": config_hash(config), "warnings": warnings, "arms": arms}
+    folder = Path(out)
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / "metrics.json").write_text(canonical_json(json.loads(json.dumps(metrics))), encoding="utf-8")
+    (folder / "report.md").write_text(render_markdown(arms), encoding="utf-8")
+    return metrics
+
+
+@OPTIMIZERS.register("noop")
+def noop_optimizer(prompt: str, objective: Callable[[str], float]) -> dict:
+    """Scores the prompt as it is."""
+    score = objective(prompt)
+    return {"best_prompt": prompt, "best_score": score, "baseline_score": score, "improvement": 0.0, "history": [{"prompt": prompt, "score": score}]}
+
+
+@OPTIMIZERS.register("mipro_v2")
+def mipro_optimizer(prompt: str, objective: Callable[[str], float]) -> dict:
+    raise NotImplementedError("prompt optimisation by a language model needs an external service")
+
+
+def cli(argv: list[str] | None = None) -> int:
+    """``run|validate|report --config FILE [--out DIR]``."""
+    import argparse
+
+    parser = argparse.ArgumentParser(prog="sievebench")
+    parser.add_argument("command", choices=["run", "validate", "report"])
+    parser.add_argument("--config")
+    parser.add_argument("--out", default="out")
+    args = parser.parse_args(argv)
+    if args.command == "report":
+        print(render_markdown(json.loads((Path(args.out) / "metrics.json").read_text())["arms"]))
+        return 0
+    config = load_config(args.config)
+    if args.command == "validate":
+        for warning in validate_config(config):
+            print("warning:", warning)
+        print("valid")
+        return 0
+    from sievebench.session import local_session
+
+    print(render_markdown(run(local_session(), config, args.out)["arms"]))
+    return 0
+
+
