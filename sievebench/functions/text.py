@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -140,10 +141,8 @@ def parse_verdict(raw: str | None) -> tuple[bool, str, float]:
 
 def verdict(reply: Column | str) -> Column:
     """``struct<answerable, answer, confidence>`` of judges' replies, by an Arrow batch UDF."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("answerable boolean, answer string, confidence double")
+    @F.pandas_udf("answerable boolean, answer string, confidence double")
     def parsed(replies: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse_verdict(x) for x in replies], columns=["answerable", "answer", "confidence"])
 
