@@ -286,6 +286,11 @@ def _telling(counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _nothing(numbered: DataFrame, key: str) -> DataFrame:
+    none = F.lit(0).cast("long")
+    return numbered.select(F.col("key").alias(key), F.lit("").alias("subject"), none.alias("about"), none.alias("sentences")).limit(0)
+
+
 def document_subjects(
     documents: DataFrame,
     examples: DataFrame,
@@ -323,7 +328,7 @@ def document_subjects(
     for group, terms in seeds:
         np.add.at(seed_counts, (terms, subject_of[group]), 1)
     if not known or not groups:
-        return numbered.select(F.col("key").alias(key), F.lit("").alias("subject"), F.lit(0).cast("long").alias("about"), F.lit(0).cast("long").alias("sentences")).limit(0)
+        return _nothing(numbered, key)
     counts, sums, old, model = seed_counts, None, None, None
     for step in range(rounds):
         telling = _telling(counts)
@@ -331,6 +336,8 @@ def document_subjects(
             telling[counts.sum(1) < 2] = 0
         term_weight = idf * telling
         used = np.flatnonzero(term_weight > 0)
+        if not len(used):
+            break
         active = np.full(len(known), -1)
         active[used] = np.arange(len(used))
         width = min(rank, max(1, len(used)))
@@ -362,6 +369,8 @@ def document_subjects(
             )
             counts, sums = seed_counts + found[0], found[1] + SEED_WEIGHT * centroid
             model.centroid = (sums / np.maximum(np.linalg.norm(sums, axis=1), 1e-9)[:, None]).astype(np.float32)
+    if model is None:
+        return _nothing(numbered, key)
     final = spark.sparkContext.broadcast(model)
     kind = documents.schema[key].dataType.simpleString()
     return numbered.mapInArrow(_shares(final, subjects, cosine, weight), f"key {kind}, subject string, about long, sentences long").withColumnRenamed("key", key)
