@@ -28,8 +28,8 @@ def length(v: Column | str) -> Column:
 
 def l2_normalize(v: Column | str, eps: float = 1e-12) -> Column:
     """The vector over its length, or over ``eps`` if that is larger."""
-    n = F.greatest(length(v), F.lit(eps))
-    return F.transform(_col(v), lambda x: x.cast("double") / n)
+    once = F.array(F.greatest(length(v), F.lit(eps)))  # bound by a lambda, or each element would compute the length anew
+    return F.transform(once, lambda n: F.transform(_col(v), lambda x: x.cast("double") / n))[0]
 
 
 def usable(v: Column | str, dim: int) -> Column:

@@ -45,49 +45,38 @@ def _gather(part: DataFrame, dim: int) -> tuple[list, np.ndarray]:
 def _best(shared, k: int, dim: int, apart: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = shared.value
-        n = len(qids)
-        score, item = np.full((n, k), -np.inf), np.full((n, k), -1, np.int64)
-        names: list = []
-        place = {x: i for i, x in enumerate(qids)} if apart else {}
+        best: list[list[tuple]] = [[] for _ in qids]  # (minus score, item), in order
+        kth = np.full(len(qids), -np.inf)
+        want = k + 1 if apart else k
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
+            for at in range(0, whole.num_rows if len(qids) else 0, ROWS):
                 batch = whole.slice(at, ROWS)
                 own = batch.column(0).to_pylist()
-                s = np.round(q @ dense(batch.column(1), dim).T, PLACES)
-                if apart:
-                    for j, x in enumerate(own):
-                        if x in place:
-                            s[place[x], j] = -np.inf
-                first = len(names)
-                names += own
-                every = np.concatenate([score, s], axis=1)
-                ids = np.concatenate([item, np.broadcast_to(np.arange(first, len(names)), s.shape)], axis=1)
-                if every.shape[1] > k:
-                    # all that tie with the k-th stay in sight, the least id wins
-                    kth = -np.partition(-every, k - 1, axis=1)[:, k - 1]
-                    for i in np.flatnonzero((every >= kth[:, None]).sum(1) > k):
-                        tied = np.flatnonzero(every[i] == kth[i])
-                        room = k - int((every[i] > kth[i]).sum())
-                        order = sorted(tied, key=lambda j, i=i: (names[ids[i, j]] is None, names[ids[i, j]]) if ids[i, j] >= 0 else (True, 0))
-                        every[i, order[room:]] = -np.inf
-                    pick = np.argpartition(-every, k - 1, axis=1)[:, :k]
-                    score, item = np.take_along_axis(every, pick, 1), np.take_along_axis(ids, pick, 1)
-                else:
-                    score, item = every, ids
-                used = np.unique(item[item >= 0])  # forget names no longer among the best
-                if len(names) > 4 * len(used) + ROWS:
-                    new = np.full(len(names), -1, np.int64)
-                    new[used] = np.arange(len(used))
-                    item = np.where(item >= 0, new[item], -1)
-                    names = [names[i] for i in used]
-        rows, columns = np.nonzero(np.isfinite(score))
+                x = dense(batch.column(1), dim).T
+                for low in range(0, len(qids), ROWS):
+                    s = q[low : low + ROWS] @ x
+                    floor = kth[low : low + ROWS]
+                    groups = min(len(own), 8 * want)
+                    if groups >= want and not np.isfinite(floor).all():
+                        # the want-th largest of group maxima is at most the want-th largest score
+                        width = len(own) // groups
+                        tops = s[:, : groups * width].reshape(len(s), groups, width).max(2)
+                        floor = np.maximum(floor, np.partition(tops, groups - want, axis=1)[:, groups - want])
+                    rows, columns = np.nonzero(s >= (floor - 1e-9)[:, None])
+                    scores = np.round(s[rows, columns], PLACES).tolist()
+                    cuts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else []
+                    columns = columns.tolist()
+                    for a, z in zip(cuts, [*cuts[1:], len(scores)], strict=True):
+                        i = low + int(rows[a])
+                        found = best[i] + [(-scores[j], own[columns[j]]) for j in range(a, z) if not apart or own[columns[j]] != qids[i]]
+                        found.sort()
+                        best[i] = found[:k]
+                        if len(found) >= k:
+                            kth[i] = -best[i][-1][0]
+        flat = [(qids[i], item, -minus) for i, own in enumerate(best) for minus, item in own]
+        names = [f[1] for f in flat]
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([qids[i] for i in rows], shared_type(qids)),
-                pa.array([names[i] for i in item[rows, columns]], shared_type(names)),
-                pa.array(score[rows, columns]),
-            ],
-            ["qid", "item", "score"],
+            [pa.array([f[0] for f in flat], shared_type(qids)), pa.array(names, shared_type(names)), pa.array([f[2] for f in flat], pa.float64())], ["qid", "item", "score"]
         )
 
     return run
