@@ -12,10 +12,13 @@ two records can share:
   word there (prefix filter);
 - *hot chunks*: records that share no cold word there can still reach ``t`` if hot words alone are enough. Short
   records then share two of the first ``n - ceil(t n) + 2`` words, so pairs of hot words are chunks; in long ones the
-  hot words are dealt to ``CLASSES`` classes by hash, and each class is a chunk;
+  hot words are dealt to ``CLASSES`` classes by hash, and each class is a chunk. If only hot words are shared, at most
+  ``h / t - n`` words differ among the hot ones, for ``h`` of ``n`` words of either record. While a record has no more
+  classes than that, its hot words are dealt again to half as many more classes, which become chunks too. A pair meets
+  at the last step of the record that stops first: there it has a class that no differing word touches;
 - the *whole* record, which finds equal ones.
 
-Hot chunks of long records miss a pair only if it shares no cold word and differs in every class of its hot words.
+So every pair of enough overlap meets in a chunk, whatever words are hot.
 """
 
 from __future__ import annotations
@@ -124,12 +127,21 @@ class Signer:
                 part = order[cold:last]
                 chunks += [_digest([x, y], self.salt + 1) for i, x in enumerate(part) for y in part[i + 1 :]]
             else:
-                classes: list[list[int]] = [[] for _ in range(CLASSES)]
-                for x in order[cold:]:
-                    classes[x % CLASSES].append(x)
-                chunks += [_digest(x, self.salt + 2 + i) for i, x in enumerate(classes) if x]
+                chunks += self.class_chunks(order[cold:], n)
         return bag, chunks, n_cold, order, hot
 
+    def class_chunks(self, hot: list[int], n: int) -> list[int]:
+        """Digests of the classes of the hot words of a record of ``n``, at each step until the classes outnumber the words that can differ."""
+        chunks, step = [], CLASSES
+        while True:
+            classes: dict[int, list[int]] = {}
+            for x in hot:
+                classes.setdefault(x % step, []).append(x)
+            chunks += [_digest([step, i, *x], self.salt + 2) for i, x in classes.items()]
+            if (len(classes) + n) * self.t.numerator > len(hot) * self.t.denominator:
+                return chunks
+            step += step // 2
+
 
 def _sign_batches(hot, threshold: float, salts: dict[str, int] | None, sketch: Callable[[list[int]], bytes] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Kept columns, then text; the first kept column is the side, which ``salts`` may give a salt of its own.
