@@ -11,8 +11,8 @@ two records can share:
 - *cold chunks*: each cold word among the first ``n - ceil(t n) + 1``, since two records of overlap ``t`` must share a
   word there (prefix filter);
 - *hot chunks*: records that share no cold word there can still reach ``t`` if hot words alone are enough. Short
-  records then share two of the first ``n - ceil(t n) + 2`` words, so pairs of hot words are chunks; in long ones the
-  hot words are dealt to ``CLASSES`` classes by hash, and each class is a chunk. If only hot words are shared, at most
+  records then share two of the first ``n - ceil(t n) + 2`` words, so pairs of hot words are chunks, as they are in
+  longer records that can have a short one as a partner. In all long ones the hot words are dealt to ``CLASSES`` classes by hash, and each class is a chunk. If only hot words are shared, at most
   ``h / t - n`` words differ among the hot ones, for ``h`` of ``n`` words of either record. While a record has no more
   classes than that, its hot words are dealt again to half as many more classes, which become chunks too. A pair meets
   at the last step of the record that stops first: there it has a class that no differing word touches;
@@ -122,11 +122,11 @@ class Signer:
         chunks = [bag]
         n_cold, hot = min(cold, n - least + 1), n - cold
         if hot >= least and hot > 1:
-            if n <= SHORT:
+            if self.least(n) <= SHORT:  # the shortest partner is short
                 last = min(n, n - least + 2)
                 part = order[cold:last]
                 chunks += [_digest([x, y], self.salt + 1) for i, x in enumerate(part) for y in part[i + 1 :]]
-            else:
+            if n > SHORT:
                 chunks += self.class_chunks(order[cold:], n)
         return bag, chunks, n_cold, order, hot
 

@@ -35,3 +35,11 @@ def test_long_records_with_some_cold_words_meet():
         hot = {w: 100 + i for i, w in enumerate(VOCABULARY) if rng.random() >= share}
         for n in (30, 100):
             assert all(met(*pair(rng, n, n + n // 10, VOCABULARY), hot) for _ in range(60)), (share, n)
+
+
+def test_short_and_long_records_of_hot_words_meet():
+    rng = np.random.default_rng(2)
+    hot = {w: 100 + i for i, w in enumerate(VOCABULARY)}
+    for n, m in ((16, 17), (15, 17), (16, 20), (16, 22), (12, 17)):
+        assert all(met(*pair(rng, n, m, VOCABULARY), hot) for _ in range(40)), (n, m)
+    assert met(VOCABULARY[:16], VOCABULARY[:17], hot)
