@@ -1,7 +1,7 @@
 """The k most similar vectors of every vector by a block matrix join of int8 product tiles.
 
 Vectors are dealt to cells around centroids, fitted on a bounded sample; every vector is stored in its nearest cell and
-asks its ``PROBES`` nearest cells. Cells near each other form regions, so that a vector travels once to a region and not
+asks its nearest cells, the more the more cells there are (``probes_of``). Cells near each other form regions, so that a vector travels once to a region and not
 once to a cell; a region above ``BLOCK`` rows is dealt to several blocks, which each get the region's questions.
 
 In a block, tiles of int8 products give each cosine with a bound of its quantisation error. The k-th largest lower bound
@@ -10,7 +10,7 @@ far. Stored vectors travel as floats, the more numerous asking ones as 16-bit co
 about 2e-5 (``FINE`` bounds it); ``close_pairs`` computes those that near a limit again from the vectors themselves.
 Otherwise the only loss is a neighbour in a cell that is not asked. Equal vectors of a block are stored up to k + 1 times, so copies cost nothing beyond that.
 
-The work of a vector is ``PROBES`` cells of about ``CELL`` rows at any size; recall is measured in the tests.
+The work of a vector is ``probes_of(cells)`` cells of about ``CELL`` rows; recall is measured in the tests.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from sievebench.session import materialise
 
 K = 5
 CELL = 5000
+#: The fewest cells that a vector asks.
 PROBES = 5
 REGION_CELLS = 5
 BLOCK = 49152
@@ -91,7 +92,12 @@ class Layout:
         return int(self.n_blocks.sum())
 
 
-def plan(sample: np.ndarray, rows: int, cell: int = CELL, probes: int = PROBES, block: int = BLOCK) -> Layout:
+def probes_of(cells: int) -> int:
+    """How many cells a vector asks. A fixed number would search a lesser share, and find less, the more cells there are."""
+    return max(PROBES, round(cells**0.75 / 4))
+
+
+def plan(sample: np.ndarray, rows: int, cell: int = CELL, probes: int | None = None, block: int = BLOCK) -> Layout:
     """The layout for so many rows; block counts are estimated from the sample and only balance the load."""
     cells = int(max(1, min(MOST_CELLS, len(sample), round(rows / cell))))
     centroids = spherical_means(sample, cells)
@@ -100,7 +106,7 @@ def plan(sample: np.ndarray, rows: int, cell: int = CELL, probes: int = PROBES,
     region = np.unique(region, return_inverse=True)[1]
     held = np.bincount(region[(sample @ centroids.T).argmax(1)], minlength=region.max() + 1) * (rows / max(1, len(sample)))
     n_blocks = np.maximum(1, np.ceil(held / block)).astype(np.int64)
-    return Layout(centroids, region, np.r_[0, np.cumsum(n_blocks)[:-1]], n_blocks, min(probes, cells))
+    return Layout(centroids, region, np.r_[0, np.cumsum(n_blocks)[:-1]], n_blocks, min(probes or probes_of(cells), cells))
 
 
 def _deal(shared, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -318,7 +324,7 @@ def nearest(
     k: int = K,
     dim: int = 64,
     cell: int = CELL,
-    probes: int = PROBES,
+    probes: int | None = None,
     block: int = BLOCK,
 ) -> DataFrame:
     """``id, other, cosine, rank``: the k most similar others of every usable vector, equal cosines by the lesser id.
