@@ -1,9 +1,9 @@
 """Records of evaluation splits whose text is also, exactly or nearly, in the training split.
 
-Normalised records are cut into content-defined chunks (see ``overlap``), chunk digests are joined across the splits,
-and for the pairs that meet the lengths of the shared chunks, one word each, are summed into an overlap fraction.
-Equal records are one bag from the first task on, so a text that a third of all rows repeat costs one row for each
-batch. Null and empty texts, and rows of no split, match nothing.
+Normalised records are cut into content-defined chunks by the hash of their words (see ``overlap``), chunk digests are
+joined across the splits, and the lengths of the chunks that a pair shares are summed. The sum is a lower bound of the
+words shared; where it isn't the whole smaller record, the words of the pair are counted exactly. Equal records are one
+bag, so a text that a third of all rows repeat is joined once. Null and empty texts, and rows of no split, match nothing.
 """
 
 from __future__ import annotations
@@ -36,26 +36,20 @@ def cross_split_overlaps(
     used = records.filter(F.col(split).isin(train, *evaluation))
     hot = overlap.hot_words(used, text, overlap.FLOOR)
     plain = used.select((F.col(split) == train).alias("train"), F.col(key).alias("key"), F.col(split).alias("split"), F.col(source).alias("source"), F.col(text).alias("text"))
-    signed = materialise(
-        overlap.signatures(plain, keep=["train", "key", "split", "source"], text="text", hot=hot, threshold=threshold), "leakage"
-    )
+    signed = materialise(overlap.signatures(plain, keep=["train", "key", "split", "source"], text="text", hot=hot), "leakage")
     is_train = F.col("train")
-    ours, theirs = overlap.postings(signed.filter(~is_train)).alias("e"), overlap.postings(signed.filter(is_train)).alias("t")
-    candidates = (
-        ours.join(theirs, F.col("e.chunk") == F.col("t.chunk"))
-        .filter(overlap.can_match(F.col("e.n"), F.col("e.reach"), F.col("t.n"), F.col("t.reach"), threshold))
-        .select(F.col("e.bag").alias("bag"), F.col("t.bag").alias("other"))
-        .distinct()
-    )
-    mine = signed.filter(~is_train & F.col("first")).select("bag", F.col("words").alias("w"))
-    other = signed.filter(is_train & F.col("first")).select(F.col("bag").alias("other"), F.col("words").alias("v"))
-    shared = F.size(F.array_intersect("w", "v"))
+    candidates = overlap.met(signed, hot, threshold=threshold, cross="train")
+    mine = overlap.words_of(signed.filter(~is_train)).withColumnRenamed("words", "w")
+    other = overlap.words_of(signed.filter(is_train)).select(F.col("bag").alias("other"), F.col("words").alias("v"))
     n1, n2 = F.size("w"), F.size("v")
+    # the chunks posted by both are shared words for certain; where they don't cover the smaller record the rest is counted
+    shared = F.when(F.col("met") == F.least(n1, n2), F.col("met")).otherwise(F.size(F.array_intersect("w", "v")))
     matched = (
         candidates.join(mine, "bag")
         .join(other, "other")
-        .select("bag", "other", shared.alias("shared"), (shared / (n1 + n2 - shared)).alias("part"), overlap.enough(shared, n1, n2, threshold).alias("ok"))
-        .filter("ok")
+        .select("bag", "other", n1.alias("n1"), n2.alias("n2"), shared.cast("int").alias("shared"))
+        .filter(overlap.enough(F.col("shared"), F.col("n1"), F.col("n2"), threshold))
+        .withColumn("part", F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared")))
         .groupBy("bag")
         .agg(F.max(F.struct("part", "shared")).alias("top"), F.count_distinct("other").alias("partners"))
     )

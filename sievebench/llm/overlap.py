@@ -1,29 +1,36 @@
-"""Signatures for exact joins of texts by the overlap of their words.
+"""Chunks of texts and the join of their digests, exact for the overlap of words.
 
 The *overlap* of two texts is shared / (words of one + words of the other - shared), a repeated word counting as often
 as it occurs in both; a text without words overlaps with none.
 
-A record is normalised to its words in one global order: words that occur at most ``floor`` times in all texts (*cold*)
-come first, then the others (*hot*) by rising count. The list of hot words is the only thing sent to all tasks, and it
-holds at most ``HOT_BOUND`` words at any size; counts cover all texts. Such a record is cut into chunks whose digests
-two records can share:
-
-- *cold chunks*: each cold word among the first ``n - ceil(t n) + 1``, since two records of overlap ``t`` must share a
-  word there (prefix filter);
-- *hot chunks*: records that share no cold word there can still reach ``t`` if hot words alone are enough. Short
-  records then share two of the first ``n - ceil(t n) + 2`` words, so pairs of hot words are chunks, as they are in
-  longer records that can have a short one as a partner. In all long ones the hot words are dealt to ``CLASSES`` classes by hash, and each class is a chunk. If only hot words are shared, at most
-  ``h / t - n`` words differ among the hot ones, for ``h`` of ``n`` words of either record. While a record has no more
-  classes than that, its hot words are dealt again to half as many more classes, which become chunks too. A pair meets
-  at the last step of the record that stops first: there it has a class that no differing word touches;
-- the *whole* record, which finds equal ones.
-
-So every pair of enough overlap meets in a chunk, whatever words are hot.
+A record is normalised to its words, a repeated word's occurrences being distinct, in one global order: words that
+occur at most ``floor`` times in all texts (*cold*) by their hash, then the others (*hot*) by rising count. The list of
+hot words is the only thing sent to all tasks; it holds at most ``HOT_BOUND`` words at any size, and counts cover all
+texts. The normalised record is cut by content:
+
+- a cold word is a chunk of its own;
+- hot words are put in hash order and cut wherever the hash passes into another of ``m`` equal ranges, so the words in
+  a range form a chunk. Whether there is a cut at a place depends on the words beside it alone, and a word that only one of
+  two records has changes one chunk and leaves all others as they are.
+
+Two records of overlap ``t`` and ``n`` words together have at most ``d = n - 2 ceil(n t / (1 + t))`` words that differ.
+So of the cold chunks one of the first ``n - ceil(t n) + 1`` is shared, or else no cold word is, and then at most
+``D = d - cold words of both`` hot words differ. Of ``C`` chunks of hot words at least ``C - D`` are then shared, and the
+most telling of these (by the counts of its words) is among the first ``D + 1`` of both records in that order. A record
+of ``h`` hot among ``n`` words knows that ``D`` is at most ``h / t - n``; it is cut at levels that serve ``D`` below 1, 2, 4
+and so on with 1.5 times as many ranges, from the level that a partner can stop at to the one that serves its own
+greatest ``D`` and has more chunks than that, and posts the first ones of each. Both records have the level at which the
+first of them stops. Hence all pairs of enough overlap meet in a chunk, however long they are and whatever words are hot.
+
+Posted chunks travel in blobs of plain arrays with one entry for each record and 13 bytes for each chunk. Where they
+meet, pairs are tested by these bounds and by 128 bits, each the parity of the words whose hash falls on it: a differing
+word changes one bit. A chunk that more than ``block`` records share is dealt to pairs of blocks.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 
@@ -35,14 +42,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievebench.llm.tokens import texts_of
+from sievebench.session import materialise
 
 HOT_BOUND = 1 << 16
 FLOOR = 64
-SHORT = 16
-CLASSES = 8
 THRESHOLD = 0.7
+BLOCK = 8192
+#: Bytes of posted chunks that one task holds.
+PART_BYTES = 48 << 20
 _WORD = re.compile(r"[^\W_]+")
 _SPLIT = r"[^\p{L}\p{N}]+"
+#: Occurrences of a hot word in a record that have numbers; further ones count as cold.
+_AGAIN = 1 << 14
+_RECORDS = 2048
+
+RECORD = np.dtype([("bag", "<i8"), ("s0", "<u8"), ("s1", "<u8"), ("n", "<i4"), ("c", "<i4"), ("side", "<i4")])
+POSTED = np.dtype([("chunk", "<u4"), ("rec", "<u2"), ("pos", "<u2"), ("low", "<i2"), ("len", "<u2"), ("level", "u1")])
+MEMBER = np.dtype([*RECORD.descr, ("pos", "<i4"), ("low", "<i4"), ("len", "<i4"), ("level", "<i4")])
+_COLD = -2
 
 
 def words(text: str | None) -> list[str]:
@@ -66,164 +83,406 @@ def hot_words(texts: DataFrame, column: str, floor: int = FLOOR, bound: int = HO
     return {word: n for word, n in found.collect()}
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
-def _digest(parts: list[int], salt: int) -> int:
-    return _signed(xxhash.xxh3_64_intdigest(np.array(parts, np.int64).tobytes(), salt))
-
-
-class Signer:
-    """Signatures under a threshold and the hot words of a corpus."""
+def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit mix of integers."""
+    with np.errstate(over="ignore"):
+        x = x.astype(np.uint64) + np.uint64((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
+        return x ^ (x >> np.uint64(32))
+
+
+class Words:
+    """The words of records as numbers in the global order."""
+
+    def __init__(self, hot: dict[str, int]) -> None:
+        rising = sorted(hot, key=lambda w: (hot[w], w))
+        self.rank = {w: i * _AGAIN for i, w in enumerate(rising)}
+        counts = np.array([hot[w] for w in rising], np.float64)
+        #: How telling a hot word is, in 64ths of a bit.
+        self.weight = np.round(64 * np.log2(counts.sum() / np.maximum(counts, 1))).astype(np.int64) + 1 if len(counts) else np.ones(0, np.int64)
+
+    def of(self, text: str | None) -> tuple[list[int], list[int]]:
+        """Cold words as negative digests and hot ones as ``rank * 2**14 + occurrence``, both in order."""
+        cold, hot, rank, digest = [], [], self.rank, xxhash.xxh3_64_intdigest
+        for word, k in Counter(words(text)).items():
+            first = rank.get(word)
+            if first is None:
+                cold.append(-(digest(word) >> 1) - 1)
+                for again in range(1, k):
+                    cold.append(-(digest(f"{word}\0{again}") >> 1) - 1)
+            elif k == 1:
+                hot.append(first)
+            else:
+                hot.extend(range(first, first + min(k, _AGAIN)))
+                for again in range(_AGAIN, k):
+                    cold.append(-(digest(f"{word}\0{again}") >> 1) - 1)
+        cold.sort()
+        hot.sort()
+        return cold, hot
 
-    def __init__(self, hot: dict[str, int], threshold: float = THRESHOLD, salt: int = 0) -> None:
-        self.hot = {w: (n, _signed(xxhash.xxh3_64_intdigest(w))) for w, n in hot.items()}
-        self.t, self.salt = Fraction(str(threshold)), salt
 
-    def least(self, n: int) -> int:
-        """The fewest words a record of ``n`` words shares with one of enough overlap."""
-        return -(-self.t.numerator * n // self.t.denominator)
-
-    def tokens(self, text: str | None) -> tuple[list[int], int, list[int]]:
-        """Salted digests of the words in global order, a repeated word's occurrences being distinct; how many are cold."""
-        seen: dict[str, int] = {}
-        ordered: list[tuple[int, int]] = []
-        hot, digest = self.hot, xxhash.xxh3_64_intdigest
-        for word in words(text):
-            again = seen.get(word, 0)
-            seen[word] = again + 1
-            known = hot.get(word)
-            if again:
-                value = digest(f"{word}\0{again}")
-                ordered.append((known[0] if known else 0, value - (1 << 64) if value >= 1 << 63 else value))
-            elif known:
-                ordered.append(known)
-            else:
-                value = digest(word)
-                ordered.append((0, value - (1 << 64) if value >= 1 << 63 else value))
-        ordered.sort()
-        cold = sum(1 for rank, _ in ordered if not rank)
-        if salt := self.salt:
-            return [x ^ salt for _, x in ordered], cold
-        return [x for _, x in ordered], cold
-
-    def sign(self, text: str | None) -> tuple[int | None, list[int], int, list[int], int]:
-        """``(id of the bag of words, whole and hot chunks, number of cold chunks, words in order, hot words)``.
-
-        Cold chunks are the first words themselves and not repeated among the chunks.
-        """
-        order, cold = self.tokens(text)
-        n = len(order)
-        if not n:
-            return None, [], 0, [], 0
-        bag = _digest(order, self.salt)
-        least = self.least(n)
-        chunks = [bag]
-        n_cold, hot = min(cold, n - least + 1), n - cold
-        if hot >= least and hot > 1:
-            if self.least(n) <= SHORT:  # the shortest partner is short
-                last = min(n, n - least + 2)
-                part = order[cold:last]
-                chunks += [_digest([x, y], self.salt + 1) for i, x in enumerate(part) for y in part[i + 1 :]]
-            if n > SHORT:
-                chunks += self.class_chunks(order[cold:], n)
-        return bag, chunks, n_cold, order, hot
-
-    def class_chunks(self, hot: list[int], n: int) -> list[int]:
-        """Digests of the classes of the hot words of a record of ``n``, at each step until the classes outnumber the words that can differ."""
-        chunks, step = [], CLASSES
-        while True:
-            classes: dict[int, list[int]] = {}
-            for x in hot:
-                classes.setdefault(x % step, []).append(x)
-            chunks += [_digest([step, i, *x], self.salt + 2) for i, x in classes.items()]
-            if (len(classes) + n) * self.t.numerator > len(hot) * self.t.denominator:
-                return chunks
-            step += step // 2
-
-
-def _sign_batches(hot, threshold: float, salts: dict[str, int] | None, sketch: Callable[[list[int]], bytes] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Kept columns, then text; the first kept column is the side, which ``salts`` may give a salt of its own.
-
-    Equal bags of one side in a batch are signed once.
-    """
+def _sign_batches(hot, salted: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Kept columns, then text; the first kept column is the side, which has bags of its own if ``salted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain = Signer(hot.value, threshold)
-        signers = {k: Signer(hot.value, threshold, v) for k, v in (salts or {}).items()}
+        known, digest = Words(hot.value), xxhash.xxh3_64_intdigest
         for batch in batches:
             n = batch.num_columns - 1
-            sides = batch.column(0).to_pylist()
             bags, firsts, seen = [], [], set()
-            chunks, ends, colds, order, order_ends, hots, sketches = [], [0], [], [], [0], [], []
-            for side, text in zip(sides, texts_of(batch.column(n)), strict=True):
-                bag, keys, cold, tokens, h = signers.get(side, plain).sign(text)
+            cold, hots, cold_ends, hot_ends = [], [], [0], [0]
+            for side, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(n)), strict=True):
+                a, b = known.of(text)
+                bag = None
+                if a or b:
+                    bag = digest(np.array(a + b, np.int64).tobytes(), digest(repr(side)) if salted else 0) >> 1
                 first = bag is not None and (side, bag) not in seen
                 seen.add((side, bag))
                 bags.append(bag)
                 firsts.append(first)
                 if first:
-                    chunks += keys
-                    order += tokens
-                ends.append(len(chunks))
-                order_ends.append(len(order))
-                colds.append(cold)
-                hots.append(h)
-                if sketch:
-                    sketches.append(sketch(tokens) if first else None)
+                    cold += a
+                    hots += b
+                cold_ends.append(len(cold))
+                hot_ends.append(len(hots))
             made = [
                 pa.array(bags, pa.int64()),
                 pa.array(firsts),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(chunks, pa.int64())),
-                pa.array(colds, pa.int32()),
-                pa.ListArray.from_arrays(pa.array(order_ends, pa.int32()), pa.array(order, pa.int64())),
-                pa.array(hots, pa.int32()),
+                pa.ListArray.from_arrays(pa.array(cold_ends, pa.int32()), pa.array(cold, pa.int64())),
+                pa.ListArray.from_arrays(pa.array(hot_ends, pa.int32()), pa.array(hots, pa.int32())),
             ]
-            names = [*batch.schema.names[:n], "bag", "first", "chunks", "n_cold", "words", "n_hot"]
-            if sketch:
-                made.append(pa.array(sketches, pa.binary()))
-                names.append("counters")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], [*batch.schema.names[:n], "bag", "first", "cold", "hot"])
 
     return run
 
 
-def signatures(
-    df: DataFrame,
-    *,
-    keep: list[str],
-    text: str,
-    hot: dict[str, int],
-    threshold: float = THRESHOLD,
-    salts: dict[str, int] | None = None,
-    sketch: Callable[[list[int]], bytes] | None = None,
-) -> DataFrame:
-    """``keep`` columns, the side first, and a signature of every row; ``bag`` is null for a text without words.
+def signatures(df: DataFrame, *, keep: list[str], text: str, hot: dict[str, int], salted: bool = False) -> DataFrame:
+    """``keep`` columns, the side first, then ``bag, first, cold, hot``; ``bag`` is null for a text without words.
 
-    Of rows of one side with one bag in a batch only the ``first`` carries chunks and words, so copies are dropped before any shuffle.
+    Equal records have one bag, with ``salted`` for each side its own. Of rows of one side with one bag in a batch only the
+    ``first`` carries words; where records meet, what is left of copies from other batches is dropped.
     """
     rows = df.select(*[F.col(c) for c in keep], F.col(text).cast("binary").alias("__text"))
-    made = "bag long, first boolean, chunks array<long>, n_cold int, words array<long>, n_hot int" + ", counters binary" * bool(sketch)
-    schema = T.StructType([*[rows.schema[c] for c in keep], *T._parse_datatype_string(made).fields])
-    shared = df.sparkSession.sparkContext.broadcast(hot)
-    return rows.mapInArrow(_sign_batches(shared, threshold, salts, sketch), schema)
-
-
-def postings(signed: DataFrame) -> DataFrame:
-    """``chunk, bag, n, reach`` of every first row; ``reach`` is the most words a pair can share that meets in the chunk."""
-    every = F.concat(F.slice("words", 1, F.col("n_cold")), F.col("chunks"))
-    return (
-        signed.filter("first")
-        .select("bag", F.size("words").alias("n"), "n_cold", "n_hot", F.posexplode(every).alias("at", "chunk"))
-        .select("chunk", "bag", "n", F.when(F.col("at") <= F.col("n_cold"), F.col("n")).otherwise(F.col("n_hot")).alias("reach"))
-    )
+    made = T.StructType.fromDDL("bag long, first boolean, cold array<long>, hot array<int>")
+    schema = T.StructType([*[rows.schema[c] for c in keep], *made.fields])
+    return rows.mapInArrow(_sign_batches(df.sparkSession.sparkContext.broadcast(hot), salted), schema)
 
 
-def can_match(n1: Column, r1: Column, n2: Column, r2: Column, threshold: float = THRESHOLD) -> Column:
-    """Whether two records of so many words, sharing at most ``least(r1, r2)``, can have enough overlap."""
-    t = Fraction(str(threshold))
-    return F.least(r1, r2) * (t.numerator + t.denominator) >= t.numerator * (n1 + n2)
+def differing(n: np.ndarray | int, t: Fraction):
+    """The most words that differ between two records of ``n`` words together and overlap ``t``."""
+    num, both = t.numerator, t.numerator + t.denominator
+    return n - 2 * ((num * n + both - 1) // both)
+
+
+def _run_starts(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+
+
+def posted_chunks(cold: np.ndarray, n_cold: np.ndarray, hot: np.ndarray, n_hot: np.ndarray, weight: np.ndarray, t: Fraction) -> dict[str, np.ndarray]:
+    """``rec, chunk, pos, low, len, level`` of the chunks that records post; words are flat, counts by record.
+
+    ``pos`` is the place of a chunk of hot words among those of its level, from 1, and ``low`` the greatest ``D`` that the
+    level before serves (-1 if the record has none); cold chunks have place 1, level 0 and ``low`` ``_COLD``.
+    """
+    n, num, den = n_cold + n_hot, t.numerator, t.denominator
+    least = -(-num * n // den)
+    of_cold = np.repeat(np.arange(len(n)), n_cold)
+    place = np.arange(len(cold)) - np.repeat(np.cumsum(n_cold) - n_cold, n_cold)
+    kept = place < (n - least + 1)[of_cold]
+    out = {"rec": [of_cold[kept]], "chunk": [mixed(cold[kept], 1)]}
+    ones = np.ones(int(kept.sum()), np.int64)
+    out |= {"pos": [ones], "low": [ones * _COLD], "len": [ones], "level": [ones * 0]}
+
+    most = n_hot * den // num - n  # the greatest D
+    open_ = np.flatnonzero((n_hot > 0) & (most >= 0))
+    begin = np.ceil(np.log2(np.minimum(n_cold, np.maximum(most, 0)) + 1)).astype(np.int64)  # a partner stops no earlier
+    hashed = mixed(hot, 2)
+    gain = weight[hot // _AGAIN] if len(hot) else np.zeros(0, np.int64)
+    hot_start = np.cumsum(n_hot) - n_hot
+    before = np.full(len(n), -1)
+    level = 0
+    while len(open_):
+        now = open_[begin[open_] <= level]
+        if len(now):
+            serves = 1 << level
+            m = serves + serves // 2
+            size = n_hot[now]
+            at = np.repeat(hot_start[now] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            who = np.repeat(np.arange(len(now)), size)
+            h = hashed[at]
+            range_ = ((h >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(who * m + range_, kind="stable")  # normalised record in hash order, cut at the ranges
+            key = (who * m + range_)[order]
+            starts = _run_starts(key)
+            with np.errstate(over="ignore"):
+                digest = mixed(np.add.reduceat(mixed(h[order], 3), starts), 16 + level)
+            told = np.add.reduceat(gain[at][order], starts)
+            length = np.diff(np.r_[starts, len(key)])
+            owner = key[starts] // m
+            order = np.lexsort((digest, -told, owner))
+            owner, digest, length = owner[order], digest[order], length[order]
+            first = _run_starts(owner)
+            chunks = np.diff(np.r_[first, len(owner)])
+            pos = np.arange(len(owner)) - np.repeat(first, chunks) + 1
+            rec = now[owner]
+            good = pos <= np.minimum(serves, most[rec] + 1)
+            out["rec"].append(rec[good])
+            out["chunk"].append(digest[good])
+            out["pos"].append(pos[good])
+            out["low"].append(before[rec[good]])
+            out["len"].append(length[good])
+            out["level"].append(np.full(int(good.sum()), level + 1))
+            served = np.minimum(chunks, serves) - 1
+            before[now] = served
+            open_ = np.setdiff1d(open_, now[served >= most[now]], assume_unique=True)
+        level += 1
+    return {k: np.concatenate(v) for k, v in out.items()}
+
+
+def parities(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit words for each record: the parities of its words by 128 hash values."""
+    bit = (mixed(flat, 4) & np.uint64(127)).astype(np.int64)
+    odd = np.bincount(np.repeat(np.arange(len(counts)), counts) * 128 + bit, minlength=128 * len(counts)).reshape(-1, 128) & 1
+    packed = np.packbits(odd.astype(np.uint8), axis=1).view("<u8")
+    return packed[:, 0], packed[:, 1]
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Flat values and sizes of a list column."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], np.diff(offsets).astype(np.int64)
+
+
+def _deal(hot, t: Fraction, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``side, bag, cold, hot, salt`` become blobs of records and posted chunks for each part of the chunk digests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = Words(hot.value).weight
+        for whole in batches:
+            for start in range(0, whole.num_rows, _RECORDS):
+                batch = whole.slice(start, _RECORDS)
+                (cold, n_cold), (warm, n_hot) = _lists(batch.column(2)), _lists(batch.column(3))
+                warm = warm.astype(np.int64)
+                posted = posted_chunks(cold, n_cold, warm, n_hot, weight, t)
+                posted["chunk"] ^= mixed(batch.column(4).to_numpy(), 7)[posted["rec"]]
+                records = np.zeros(len(n_cold), RECORD)
+                every = np.argsort(np.r_[np.repeat(np.arange(len(n_cold)), n_cold), np.repeat(np.arange(len(n_hot)), n_hot)], kind="stable")
+                records["s0"], records["s1"] = parities(np.r_[cold, warm][every], n_cold + n_hot)
+                records["bag"], records["side"] = batch.column(1).to_numpy(), batch.column(0).to_numpy()
+                records["n"], records["c"] = n_cold + n_hot, n_cold
+                part = ((posted["chunk"] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                starts = _run_starts(part[order])
+                names, blobs = [], []
+                for low, high in zip(starts, np.r_[starts[1:], len(order)], strict=True):
+                    own = order[low:high]
+                    rec, place = np.unique(posted["rec"][own], return_inverse=True)
+                    rows = np.zeros(len(own), POSTED)
+                    rows["chunk"] = posted["chunk"][own] & np.uint64(0xFFFFFFFF)
+                    rows["rec"] = place
+                    rows["pos"] = np.minimum(posted["pos"][own], 65535)
+                    rows["low"] = np.minimum(posted["low"][own], 32767)
+                    rows["len"] = np.minimum(posted["len"][own], 65535)
+                    rows["level"] = posted["level"][own]
+                    names.append(int(part[own[0]]))
+                    blobs.append(np.array([len(rec)], "<u4").tobytes() + records[rec].tobytes() + rows.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+    return run
+
+
+def pair_ok(a: np.ndarray, b: np.ndarray, m: np.ndarray, t: Fraction, cross: bool) -> np.ndarray:
+    """Which members ``m[a]``, ``m[b]`` of one chunk can be a pair of enough overlap that isn't found at a level before."""
+    n, c, pos, low = m["n"], m["c"], m["pos"], m["low"]
+    d = differing(n[a] + n[b], t)
+    cold = low[a] == _COLD
+    hot_d = np.where(cold, d, d - c[a] - c[b])
+    good = (hot_d >= 0) & (np.maximum(pos[a], pos[b]) <= hot_d + 1)
+    good &= cold | (np.minimum(low[a], low[b]) < 0) | (hot_d > np.maximum(low[a], low[b]))
+    good &= (m["side"][a] != m["side"][b]) if cross else (m["bag"][a] != m["bag"][b])
+    at = np.flatnonzero(good)
+    a, b = a[at], b[at]
+    apart = np.bitwise_count(m["s0"][a] ^ m["s0"][b]).astype(np.int64) + np.bitwise_count(m["s1"][a] ^ m["s1"][b])
+    return at[apart <= d[at]]
+
+
+def _columns(members: np.ndarray) -> dict[str, np.ndarray]:
+    return {k: np.ascontiguousarray(members[k]) for k in members.dtype.names}
+
+
+def _group_pairs(group: np.ndarray, m: dict[str, np.ndarray], t: Fraction, cross: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs within groups, which are sorted."""
+    left, right = [], []
+    shift, rows = 1, np.arange(len(group))
+    while True:
+        rows = rows[rows + shift < len(group)]
+        rows = rows[group[rows] == group[rows + shift]]
+        if not len(rows):
+            break
+        for start in range(0, len(rows), 1 << 16):
+            a = rows[start : start + (1 << 16)]
+            b = a + shift
+            at = pair_ok(a, b, m, t, cross)
+            if len(at):
+                left.append(a[at])
+                right.append(b[at])
+        shift += 1
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of each of ``n`` things' component."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+_FOUND = ["kind", "grp", "bag", "other", "level", "met", "blob"]
+FOUND = "kind int, grp long, bag long, other long, level long, met long, blob binary"
+
+
+def _found(kind: int, **columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    kinds = {"kind": pa.int32(), "blob": pa.binary()}
+    columns["kind"] = np.full(n, kind, np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds.get(c, pa.int64())) if c in columns else pa.nulls(n, kinds.get(c, pa.int64())) for c in _FOUND], _FOUND)
+
+
+def _pairs_out(a: np.ndarray, b: np.ndarray, group: np.ndarray, m: dict[str, np.ndarray], cross: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs as they are across sides (with the words of the shared chunks), else the components of each group."""
+    if not len(a):
+        return
+    if cross:
+        swap = m["side"][a] > m["side"][b]
+        one, two = np.where(swap, b, a), np.where(swap, a, b)
+        bag, other, level, met = m["bag"][one], m["bag"][two], m["level"][one], m["len"][one]
+        order = np.lexsort((level, other, bag))
+        bag, other, level, met = bag[order], other[order], level[order], met[order]
+        starts = np.flatnonzero(np.r_[True, (bag[1:] != bag[:-1]) | (other[1:] != other[:-1]) | (level[1:] != level[:-1])])
+        yield _found(0, bag=bag[starts], other=other[starts], level=level[starts], met=np.add.reduceat(met, starts))
+        return
+    used, place = np.unique(np.r_[a, b], return_inverse=True)
+    label = used[least_labels(len(used), place[: len(a)], place[len(a) :])]
+    with np.errstate(over="ignore"):
+        grp = mixed(group[used], 5) ^ mixed(m["bag"][label], 6)
+    yield _found(0, grp=grp.view(np.int64), bag=m["bag"][used])
+
+
+def _meet(t: Fraction, block: int, cross: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """All blobs of a part: what its chunks let meet (kind 0), and chunks of more than ``block`` records (kind 1) as pairs of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_part: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = blob.as_buffer()
+                n = int(np.frombuffer(raw, "<u4", 1)[0])
+                by_part.setdefault(part, []).append((np.frombuffer(raw, RECORD, n, 4), np.frombuffer(raw, POSTED, -1, 4 + n * RECORD.itemsize)))
+        for part in list(by_part):
+            blobs = by_part.pop(part)
+            ends = np.cumsum([0] + [len(r) for r, _ in blobs])
+            records = np.concatenate([r for r, _ in blobs])
+            posted = np.concatenate([p for _, p in blobs])
+            rec = np.concatenate([p["rec"].astype(np.int64) + e for (_, p), e in zip(blobs, ends, strict=False)])
+            _, firsts, same = np.unique((records["bag"] << 1) | records["side"] * cross, return_index=True, return_inverse=True)
+            rec, records = same[rec], records[firsts]
+            chunk = posted["chunk"]
+            order = np.lexsort((rec, chunk))
+            chunk, rec = chunk[order], rec[order]
+            fresh = np.r_[True, (chunk[1:] != chunk[:-1]) | (rec[1:] != rec[:-1])]
+            order, chunk, rec = order[fresh], chunk[fresh], rec[fresh]
+            starts = _run_starts(chunk)
+            sizes = np.diff(np.r_[starts, len(chunk)])
+            useful = sizes > 1
+            if cross and len(starts):
+                side = records["side"][rec]
+                useful &= np.minimum.reduceat(side, starts) != np.maximum.reduceat(side, starts)
+            keep = np.repeat(useful, sizes)
+            order, rec, sizes = order[keep], rec[keep], sizes[useful]
+            group = np.repeat(np.arange(len(sizes)), sizes) + (part << 40)
+            members = np.zeros(len(rec), MEMBER)
+            for name in RECORD.names:
+                members[name] = records[name][rec]
+            for name in ("pos", "low", "len", "level"):
+                members[name] = posted[name][order]
+            del records, posted
+            large = np.repeat(sizes > block, sizes)
+            m = _columns(members[~large])
+            a, b = _group_pairs(group[~large], m, t, cross)
+            yield from _pairs_out(a, b, group[~large], m, cross)
+            for g in np.unique(group[large]):
+                own = members[group == g]
+                blocks = np.array_split(own, -(-len(own) // block))
+                for i, x in enumerate(blocks):
+                    for y in blocks[i:]:
+                        both = x if y is x else np.concatenate([x, y])
+                        yield _found(1, grp=np.array([g]), met=np.array([len(x)]), blob=[both.tobytes()])
+
+    return run
+
+
+def _meet_blocks(t: Fraction, cross: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of blocks, one row each: pairs within the block, if it is one, or between the two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for grp, split, blob in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), batch.column(6), strict=True):
+                members = np.frombuffer(blob.as_buffer(), MEMBER)
+                m = _columns(members)
+                group = np.full(len(members), grp)
+                if split == len(members):
+                    a, b = _group_pairs(group, m, t, cross)
+                else:
+                    left, right, second = [], [], np.arange(split, len(members))
+                    for i in range(0, split, 8):
+                        one = np.repeat(np.arange(i, min(i + 8, split)), len(second))
+                        two = np.tile(second, min(i + 8, split) - i)
+                        at = pair_ok(one, two, m, t, cross)
+                        left.append(one[at])
+                        right.append(two[at])
+                    a, b = np.concatenate(left), np.concatenate(right)
+                yield from _pairs_out(a, b, group, m, cross)
+
+    return run
+
+
+def met(signed: DataFrame, hot: dict[str, int], *, threshold: float = THRESHOLD, cross: str | None = None, apart: str | None = None, block: int | None = None) -> DataFrame:
+    """What posted chunks let meet and the bounds don't rule out.
+
+    With ``cross``, a boolean column of ``signed``: ``bag, other, met``, once for each pair of a false and a true record,
+    ``met`` being the words of the shared chunks, cold ones and those of one level. Else ``grp, bag``: records linked by
+    such pairs in one chunk. Records that differ in the column ``apart`` don't meet.
+    """
+    spark, t = signed.sparkSession, Fraction(str(threshold))
+    firsts = signed.filter("first").select((F.col(cross) if cross else F.lit(0)).cast("int").alias("side"), "bag", "cold", "hot", (F.xxhash64(apart) if apart else F.lit(0).cast("long")).alias("salt"))
+    n_words = firsts.agg(F.sum(F.size("cold") + F.size("hot"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_words * 20 // PART_BYTES))
+    dealt = firsts.mapInArrow(_deal(spark.sparkContext.broadcast(hot), t, parts), "part int, blob binary")
+    block = block or BLOCK
+    found = materialise(dealt.repartitionById(parts, F.col("part")).mapInArrow(_meet(t, block, bool(cross)), FOUND), "met")
+    large = found.filter("kind = 1").repartition("grp", "met", "blob").mapInArrow(_meet_blocks(t, bool(cross)), FOUND)
+    every = found.filter("kind = 0").unionByName(large)
+    if not cross:
+        return every.select("grp", "bag")
+    lengths = every.groupBy("bag", "other", "level").agg(F.sum("met").alias("met"))
+    cold = F.coalesce(F.max(F.when(F.col("level") == 0, F.col("met"))), F.lit(0))
+    return lengths.groupBy("bag", "other").agg((cold + F.coalesce(F.max(F.when(F.col("level") > 0, F.col("met"))), F.lit(0))).alias("met"))
+
+
+def words_of(signed: DataFrame) -> DataFrame:
+    """``bag, words`` in the global order, each bag once."""
+    once = signed.filter("first").groupBy("bag").agg(F.first("cold").alias("cold"), F.first("hot").alias("hot"))
+    return once.select("bag", F.concat("cold", F.col("hot").cast("array<long>")).alias("words"))
 
 
 def enough(shared: Column, n1: Column, n2: Column, threshold: float = THRESHOLD) -> Column:
