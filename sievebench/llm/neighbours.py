@@ -1,20 +1,23 @@
 """The k most similar vectors of every vector by a block matrix join of int8 product tiles.
 
 Vectors are dealt to cells around centroids, fitted on a bounded sample; every vector is stored in its nearest cell and
-asks its nearest cells, the more the more cells there are (``probes_of``). Cells near each other form regions, so that a vector travels once to a region and not
-once to a cell; a region above ``BLOCK`` rows is dealt to several blocks, which each get the region's questions.
+asks its nearest cells, the more the more cells there are (``probes_of``). Cells near each other form regions, so that a
+vector travels once to a region and not once to a cell. A region's stored rows are dealt to blocks of about ``BLOCK`` and
+its questions to parts of about ``ASKS``, and each block meets each part in a task of its own.
 
-In a block, tiles of int8 products give each cosine with a bound of its quantisation error. The k-th largest lower bound
-is a threshold; pairs whose upper bound reaches it survive, are recomputed in double precision and merged with the best so
-far. Stored vectors travel as floats, the more numerous asking ones as 16-bit codes, which leaves cosines an error of
-about 2e-5 (``FINE`` bounds it); ``close_pairs`` computes those that near a limit again from the vectors themselves.
-Otherwise the only loss is a neighbour in a cell that is not asked. Equal vectors of a block are stored up to k + 1 times, so copies cost nothing beyond that.
+In a block, tiles of int8 codes are multiplied exactly (the products of codes are whole numbers below 2**24 up to 1,040
+dimensions, which single precision holds without rounding) and give each cosine with a bound of its quantisation error.
+The k-th largest lower bound is a threshold; pairs whose upper bound reaches it survive, are recomputed in double precision
+from the unit vectors and go through a heap of the k best of each question. Heaps of unlike blocks are merged at last. So
+the only loss is a neighbour in a cell that is not asked; with ``probes`` of at least the number of cells there is none.
+Equal vectors of a block are stored up to k + 1 times, those of the least ids, so copies cost nothing beyond that.
 
 The work of a vector is ``probes_of(cells)`` cells of about ``CELL`` rows; recall is measured in the tests.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,13 +32,14 @@ K = 5
 CELL = 5000
 #: The fewest cells that a vector asks.
 PROBES = 5
-REGION_CELLS = 5
-BLOCK = 49152
-#: Rows the centroids are fitted on: 40 for each cell, and no fewer than 20,000.
-SAMPLE, SAMPLE_PER_CELL = 20_000, 40
-MOST_CELLS = 4096
-#: Bound of the error that 16-bit codes of up to 1,000 numbers leave in a cosine.
-FINE = 3e-4
+REGION_CELLS = 6
+BLOCK, ASKS = 65536, 131072
+#: Rows the centroids are fitted on: 40 for each cell, no fewer than 20,000 and no more than a million.
+SAMPLE, SAMPLE_PER_CELL, SAMPLE_MOST = 20_000, 40, 1_000_000
+#: More centroids than this are fitted in two steps, groups first.
+FLAT = 1024
+#: Bound of the error that unit vectors in single precision leave in a cosine.
+FINE = 1e-5
 #: Ids up to this number are broadcast, more are joined by a shuffle.
 SMALL = 200_000
 
@@ -77,19 +81,31 @@ def spherical_means(sample: np.ndarray, cells: int, seed: int = 3, rounds: int =
     return centroids
 
 
+def fitted_means(sample: np.ndarray, cells: int) -> np.ndarray:
+    """Unit centroids of a sample; many are fitted within groups, so the work stays near proportional to the sample."""
+    if cells <= FLAT:
+        return spherical_means(sample, cells)
+    groups = round(cells**0.5)
+    near = np.concatenate([(part @ spherical_means(sample, groups).T).argmax(1) for part in np.array_split(sample, -(-len(sample) // 65536))])
+    sizes = np.bincount(near, minlength=groups)
+    share = np.maximum(1, np.round(cells * sizes / len(sample)).astype(int))
+    return np.concatenate([spherical_means(sample[near == g], int(min(share[g], sizes[g]))) for g in range(groups) if sizes[g]])
+
+
 @dataclass
 class Layout:
-    """Centroids, the region of each cell, and the first block and number of blocks of each region."""
+    """Centroids, the region of each cell, and each region's first task, blocks of stored rows and parts of questions."""
 
     centroids: np.ndarray
     region: np.ndarray
-    first_block: np.ndarray
+    first_task: np.ndarray
     n_blocks: np.ndarray
+    n_parts: np.ndarray
     probes: int
 
     @property
-    def blocks(self) -> int:
-        return int(self.n_blocks.sum())
+    def tasks(self) -> int:
+        return int((self.n_blocks * self.n_parts).sum())
 
 
 def probes_of(cells: int) -> int:
@@ -97,23 +113,42 @@ def probes_of(cells: int) -> int:
     return max(PROBES, round(cells**0.75 / 4))
 
 
-def plan(sample: np.ndarray, rows: int, cell: int = CELL, probes: int | None = None, block: int = BLOCK) -> Layout:
-    """The layout for so many rows; block counts are estimated from the sample and only balance the load."""
-    cells = int(max(1, min(MOST_CELLS, len(sample), round(rows / cell))))
-    centroids = spherical_means(sample, cells)
+def _nearest_cells(x: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
+    """The nearest cells of each row, the nearest first."""
+    score = x @ centroids.T
+    if probes < score.shape[1]:
+        near = np.argpartition(-score, probes - 1, axis=1)[:, :probes]
+    else:
+        near = np.tile(np.arange(score.shape[1]), (len(x), 1))
+    return np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, 1), axis=1, kind="stable"), 1)
+
+
+def plan(sample: np.ndarray, rows: int, cell: int = CELL, probes: int | None = None, block: int = BLOCK, asks: int = ASKS) -> Layout:
+    """The layout for so many rows; numbers of blocks and parts are estimated from the sample and only balance the load."""
+    cells = int(max(1, min(len(sample), round(rows / cell))))
+    centroids = fitted_means(sample, cells)
+    cells = len(centroids)
     regions = max(1, cells // REGION_CELLS)
     region = (centroids @ spherical_means(centroids, regions, rounds=12).T).argmax(1) if regions > 1 else np.zeros(cells, np.int64)
     region = np.unique(region, return_inverse=True)[1]
-    held = np.bincount(region[(sample @ centroids.T).argmax(1)], minlength=region.max() + 1) * (rows / max(1, len(sample)))
-    n_blocks = np.maximum(1, np.ceil(held / block)).astype(np.int64)
-    return Layout(centroids, region, np.r_[0, np.cumsum(n_blocks)[:-1]], n_blocks, min(probes or probes_of(cells), cells))
+    probes = min(probes or probes_of(cells), cells)
+    held, asked = np.zeros(region.max() + 1), np.zeros(region.max() + 1)
+    for part in np.array_split(sample[:SAMPLE], -(-min(len(sample), SAMPLE) // 4096)):
+        of = region[_nearest_cells(part, centroids, probes)]
+        held += np.bincount(of[:, 0], minlength=len(held))
+        asked += np.bincount(np.unique(np.arange(len(of))[:, None] * len(held) + of) % len(held), minlength=len(held))
+    scale = rows / max(1, min(len(sample), SAMPLE))
+    n_blocks, n_parts = (np.maximum(1, np.ceil(x * scale / most)).astype(np.int64) for x, most in ((held, block), (asked, asks)))
+    tasks = n_blocks * n_parts
+    return Layout(centroids, region, np.cumsum(tasks) - tasks, n_blocks, n_parts, probes)
 
 
 def _deal(shared, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``block, asks, id, cells, vector``: each vector once as stored, and once for each block it asks."""
+    """``task, asks, id, cells, vector``: each vector once for each part as stored, and once for each block it asks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout = shared.value
+        regions = len(layout.n_blocks)
         for whole in batches:
             for at in range(0, whole.num_rows, 8192):
                 batch = whole.slice(at, 8192)
@@ -121,63 +156,57 @@ def _deal(shared, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 if not len(rows):
                     continue
                 ids = batch.column(0).take(pa.array(rows)).to_numpy()
-                score = x @ layout.centroids.T
-                n, probes = len(x), layout.probes
-                if probes < score.shape[1]:
-                    near = np.argpartition(-score, probes - 1, axis=1)[:, :probes]
-                else:
-                    near = np.tile(np.arange(score.shape[1]), (n, 1))
-                near = np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, 1), axis=1, kind="stable"), 1).astype(np.int32)
+                near = _nearest_cells(x, layout.centroids, layout.probes)
+                n, probes = near.shape
+                hashed = (ids * 2654435761 >> 7) & 0x7FFFFFFF
+                # questions: a row and a region, with the cells asked there, the nearest first
+                key = np.arange(n)[:, None] * regions + layout.region[near]
+                order = np.argsort(key.ravel(), kind="stable")
+                pairs, starts = np.unique(key.ravel()[order], return_index=True)
+                cells = pa.ListArray.from_arrays(pa.array(np.r_[starts, n * probes].astype(np.int32)), pa.array(near.ravel()[order].astype(np.int32)))
+                who, region = pairs // regions, pairs % regions
+                copies = layout.n_blocks[region]
+                pair = np.repeat(np.arange(len(pairs)), copies)
+                block = np.arange(len(pair)) - np.repeat(np.cumsum(copies) - copies, copies)
+                who, region = who[pair], region[pair]
+                asked = layout.first_task[region] + block * layout.n_parts[region] + hashed[who] % layout.n_parts[region]
+                # stored rows: one block, all its parts
                 own = near[:, 0]
-                region = layout.region[own]
-                stored = layout.first_block[region] + (ids * 2654435761 >> 7) % layout.n_blocks[region]
-                held = [c.tobytes() for c in own[:, None]]
-                ask_row: list[int] = []
-                ask_block: list[int] = []
-                ask_cells: list[bytes] = []
-                regions = layout.region[near]
-                for i in range(n):
-                    for r in dict.fromkeys(regions[i].tolist()):
-                        mine = near[i][regions[i] == r].tobytes()
-                        for b in range(layout.first_block[r], layout.first_block[r] + layout.n_blocks[r]):
-                            ask_row.append(i)
-                            ask_block.append(b)
-                            ask_cells.append(mine)
-                every = np.r_[np.arange(n), np.array(ask_row, np.int64)]
-                coded = fine_codes(x)
+                parts = layout.n_parts[layout.region[own]]
+                row = np.repeat(np.arange(n), parts)
+                region = layout.region[own[row]]
+                part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+                stored = layout.first_task[region] + hashed[row] // 64 % layout.n_blocks[region] * layout.n_parts[region] + part
+                every = np.r_[row, who]
+                flat = pa.py_buffer(np.ascontiguousarray(x[every]).tobytes())
+                ends = pa.py_buffer((np.arange(len(every) + 1) * 4 * dim).astype(np.int32).tobytes())
+                single = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1).astype(np.int32)), pa.array(own[row].astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.r_[stored, np.array(ask_block, np.int64)].astype(np.int32)),
-                        pa.array(np.r_[np.zeros(n, bool), np.ones(len(ask_row), bool)]),
+                        pa.array(np.r_[stored, asked].astype(np.int32)),
+                        pa.array(np.r_[np.zeros(len(row), bool), np.ones(len(who), bool)]),
                         pa.array(ids[every], pa.int64()),
-                        pa.array(held + ask_cells, pa.binary()),
-                        pa.array([*(v.tobytes() for v in x), *(coded[i] for i in ask_row)], pa.binary()),
+                        pa.concat_arrays([single, cells.take(pa.array(pair))]),
+                        pa.Array.from_buffers(pa.binary(), len(every), [None, ends, flat]),
                     ],
-                    ["block", "asks", "id", "cells", "vector"],
+                    ["task", "asks", "id", "cells", "vector"],
                 )
 
     return run
 
 
-def fine_codes(x: np.ndarray) -> list[bytes]:
-    """16-bit codes of each row, then its scale."""
-    scale = (np.maximum(np.abs(x).max(1, keepdims=True), 1e-30) / 32767).astype(np.float32)
-    codes = np.round(x / scale).astype(np.int16)
-    return [c.tobytes() + s.tobytes() for c, s in zip(codes, scale, strict=True)]
-
-
-def decode_fine(rows: list[bytes], dim: int) -> np.ndarray:
-    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), 2 * dim + 4)
-    codes, scale = raw[:, : 2 * dim].copy().view(np.int16), raw[:, 2 * dim :].copy().view(np.float32)
-    return codes.astype(np.float32) * scale
+def int8_codes(x: np.ndarray, scale: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers of at most 127 in size that stand for ``x / scale``, and a bound of each row's distance from what they stand for."""
+    codes = np.round(x / scale).astype(np.int8)
+    error = np.sqrt(((x - codes.astype(np.float64) * scale) ** 2).sum(1))
+    return codes, (error * (1 + 1e-6) + 1e-6).astype(np.float32)
 
 
-def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values that int8 codes stand for, as floats for the product, and the length of each row's error."""
-    scale = np.maximum(np.abs(x).max(1, keepdims=True), 1e-30) / 127
-    codes = np.round(x / scale).astype(np.int8)
-    values = codes.astype(np.float32) * scale
-    return values, np.sqrt(((x - values).astype(np.float64) ** 2).sum(1)).astype(np.float32) + 1e-6
+def code_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All products of rows of int8 codes, exact up to 1,040 numbers a row."""
+    if a.shape[1] > 1040:
+        return (a.astype(np.int32) @ b.astype(np.int32).T).astype(np.float64)
+    return a.astype(np.float32) @ b.astype(np.float32).T
 
 
 class Store:
@@ -185,110 +214,119 @@ class Store:
 
     def __init__(self, ids: np.ndarray, cells: np.ndarray, x: np.ndarray, k: int) -> None:
         order = np.lexsort((ids, cells))
-        seen: dict[bytes, int] = {}
-        keep = []
-        for i in order:
-            v = x[i].tobytes()
-            seen[v] = seen.get(v, 0) + 1
-            if seen[v] <= k + 1:
-                keep.append(i)
-        keep = np.array(keep, np.int64)
+        rows = np.ascontiguousarray(x[order]).view(f"V{x.shape[1] * x.itemsize}").ravel()
+        same = np.unique(rows, return_inverse=True)[1]
+        by = np.argsort(same, kind="stable")
+        starts = np.flatnonzero(np.r_[True, same[by][1:] != same[by][:-1]])
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by)) - np.repeat(starts, np.diff(np.r_[starts, len(by)]))
+        keep = order[place <= k] if len(order) else order
         self.ids, self.x, cells = ids[keep], x[keep], cells[keep]
-        self.codes, self.errors = quantise(self.x)
+        self.scale = max(float(np.abs(self.x).max(initial=0)), 1e-30) / 127
+        codes, self.errors = int8_codes(self.x, self.scale)
+        self.codes = codes.astype(np.float32) if x.shape[1] <= 1040 else codes  # whole numbers, as the product takes them
         self.cell_ids, starts = np.unique(cells, return_index=True)
         self.bounds = {int(c): (int(a), int(b)) for c, a, b in zip(self.cell_ids, starts, np.r_[starts[1:], len(cells)], strict=True)}
 
 
-def tile_survivors(store: Store, low: int, high: int, q: np.ndarray, qe: np.ndarray, x: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(question, stored row)`` of the pairs of a tile that can be among the k best; ``floor`` is what is already sure."""
-    tile = q @ store.codes[low:high].T
+def tile_survivors(store: Store, low: int, high: int, codes: np.ndarray, scale: np.ndarray, error: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(question, stored row)`` of the pairs of a tile that can be among the k best; ``floor`` is what is already sure.
+
+    ``codes``, ``scale`` and ``error`` are those of the questions.
+    """
+    tile = code_products(codes, store.codes[low:high])
     worst = float(store.errors[low:high].max())
-    band = qe + worst + qe * worst + 1e-5
+    unit = scale * store.scale  # a product of codes stands for so much
+    band = error + worst + error * worst + 1e-5
     n, m = tile.shape
     groups = min(m, 64)
     width = m // groups
-    best = tile[:, : groups * width].reshape(n, groups, width).max(2)
     want = min(k + 1, groups)  # one may be the question itself
-    sure = np.partition(best, groups - want, axis=1)[:, groups - want] - band if groups >= k + 1 else np.full(n, -2, np.float32)
-    hits = tile >= (np.maximum(sure, floor) - band)[:, None]
-    many = np.flatnonzero(hits.sum(1) > 512)
-    if len(many):  # a crowd at the same distance: rank exact products instead
-        exact = x[many] @ store.x[low:high].T
-        top = np.argpartition(-exact, min(m - 1, 8 * k), axis=1)[:, : 8 * k + 1]
-        lowest = np.take_along_axis(exact, top, 1).min(1)
-        hits[many] = exact >= lowest[:, None]
-        tied = np.flatnonzero(hits[many].sum(1) > 2048)
-        for i in tied:  # products equal to the last bit: the least ids, as stored
-            above = exact[i] > lowest[i]
-            hits[many[i]] = above
-            hits[many[i], np.flatnonzero(exact[i] == lowest[i])[: 8 * k]] = True
-    at = np.flatnonzero(hits)
+    if groups >= k + 1:
+        best = tile[:, : groups * width].reshape(n, groups, width).max(2)
+        floor = np.maximum(floor, np.partition(best, groups - want, axis=1)[:, groups - want] * unit - band)
+    at = np.flatnonzero(tile >= ((floor - band) / unit)[:, None])
     return at // m, at % m + low
 
 
-def _answer(store: Store, ids: np.ndarray, cells: list[np.ndarray], x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best stored rows of each question in the cells it asks: ``id, other, cosine``."""
-    n = len(ids)
-    q, qe = quantise(x)
-    best = np.full((n, k), -2.0)
-    other = np.full((n, k), np.iinfo(np.int64).max)
-    asked: dict[tuple[int, int], list[int]] = {}
-    for i, own in enumerate(cells):
-        for rank, c in enumerate(own.tolist()):
-            if c in store.bounds:
-                asked.setdefault((rank, c), []).append(i)
-    for rank, c in sorted(asked):
-        who = np.array(asked[rank, c])
-        low, high = store.bounds[c]
-        a, b = tile_survivors(store, low, high, q[who], qe[who], x[who], best[who, -1].astype(np.float32) - 1e-6, k)
-        rows = who[a]
+def _merge(heaps: list[list], worst: np.ndarray, rows: np.ndarray, cosines: np.ndarray, ids: np.ndarray, k: int) -> None:
+    """Pushes scored pairs on the heaps of the k best, the greater id being the worse at a tie."""
+    at = np.flatnonzero(cosines >= worst[rows])
+    for row, pair in zip(rows[at].tolist(), zip(cosines[at].tolist(), (-ids[at]).tolist(), strict=True), strict=True):
+        heap = heaps[row]
+        if len(heap) < k:
+            heapq.heappush(heap, pair)
+        elif pair > heap[0]:
+            heapq.heapreplace(heap, pair)
+    for row in np.unique(rows[at]).tolist():
+        if len(heaps[row]) == k:
+            worst[row] = heaps[row][0][0]
+
+
+def _answer(store: Store, ids: np.ndarray, who: np.ndarray, cells: np.ndarray, rank: np.ndarray, x: np.ndarray, k: int) -> tuple[list[int], list[int], list[float]]:
+    """The k best stored rows of each question in the cells it asks: ``id, other, cosine``.
+
+    ``who, cells, rank`` are the questions' places, the cells they ask and their order.
+    """
+    scale = np.maximum(np.abs(x).max(1, keepdims=True), 1e-30) / 127
+    codes, error = int8_codes(x, scale)
+    codes = codes.astype(np.float32) if x.shape[1] <= 1040 else codes
+    scale = scale[:, 0].astype(np.float64)
+    heaps: list[list[tuple[float, int]]] = [[] for _ in ids]
+    worst = np.full(len(ids), -2.0)
+    order = np.lexsort((who, cells, rank))
+    step = rank[order].astype(np.int64) << 32 | cells[order]
+    starts = np.flatnonzero(np.r_[True, step[1:] != step[:-1]]) if len(step) else np.zeros(0, np.int64)
+    for first, last in zip(starts, np.r_[starts[1:], len(order)], strict=True):
+        bounds = store.bounds.get(int(cells[order[first]]))
+        if bounds is None:
+            continue
+        mine = who[order[first:last]]
+        a, b = tile_survivors(store, *bounds, codes[mine], scale[mine], error[mine], worst[mine] - 1e-6, k)
+        rows = mine[a]
         apart = ids[rows] != store.ids[b]
         rows, b = rows[apart], b[apart]
-        if not len(rows):
-            continue
-        exact = np.einsum("ij,ij->i", x[rows], store.x[b], dtype=np.float64)
-        touched, index = np.unique(rows, return_inverse=True)
-        all_rows = np.r_[index, np.repeat(np.arange(len(touched)), k)]
-        all_cos, all_ids = np.r_[exact, best[touched].ravel()], np.r_[store.ids[b], other[touched].ravel()]
-        order = np.lexsort((all_ids, -all_cos, all_rows))
-        starts = np.searchsorted(all_rows[order], np.arange(len(touched)))
-        take = order[starts[:, None] + np.arange(k)]
-        best[touched], other[touched] = all_cos[take], all_ids[take]
-    got = best > -2
-    rows = np.nonzero(got)[0]
-    return ids[rows], other[got], best[got]
-
-
-def _tiles(k: int, dim: int, at_once: int = 1024) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by block, stored ones first, become the best pairs of each block."""
+        for at in range(0, len(rows), 1 << 17):
+            some, other = rows[at : at + (1 << 17)], b[at : at + (1 << 17)]
+            exact = np.einsum("ij,ij->i", x[some], store.x[other], dtype=np.float64)
+            _merge(heaps, worst, some, exact, store.ids[other], k)
+    found = [(i, -other, cosine) for i, heap in zip(ids.tolist(), heaps, strict=True) for cosine, other in heap]
+    return tuple(map(list, zip(*found, strict=True))) if found else ([], [], [])
+
+
+def _floats(column: pa.Array, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
+
+
+def _tiles(k: int, dim: int, at_once: int = 2048) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by task, stored ones first, become the best pairs of each block. Only the stored rows are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, parts, store = None, [], None
+        task, parts, store = None, [], None
         for whole in batches:
-            blocks, asks = whole.column(0).to_numpy(), whole.column(1).to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (asks[1:] != asks[:-1])) + 1
-            for low, high in zip(np.r_[0, cuts], np.r_[cuts, len(blocks)], strict=True):
+            tasks, asks = whole.column(0).to_numpy(), whole.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((tasks[1:] != tasks[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for low, high in zip(np.r_[0, cuts], np.r_[cuts, len(tasks)], strict=True):
                 if low == high:
                     continue
-                if blocks[low] != block:
-                    block, parts, store = blocks[low], [], None
+                if tasks[low] != task:
+                    task, parts, store = tasks[low], [], None
                 part = whole.slice(low, high - low)
-                ids = part.column(2).to_numpy()
-                cells = part.column(3).to_pylist()
-                x = part.column(4).to_pylist()
                 if not asks[low]:
-                    x = np.frombuffer(b"".join(x), np.float32).reshape(-1, dim)
-                    parts.append((ids, np.frombuffer(b"".join(cells), np.int32), x))
+                    parts.append((part.column(2).to_numpy(), part.column(3).flatten().to_numpy(), _floats(part.column(4), dim)))
                     continue
                 if store is None:
                     if not parts:
                         continue
                     store = Store(*(np.concatenate(p) for p in zip(*parts, strict=True)), k)
                     parts = []
-                for at in range(0, len(ids), at_once):
-                    some = [np.frombuffer(c, np.int32) for c in cells[at : at + at_once]]
-                    a, b, cos = _answer(store, ids[at : at + at_once], some, decode_fine(x[at : at + at_once], dim), k)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(cos)], ["id", "other", "cosine"])
+                for at in range(0, part.num_rows, at_once):
+                    some = part.slice(at, at_once)
+                    sizes = some.column(3).value_lengths().to_numpy()
+                    who = np.repeat(np.arange(len(sizes)), sizes)
+                    rank = np.arange(len(who)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    found = _answer(store, some.column(2).to_numpy(), who, some.column(3).flatten().to_numpy(), rank, _floats(some.column(4), dim), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], ["id", "other", "cosine"])
 
     return run
 
@@ -326,6 +364,7 @@ def nearest(
     cell: int = CELL,
     probes: int | None = None,
     block: int = BLOCK,
+    asks: int = ASKS,
 ) -> DataFrame:
     """``id, other, cosine, rank``: the k most similar others of every usable vector, equal cosines by the lesser id.
 
@@ -334,14 +373,14 @@ def nearest(
     """
     rows = vectors.select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("v"))
     n = rows.filter(F.size("v") == dim).count()
-    cells = max(1, min(MOST_CELLS, round(n / cell)))
-    sample = sample_units(vectors, id_, vector, max(SAMPLE, SAMPLE_PER_CELL * cells), dim, n)
+    cells = max(1, round(n / cell))
+    sample = sample_units(vectors, id_, vector, min(SAMPLE_MOST, max(SAMPLE, SAMPLE_PER_CELL * cells)), dim, n)
     if not len(sample):
         return rows.select("id", F.col("id").alias("other"), F.lit(0.0).alias("cosine"), F.lit(0).alias("rank")).limit(0)
-    layout = plan(sample, n, cell, probes, block)
+    layout = plan(sample, n, cell, probes, block, asks)
     shared = vectors.sparkSession.sparkContext.broadcast(layout)
-    dealt = rows.mapInArrow(_deal(shared, dim), "block int, asks boolean, id long, cells binary, vector binary")
-    placed = dealt.repartitionById(layout.blocks, F.col("block")).sortWithinPartitions("block", "asks")
+    dealt = rows.mapInArrow(_deal(shared, dim), "task int, asks boolean, id long, cells array<int>, vector binary")
+    placed = dealt.repartitionById(layout.tasks, F.col("task")).sortWithinPartitions("task", "asks")
     found = placed.mapInArrow(_tiles(k, dim), "id long, other long, cosine double")
     by = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
