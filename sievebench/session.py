@@ -25,23 +25,41 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one is set only where none is, as in local tests."""
+    """The folder of ``spark.checkpoint.dir``; where none is set, a temporary one on a local master and an error on any other."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         there = spark.sparkContext.getCheckpointDir()
         if there is None:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sievebench-"))
             there = spark.sparkContext.getCheckpointDir()
         folder = there
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder once and read it back: no recomputation, and it survives lost executors."""
+def materialise(df: DataFrame, name: str = "table", old: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder once and read it back: no recomputation, and it survives lost executors.
+
+    ``old``, a table of an earlier round that nothing needs any more, is deleted when the new one is there.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.shared_path = path
+    if old is not None:
+        discard(old)
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``materialise`` wrote; other tables are left alone."""
+    path = getattr(table, "shared_path", None)
+    if path:
+        spark = table.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
