@@ -22,8 +22,8 @@ and so on with 1.5 times as many ranges, from the level that a partner can stop
 greatest ``D`` and has more chunks than that, and posts the first ones of each. Both records have the level at which the
 first of them stops. Hence all pairs of enough overlap meet in a chunk, however long they are and whatever words are hot.
 
-Posted chunks travel in blobs of plain arrays with one entry for each record and 13 bytes for each chunk. Where they
-meet, pairs are tested by these bounds and by 128 bits, each the parity of the words whose hash falls on it: a differing
+Posted chunks travel in blobs of plain arrays with one entry for each record and 10 bytes for each chunk. Where they
+meet, pairs are tested by these bounds and by 192 bits, each the parity of the words whose hash falls on it: a differing
 word changes one bit. A chunk that more than ``block`` records share is dealt to pairs of blocks.
 """
 
@@ -56,10 +56,12 @@ _SPLIT = r"[^\p{L}\p{N}]+"
 _AGAIN = 1 << 14
 _RECORDS = 2048
 
-RECORD = np.dtype([("bag", "<i8"), ("s0", "<u8"), ("s1", "<u8"), ("n", "<i4"), ("c", "<i4"), ("side", "<i4")])
-POSTED = np.dtype([("chunk", "<u4"), ("rec", "<u2"), ("pos", "<u2"), ("low", "<i2"), ("len", "<u2"), ("level", "u1")])
-MEMBER = np.dtype([*RECORD.descr, ("pos", "<i4"), ("low", "<i4"), ("len", "<i4"), ("level", "<i4")])
-_COLD = -2
+_BITS = 192
+RECORD = np.dtype([("bag", "<i8"), ("s0", "<u8"), ("s1", "<u8"), ("s2", "<u8"), ("n", "<i4"), ("c", "<i4")])
+#: Places, bounds and lengths above 252 are stored as 252, which only lets more pairs through to the words.
+POSTED = np.dtype([("chunk", "<u4"), ("rec", "<u2"), ("pos", "u1"), ("low", "u1"), ("len", "u1"), ("level", "u1")])
+MEMBER = np.dtype([*RECORD.descr, ("side", "<i4"), ("pos", "<i4"), ("low", "<i4"), ("len", "<i4"), ("level", "<i4")])
+_CLIP, _NONE, _COLD = 252, 254, 255
 
 
 def words(text: str | None) -> list[str]:
@@ -182,7 +184,7 @@ def posted_chunks(cold: np.ndarray, n_cold: np.ndarray, hot: np.ndarray, n_hot:
     """``rec, chunk, pos, low, len, level`` of the chunks that records post; words are flat, counts by record.
 
     ``pos`` is the place of a chunk of hot words among those of its level, from 1, and ``low`` the greatest ``D`` that the
-    level before serves (-1 if the record has none); cold chunks have place 1, level 0 and ``low`` ``_COLD``.
+    level before serves (``_NONE`` if the record has none); cold chunks have place 1, level 0 and ``low`` ``_COLD``.
     """
     n, num, den = n_cold + n_hot, t.numerator, t.denominator
     least = -(-num * n // den)
@@ -199,7 +201,7 @@ def posted_chunks(cold: np.ndarray, n_cold: np.ndarray, hot: np.ndarray, n_hot:
     hashed = mixed(hot, 2)
     gain = weight[hot // _AGAIN] if len(hot) else np.zeros(0, np.int64)
     hot_start = np.cumsum(n_hot) - n_hot
-    before = np.full(len(n), -1)
+    before = np.full(len(n), _NONE)
     level = 0
     while len(open_):
         now = open_[begin[open_] <= level]
@@ -233,18 +235,18 @@ def posted_chunks(cold: np.ndarray, n_cold: np.ndarray, hot: np.ndarray, n_hot:
             out["len"].append(length[good])
             out["level"].append(np.full(int(good.sum()), level + 1))
             served = np.minimum(chunks, serves) - 1
-            before[now] = served
+            before[now] = np.minimum(served, _CLIP)
             open_ = np.setdiff1d(open_, now[served >= most[now]], assume_unique=True)
         level += 1
     return {k: np.concatenate(v) for k, v in out.items()}
 
 
-def parities(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit words for each record: the parities of its words by 128 hash values."""
-    bit = (mixed(flat, 4) & np.uint64(127)).astype(np.int64)
-    odd = np.bincount(np.repeat(np.arange(len(counts)), counts) * 128 + bit, minlength=128 * len(counts)).reshape(-1, 128) & 1
+def parities(flat: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Three 64-bit words for each record: the parities of its words by 192 hash values."""
+    bit = ((mixed(flat, 4) >> np.uint64(32)) * np.uint64(_BITS) >> np.uint64(32)).astype(np.int64)
+    odd = np.bincount(np.repeat(np.arange(len(counts)), counts) * _BITS + bit, minlength=_BITS * len(counts)).reshape(-1, _BITS) & 1
     packed = np.packbits(odd.astype(np.uint8), axis=1).view("<u8")
-    return packed[:, 0], packed[:, 1]
+    return [packed[:, i] for i in range(3)]
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -267,9 +269,9 @@ def _deal(hot, t: Fraction, parts: int) -> Callable[[Iterator[pa.RecordBatch]],
                 posted["chunk"] ^= mixed(batch.column(4).to_numpy(), 7)[posted["rec"]]
                 records = np.zeros(len(n_cold), RECORD)
                 every = np.argsort(np.r_[np.repeat(np.arange(len(n_cold)), n_cold), np.repeat(np.arange(len(n_hot)), n_hot)], kind="stable")
-                records["s0"], records["s1"] = parities(np.r_[cold, warm][every], n_cold + n_hot)
-                records["bag"], records["side"] = batch.column(1).to_numpy(), batch.column(0).to_numpy()
-                records["n"], records["c"] = n_cold + n_hot, n_cold
+                records["s0"], records["s1"], records["s2"] = parities(np.r_[cold, warm][every], n_cold + n_hot)
+                records["bag"] = batch.column(1).to_numpy()
+                records["n"], records["c"] = n_cold + n_hot, n_cold * 2 + batch.column(0).to_numpy()
                 part = ((posted["chunk"] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 starts = _run_starts(part[order])
@@ -280,10 +282,8 @@ def _deal(hot, t: Fraction, parts: int) -> Callable[[Iterator[pa.RecordBatch]],
                     rows = np.zeros(len(own), POSTED)
                     rows["chunk"] = posted["chunk"][own] & np.uint64(0xFFFFFFFF)
                     rows["rec"] = place
-                    rows["pos"] = np.minimum(posted["pos"][own], 65535)
-                    rows["low"] = np.minimum(posted["low"][own], 32767)
-                    rows["len"] = np.minimum(posted["len"][own], 65535)
-                    rows["level"] = posted["level"][own]
+                    rows["pos"], rows["len"] = np.minimum(posted["pos"][own], _CLIP), np.minimum(posted["len"][own], _CLIP)
+                    rows["low"], rows["level"] = posted["low"][own], posted["level"][own]
                     names.append(int(part[own[0]]))
                     blobs.append(np.array([len(rec)], "<u4").tobytes() + records[rec].tobytes() + rows.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
@@ -295,28 +295,41 @@ def pair_ok(a: np.ndarray, b: np.ndarray, m: np.ndarray, t: Fraction, cross: boo
     """Which members ``m[a]``, ``m[b]`` of one chunk can be a pair of enough overlap that isn't found at a level before."""
     n, c, pos, low = m["n"], m["c"], m["pos"], m["low"]
     d = differing(n[a] + n[b], t)
-    cold = low[a] == _COLD
-    hot_d = np.where(cold, d, d - c[a] - c[b])
-    good = (hot_d >= 0) & (np.maximum(pos[a], pos[b]) <= hot_d + 1)
-    good &= cold | (np.minimum(low[a], low[b]) < 0) | (hot_d > np.maximum(low[a], low[b]))
+    low_a, low_b = low[a], low[b]
+    hot_d = np.where(low_a == _COLD, d, d - c[a] - c[b])
+    good = np.maximum(pos[a], pos[b]) <= hot_d + 1
+    good &= (np.maximum(low_a, low_b) >= _NONE) | (hot_d > np.maximum(low_a, low_b))
     good &= (m["side"][a] != m["side"][b]) if cross else (m["bag"][a] != m["bag"][b])
-    at = np.flatnonzero(good)
-    a, b = a[at], b[at]
-    apart = np.bitwise_count(m["s0"][a] ^ m["s0"][b]).astype(np.int64) + np.bitwise_count(m["s1"][a] ^ m["s1"][b])
-    return at[apart <= d[at]]
+    at = np.flatnonzero(good & (hot_d >= 0))
+    apart = np.zeros(len(at), np.int64)
+    for s in ("s0", "s1", "s2"):
+        apart += np.bitwise_count(m[s][a[at]] ^ m[s][b[at]])
+        near = apart <= d[at]
+        at, apart = at[near], apart[near]
+    return at
 
 
-def _columns(members: np.ndarray) -> dict[str, np.ndarray]:
-    return {k: np.ascontiguousarray(members[k]) for k in members.dtype.names}
+def _columns(members: np.ndarray, t: Fraction) -> dict[str, np.ndarray]:
+    """Columns of members, and what each adds to ``D`` and needs ``D`` to be; members without a level before come first."""
+    m = {k: np.ascontiguousarray(members[k]) for k in members.dtype.names}
+    m["adds"] = m["n"] * float((1 - t) / (1 + t)) - m["c"]
+    m["needs"] = np.where(m["low"] >= _NONE, -np.inf, np.maximum(m["pos"] - 1, m["low"] + 1) - 1e-6)
+    return m
+
+
+def _in_order(members: np.ndarray, group: np.ndarray, t: Fraction) -> np.ndarray:
+    """The order by group, in it those without a level before first, then by falling share in ``D``."""
+    return np.lexsort((members["c"] - members["n"] * float((1 - t) / (1 + t)), members["low"] < _NONE, group))
 
 
 def _group_pairs(group: np.ndarray, m: dict[str, np.ndarray], t: Fraction, cross: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs within groups, which are sorted."""
+    """Places of the pairs within groups, which are in order: a member is left when those that follow add too little to its ``D``."""
     left, right = [], []
     shift, rows = 1, np.arange(len(group))
+    adds, needs = m["adds"], m["needs"]
     while True:
         rows = rows[rows + shift < len(group)]
-        rows = rows[group[rows] == group[rows + shift]]
+        rows = rows[(group[rows] == group[rows + shift]) & (adds[rows] + adds[rows + shift] >= needs[rows])]
         if not len(rows):
             break
         for start in range(0, len(rows), 1 << 16):
@@ -394,7 +407,7 @@ def _meet(t: Fraction, block: int, cross: bool) -> Callable[[Iterator[pa.RecordB
             records = np.concatenate([r for r, _ in blobs])
             posted = np.concatenate([p for _, p in blobs])
             rec = np.concatenate([p["rec"].astype(np.int64) + e for (_, p), e in zip(blobs, ends, strict=False)])
-            _, firsts, same = np.unique((records["bag"] << 1) | records["side"] * cross, return_index=True, return_inverse=True)
+            _, firsts, same = np.unique((records["bag"] << 1) | (records["c"] & 1), return_index=True, return_inverse=True)
             rec, records = same[rec], records[firsts]
             chunk = posted["chunk"]
             order = np.lexsort((rec, chunk))
@@ -405,7 +418,7 @@ def _meet(t: Fraction, block: int, cross: bool) -> Callable[[Iterator[pa.RecordB
             sizes = np.diff(np.r_[starts, len(chunk)])
             useful = sizes > 1
             if cross and len(starts):
-                side = records["side"][rec]
+                side = records["c"][rec] & 1
                 useful &= np.minimum.reduceat(side, starts) != np.maximum.reduceat(side, starts)
             keep = np.repeat(useful, sizes)
             order, rec, sizes = order[keep], rec[keep], sizes[useful]
@@ -415,14 +428,17 @@ def _meet(t: Fraction, block: int, cross: bool) -> Callable[[Iterator[pa.RecordB
                 members[name] = records[name][rec]
             for name in ("pos", "low", "len", "level"):
                 members[name] = posted[name][order]
+            members["side"], members["c"] = members["c"] & 1, members["c"] >> 1
             del records, posted
+            order = _in_order(members, group, t)
+            members, group = members[order], group[order]
             large = np.repeat(sizes > block, sizes)
-            m = _columns(members[~large])
+            m = _columns(members[~large], t)
             a, b = _group_pairs(group[~large], m, t, cross)
             yield from _pairs_out(a, b, group[~large], m, cross)
             for g in np.unique(group[large]):
                 own = members[group == g]
-                blocks = np.array_split(own, -(-len(own) // block))
+                blocks = np.array_split(own, -(-len(own) // block))  # still in order
                 for i, x in enumerate(blocks):
                     for y in blocks[i:]:
                         both = x if y is x else np.concatenate([x, y])
@@ -438,15 +454,15 @@ def _meet_blocks(t: Fraction, cross: bool) -> Callable[[Iterator[pa.RecordBatch]
         for batch in batches:
             for grp, split, blob in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), batch.column(6), strict=True):
                 members = np.frombuffer(blob.as_buffer(), MEMBER)
-                m = _columns(members)
+                m = _columns(members, t)
                 group = np.full(len(members), grp)
                 if split == len(members):
                     a, b = _group_pairs(group, m, t, cross)
                 else:
-                    left, right, second = [], [], np.arange(split, len(members))
-                    for i in range(0, split, 8):
-                        one = np.repeat(np.arange(i, min(i + 8, split)), len(second))
-                        two = np.tile(second, min(i + 8, split) - i)
+                    left, right, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(split, len(members))
+                    first = np.flatnonzero(m["adds"][:split] + m["adds"][split:].max() >= m["needs"][:split])
+                    for some in np.array_split(first, -(-len(first) // 8)) if len(first) else []:
+                        one, two = np.repeat(some, len(second)), np.tile(second, len(some))
                         at = pair_ok(one, two, m, t, cross)
                         left.append(one[at])
                         right.append(two[at])

@@ -47,7 +47,7 @@ def p2_typical(spark: SparkSession, folder: str) -> DataFrame:
     refs = table(spark, folder, "vector_store").select(F.col("vec_id").alias("id"), "embedding_ref")
     texts = table(spark, folder, "production_queries").filter("embedding_ref IS NOT NULL").groupBy("embedding_ref").agg(F.min("text").alias("text"))
     named = best.join(refs, "id").join(texts, "embedding_ref", "left")
-    return named.select(F.col("name").alias("cluster_id"), "size", "rank", F.col("id").alias("vec_id"), "text", F.round("cosine", 6).alias("cosine"))
+    return named.select(F.col("name").alias("cluster_id"), "size", "rank", F.col("id").alias("vec_id"), "text", F.round("cosine", 6).alias("cosine"), F.round("flow", 6).alias("flow"))
 
 
 def _copies(spark: SparkSession, folder: str) -> DataFrame:

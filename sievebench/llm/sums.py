@@ -38,6 +38,6 @@ def sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def total_rows(partial: DataFrame, shapes: dict[int, tuple[int, int]]) -> dict[int, np.ndarray]:
     """Sums of the tasks' matrices; rows are summed in parallel, and only one matrix of each kind is collected."""
     out = {which: np.zeros(shape) for which, shape in shapes.items()}
-    for which, row, numbers in partial.repartition(8, "which", "row").mapInArrow(sum_rows, ROWS).collect():
+    for which, row, numbers in partial.repartition("which", "row").mapInArrow(sum_rows, ROWS).collect():
         out[which][row] = np.frombuffer(numbers, np.float64)
     return out

@@ -18,10 +18,10 @@ def member(words, hot, bag=0):
     counts = (np.array([len(cold)]), np.array([len(warm)]))
     flat = np.array(cold, np.int64), np.array(warm, np.int64)
     posted = overlap.posted_chunks(flat[0], counts[0], flat[1], counts[1], known.weight, T)
-    s0, s1 = overlap.parities(np.concatenate(flat), counts[0] + counts[1])
+    bits = overlap.parities(np.concatenate(flat), counts[0] + counts[1])
     made = {}
     for i, chunk in enumerate(posted["chunk"].tolist()):
-        made[chunk] = (bag, s0[0], s1[0], len(cold) + len(warm), len(cold), 0, posted["pos"][i], posted["low"][i], posted["len"][i], posted["level"][i])
+        made[chunk] = (bag, *(x[0] for x in bits), len(cold) + len(warm), len(cold), 0, posted["pos"][i], posted["low"][i], posted["len"][i], posted["level"][i])
     return made
 
 
@@ -29,8 +29,9 @@ def met(a, b, hot):
     """Whether a pair meets in a chunk and passes the bounds there."""
     x, y = member(a, hot), member(b, hot, 1)
     for chunk in x.keys() & y.keys():
-        m = overlap._columns(np.array([x[chunk], y[chunk]], overlap.MEMBER))
-        if len(overlap.pair_ok(np.array([0]), np.array([1]), m, T, False)):
+        members = np.array([x[chunk], y[chunk]], overlap.MEMBER)
+        m = overlap._columns(members[overlap._in_order(members, np.zeros(2), T)], T)
+        if len(overlap._group_pairs(np.zeros(2), m, T, False)[0]):
             return True
     return False
 
