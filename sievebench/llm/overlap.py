@@ -23,8 +23,8 @@ greatest ``D`` and has more chunks than that, and posts the first ones of each.
 first of them stops. Hence all pairs of enough overlap meet in a chunk, however long they are and whatever words are hot.
 
 Posted chunks travel in blobs of plain arrays with one entry for each record and 10 bytes for each chunk. Where they
-meet, pairs are tested by these bounds and by 192 bits, each the parity of the words whose hash falls on it: a differing
-word changes one bit. A chunk that more than ``block`` records share is dealt to pairs of blocks.
+meet, pairs are tested by these bounds and by 192 bits, each the parity of the hot words whose hash falls on it: a
+differing word changes one bit. A chunk that more than ``block`` records share is dealt to pairs of blocks.
 """
 
 from __future__ import annotations
@@ -242,7 +242,7 @@ def posted_chunks(cold: np.ndarray, n_cold: np.ndarray, hot: np.ndarray, n_hot:
 
 
 def parities(flat: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """Three 64-bit words for each record: the parities of its words by 192 hash values."""
+    """Three 64-bit words for each record: the parities of its hot words by 192 hash values."""
     bit = ((mixed(flat, 4) >> np.uint64(32)) * np.uint64(_BITS) >> np.uint64(32)).astype(np.int64)
     odd = np.bincount(np.repeat(np.arange(len(counts)), counts) * _BITS + bit, minlength=_BITS * len(counts)).reshape(-1, _BITS) & 1
     packed = np.packbits(odd.astype(np.uint8), axis=1).view("<u8")
@@ -268,8 +268,7 @@ def _deal(hot, t: Fraction, parts: int) -> Callable[[Iterator[pa.RecordBatch]],
                 posted = posted_chunks(cold, n_cold, warm, n_hot, weight, t)
                 posted["chunk"] ^= mixed(batch.column(4).to_numpy(), 7)[posted["rec"]]
                 records = np.zeros(len(n_cold), RECORD)
-                every = np.argsort(np.r_[np.repeat(np.arange(len(n_cold)), n_cold), np.repeat(np.arange(len(n_hot)), n_hot)], kind="stable")
-                records["s0"], records["s1"], records["s2"] = parities(np.r_[cold, warm][every], n_cold + n_hot)
+                records["s0"], records["s1"], records["s2"] = parities(warm, n_hot)
                 records["bag"] = batch.column(1).to_numpy()
                 records["n"], records["c"] = n_cold + n_hot, n_cold * 2 + batch.column(0).to_numpy()
                 part = ((posted["chunk"] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
@@ -304,7 +303,7 @@ def pair_ok(a: np.ndarray, b: np.ndarray, m: np.ndarray, t: Fraction, cross: boo
     apart = np.zeros(len(at), np.int64)
     for s in ("s0", "s1", "s2"):
         apart += np.bitwise_count(m[s][a[at]] ^ m[s][b[at]])
-        near = apart <= d[at]
+        near = apart <= hot_d[at]
         at, apart = at[near], apart[near]
     return at
 

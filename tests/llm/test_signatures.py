@@ -18,7 +18,7 @@ def member(words, hot, bag=0):
     counts = (np.array([len(cold)]), np.array([len(warm)]))
     flat = np.array(cold, np.int64), np.array(warm, np.int64)
     posted = overlap.posted_chunks(flat[0], counts[0], flat[1], counts[1], known.weight, T)
-    bits = overlap.parities(np.concatenate(flat), counts[0] + counts[1])
+    bits = overlap.parities(flat[1], counts[1])
     made = {}
     for i, chunk in enumerate(posted["chunk"].tolist()):
         made[chunk] = (bag, *(x[0] for x in bits), len(cold) + len(warm), len(cold), 0, posted["pos"][i], posted["low"][i], posted["len"][i], posted["level"][i])
