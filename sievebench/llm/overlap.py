@@ -23,7 +23,7 @@ greatest ``D`` and has more chunks than that, and posts the first ones of each.
 first of them stops. Hence all pairs of enough overlap meet in a chunk, however long they are and whatever words are hot.
 
 Posted chunks travel in blobs of plain arrays with one entry for each record and 10 bytes for each chunk. Where they
-meet, pairs are tested by these bounds and by 192 bits, each the parity of the hot words whose hash falls on it: a
+meet, pairs are tested by these bounds and by 320 bits, each the parity of the hot words whose hash falls on it: a
 differing word changes one bit. A chunk that more than ``block`` records share is dealt to pairs of blocks.
 """
 
@@ -56,8 +56,9 @@ _SPLIT = r"[^\p{L}\p{N}]+"
 _AGAIN = 1 << 14
 _RECORDS = 2048
 
-_BITS = 192
-RECORD = np.dtype([("bag", "<i8"), ("s0", "<u8"), ("s1", "<u8"), ("s2", "<u8"), ("n", "<i4"), ("c", "<i4")])
+_BITS = 320
+_PARITIES = [f"s{i}" for i in range(_BITS // 64)]
+RECORD = np.dtype([("bag", "<i8"), *((s, "<u8") for s in _PARITIES), ("n", "<i4"), ("c", "<i4")])
 #: Places, bounds and lengths above 252 are stored as 252, which only lets more pairs through to the words.
 POSTED = np.dtype([("chunk", "<u4"), ("rec", "<u2"), ("pos", "u1"), ("low", "u1"), ("len", "u1"), ("level", "u1")])
 MEMBER = np.dtype([*RECORD.descr, ("side", "<i4"), ("pos", "<i4"), ("low", "<i4"), ("len", "<i4"), ("level", "<i4")])
@@ -242,11 +243,11 @@ def posted_chunks(cold: np.ndarray, n_cold: np.ndarray, hot: np.ndarray, n_hot:
 
 
 def parities(flat: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """Three 64-bit words for each record: the parities of its hot words by 192 hash values."""
+    """64-bit words for each record: the parities of its hot words by ``_BITS`` hash values."""
     bit = ((mixed(flat, 4) >> np.uint64(32)) * np.uint64(_BITS) >> np.uint64(32)).astype(np.int64)
     odd = np.bincount(np.repeat(np.arange(len(counts)), counts) * _BITS + bit, minlength=_BITS * len(counts)).reshape(-1, _BITS) & 1
     packed = np.packbits(odd.astype(np.uint8), axis=1).view("<u8")
-    return [packed[:, i] for i in range(3)]
+    return [packed[:, i] for i in range(len(_PARITIES))]
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +269,8 @@ def _deal(hot, t: Fraction, parts: int) -> Callable[[Iterator[pa.RecordBatch]],
                 posted = posted_chunks(cold, n_cold, warm, n_hot, weight, t)
                 posted["chunk"] ^= mixed(batch.column(4).to_numpy(), 7)[posted["rec"]]
                 records = np.zeros(len(n_cold), RECORD)
-                records["s0"], records["s1"], records["s2"] = parities(warm, n_hot)
+                for name, bits in zip(_PARITIES, parities(warm, n_hot), strict=True):
+                    records[name] = bits
                 records["bag"] = batch.column(1).to_numpy()
                 records["n"], records["c"] = n_cold + n_hot, n_cold * 2 + batch.column(0).to_numpy()
                 part = ((posted["chunk"] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
@@ -301,7 +303,7 @@ def pair_ok(a: np.ndarray, b: np.ndarray, m: np.ndarray, t: Fraction, cross: boo
     good &= (m["side"][a] != m["side"][b]) if cross else (m["bag"][a] != m["bag"][b])
     at = np.flatnonzero(good & (hot_d >= 0))
     apart = np.zeros(len(at), np.int64)
-    for s in ("s0", "s1", "s2"):
+    for s in _PARITIES:
         apart += np.bitwise_count(m[s][a[at]] ^ m[s][b[at]])
         near = apart <= hot_d[at]
         at, apart = at[near], apart[near]
