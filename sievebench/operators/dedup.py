@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievebench.operators.similarity import dense, unit
+from sievebench.operators.similarity import unit
 
 
 def first_by(rows: DataFrame, key: str, ord_: str = "ord") -> DataFrame:
@@ -44,15 +44,15 @@ def greedy_keep(ords: np.ndarray, vectors: np.ndarray, eligible: np.ndarray, thr
     return kept
 
 
-def _edges(shared, dim: int, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ords, vectors = shared.value
-        for batch in batches:
-            x = unit(dense(batch.column(1), dim))
-            own = batch.column(0).to_numpy()
-            hit = (np.round(x @ vectors.T, 12) >= threshold) & (ords[None, :] < own[:, None])
-            a, b = np.nonzero(hit)
-            yield pa.RecordBatch.from_arrays([pa.array(own[a], pa.int64()), pa.array(ords[b], pa.int64())], ["ord", "earlier"])
+def _edges(threshold: float):
+    """Pairs within the threshold of a held acceptor and a streamed vector."""
+
+    def run(held, stream) -> Iterator[pa.RecordBatch]:
+        accs, q = held
+        names, q = np.array(accs, np.int64), unit(q)
+        for own, x in stream if len(names) else ():
+            a, b = np.nonzero(np.round(unit(x) @ q.T, 12) >= threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(own, np.int64)[a]), pa.array(names[b])], ["vid", "earlier"])
 
     return run
 
@@ -61,31 +61,41 @@ def semantic_dedup(rows: DataFrame, threshold: float = 0.95, *, dim: int = 64, e
     """``ord, kept``: greedy deduplication in order, exactly as a sequential scan would do it.
 
     A row is dropped if an earlier *accepted* row is within the threshold; rows that aren't ``eligible`` can be dropped but
-    never accepted. The pairs within the threshold come from a blocked join; then rows are settled in rounds: a row all of
-    whose earlier neighbours are settled is settled, so a chain a-b-c keeps a and c. Each round is a join over the pairs
-    only; rounds are as many as the longest chain of neighbours, and running out of them raises.
+    never accepted. Equal vectors share their neighbours, and only the first eligible of them can be accepted, so they
+    count as one. The pairs of different vectors within the threshold come from a join in blocks; then acceptors are
+    settled in rounds: one all of whose earlier neighbours are settled is settled, so a chain a-b-c keeps a and c. Each
+    round is a join over the pairs only; rounds are as many as the longest chain of neighbours, and running out of them
+    raises.
     """
-    from sievebench.operators.similarity import _gather, query_passes
+    from sievebench.operators.similarity import in_blocks
     from sievebench.session import materialise
 
     may = F.col(eligible) if eligible else F.lit(True)
     base = materialise(rows.select(F.col("ord").cast("long").alias("ord"), "vector", may.alias("may")), "greedy")
-    spark, edges = rows.sparkSession, None
-    for part in query_passes(base.filter("may").select(F.col("ord").alias("qid"), "vector")):
-        ords, vectors = _gather(part, dim)
-        shared = spark.sparkContext.broadcast((np.array(ords, np.int64), unit(vectors)))
-        some = base.select("ord", "vector").mapInArrow(_edges(shared, dim, threshold), "ord long, earlier long")
-        edges = some if edges is None else edges.unionByName(some)
-    edges = materialise(edges, "pairs")
-    state = materialise(base.select("ord", "may").join(edges.select("ord").distinct().withColumn("open", F.lit(True)), "ord", "left").select("ord", "may", F.when(F.col("open"), F.lit(None)).otherwise(F.lit(True)).cast("boolean").alias("kept")), "state")
+    distinct = base.groupBy("vector").agg(F.min("ord").alias("vid"), F.max("ord").alias("last"), F.min(F.when(F.col("may"), F.col("ord"))).alias("acc"))
+    distinct = materialise(distinct, "distinct")
+    acceptors, every = distinct.filter("acc IS NOT NULL").select(F.col("acc").alias("qid"), "vector"), distinct.select(F.col("vid").alias("item"), "vector")
+    pairs = in_blocks(acceptors, every, _edges(threshold), "vid long, earlier long", dim=dim)
+    facts = distinct.select("vid", "last", "acc")
+    edges = materialise(pairs.join(facts, "vid").filter("earlier < last AND (acc IS NULL OR earlier <> acc)").select("vid", "earlier", "acc"), "pairs")
+    before = edges.filter("earlier < acc")
+    waiting = before.select("vid").distinct().withColumn("open", F.lit(True))
+    state = materialise(facts.filter("acc IS NOT NULL").join(waiting, "vid", "left").select("vid", "acc", F.when(F.col("open"), F.lit(None)).otherwise(F.lit(True)).cast("boolean").alias("kept")), "state")
     for _ in range(rounds):
         if not state.filter("kept IS NULL").limit(1).count():
-            return state.select("ord", "kept")
-        known = state.select(F.col("ord").alias("earlier"), (F.col("kept") & F.col("may")).alias("taken"), F.col("kept").isNull().alias("waits"))
-        seen = edges.join(known, "earlier").groupBy("ord").agg(F.max(F.coalesce("taken", F.lit(False))).alias("hit"), F.max("waits").alias("waits"))
+            break
+        known = state.select(F.col("acc").alias("earlier"), F.col("kept").alias("taken"), F.col("kept").isNull().alias("waits"))
+        seen = before.join(known, "earlier").groupBy("vid").agg(F.max(F.coalesce("taken", F.lit(False))).alias("hit"), F.max("waits").alias("waits"))
         new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), F.lit(False)).when(~F.col("waits"), F.lit(True))
-        state = materialise(state.join(seen, "ord", "left").select("ord", "may", new.alias("kept")), "state")
-    raise RuntimeError(f"greedy deduplication did not settle in {rounds} rounds")
+        state = materialise(state.join(seen, "vid", "left").select("vid", "acc", new.alias("kept")), "state", old=state)
+    else:
+        if state.filter("kept IS NULL").limit(1).count():
+            raise RuntimeError(f"greedy deduplication did not settle in {rounds} rounds")
+    taken = state.filter("kept").select(F.col("acc").alias("earlier"))
+    others = edges.join(taken, "earlier", "left_semi").select("vid", "earlier").unionByName(state.filter("kept").select("vid", F.col("acc").alias("earlier")))
+    first = others.groupBy("vid").agg(F.min("earlier").alias("first"))
+    held = base.select("ord", "vector").join(distinct.select("vector", "vid"), "vector").join(first, "vid", "left")
+    return held.select("ord", (F.col("first").isNull() | (F.col("ord") <= F.col("first"))).alias("kept"))
 
 
 def dedup_rate(kept: DataFrame) -> DataFrame:

@@ -35,17 +35,71 @@ def drop_mask(items: DataFrame, frac: float, seed: int = 0, name: str = "drop")
     return _first_by_hash(items, "item", name, seed, frac).withColumnRenamed("chosen", "dropped")
 
 
+#: Rows that one task orders when all rows are ordered by hash.
+BUCKET_ROWS = 100_000
+
+
+def hash_digits(n: int) -> int:
+    """How many hexadecimal digits part ``n`` rows into buckets of at most about ``BUCKET_ROWS``, two at least."""
+    return max(2, math.ceil(math.log(max(n, 1) / BUCKET_ROWS, 16))) if n else 2
+
+
 def _first_by_hash(rows: DataFrame, key: str, name: str, seed: int, frac: float | None = None, n: int | None = None) -> DataFrame:
-    hashed = rows.select("*", hash_hex(seed, name, key).alias("__h")).withColumn("__b", F.substring("__h", 1, 3))
+    hashed = rows.select("*", hash_hex(seed, name, key).alias("__h")).withColumn("__b", F.substring("__h", 1, hash_digits(rows.count())))
     sizes = hashed.groupBy("__b").count()
     before = sizes.withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     before = before.withColumn("__total", F.sum("count").over(Window.partitionBy(F.lit("all"))))
-    placed = hashed.join(F.broadcast(before.drop("count")), "__b")  # at most 4,096 rows
+    placed = hashed.join(before.drop("count"), "__b")  # one row for each BUCKET_ROWS rows
     place = F.col("__before") + F.row_number().over(Window.partitionBy("__b").orderBy("__h", key))
     take = F.lit(n) if n is not None else F.floor(F.lit(frac) * F.col("__total"))
     return placed.withColumn("chosen", place <= take).drop("__h", "__b", "__before", "__total")
 
 
+def numbered(rows: DataFrame, key: str, name: str = "i") -> DataFrame:
+    """Adds the place of each row in the order of ``key``, from 0; ``key`` must be unique.
+
+    Rows are dealt to ranges of the key, so no task orders more than its range.
+    """
+    from sievebench.session import materialise
+
+    parts = max(1, -(-rows.count() // BUCKET_ROWS))
+    held = materialise(rows.repartitionByRange(parts, key).withColumn("__p", F.spark_partition_id()), "numbered")
+    sizes = held.groupBy("__p").count()
+    before = sizes.select("__p", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1 + F.col("__before")
+    return held.join(before, "__p").withColumn(name, place.cast("bigint")).drop("__p", "__before")
+
+
+def exact_percentile(rows: DataFrame, column: str, share: float, few: int = 100_000) -> float | None:
+    """The percentile with linear interpolation, null values left out; None for no rows.
+
+    Counts in equal ranges narrow the range that holds the wanted places until few rows are left, so no task holds them all.
+    """
+    values = rows.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL")
+    low, high, n = values.agg(F.min("x"), F.max("x"), F.count(F.lit(1))).first()
+    if not n:
+        return None
+    at = share * (n - 1)
+    places, below, left = (math.floor(at), math.ceil(at)), 0, n
+    while left > few and low < high:
+        width = (high - low) / 1024
+        bucket = F.least(F.floor((F.col("x") - low) / width), F.lit(1023))
+        part = values.filter((F.col("x") >= low) & (F.col("x") <= high)).groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        seen, used = below, []
+        for r in sorted(part.collect(), key=lambda r: r["b"]):
+            if seen + r["n"] > places[0] and seen <= places[1]:
+                used.append((seen, r))
+            seen += r["n"]
+        if used[0][1]["low"] == low and used[-1][1]["high"] == high:
+            break
+        below, low, high, left = used[0][0], used[0][1]["low"], used[-1][1]["high"], sum(r["n"] for _, r in used)
+    if low == high:
+        return low
+    held = sorted(r["x"] for r in values.filter((F.col("x") >= low) & (F.col("x") <= high)).groupBy("x").count().select(F.explode(F.array_repeat("x", F.col("count").cast("int"))).alias("x")).collect())
+    one, two = held[places[0] - below], held[places[1] - below]
+    return one + (at - places[0]) * (two - one)
+
+
 def hash_sample(rows: DataFrame, key: str, n: int, name: str, seed: int = 0) -> DataFrame:
     """``n`` rows without replacement (all if there are fewer), chosen by hash."""
     return _first_by_hash(rows, key, name, seed, n=n).filter("chosen").drop("chosen")

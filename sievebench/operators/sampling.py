@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievebench.functions.text import hash_hex, hash_uniform
-from sievebench.operators.ranking import _first_by_hash
+from sievebench.operators.ranking import _first_by_hash, hash_digits
 
 STRATA = ("factoid", "howto", "keyword")
 
 
-def dense_order(rows: DataFrame, ord_: str, by: str | None = None) -> DataFrame:
+def dense_order(rows: DataFrame, ord_: str, by: str | None = None, spread: int = 65536) -> DataFrame:
     """Adds ``i``, the place from 0 by ``ord`` (within ``by``) and ``n``, the number of rows.
 
-    Places come from counts of ranges of ``ord`` first, so that no task sorts all rows.
+    Places come from counts of ranges of ``spread`` values of ``ord`` first, so that no task sorts all rows.
     """
     keys = [by] if by else []
-    bucket = F.floor(F.col(ord_) / 65536)
+    bucket = F.floor(F.col(ord_) / spread)
     held = rows.withColumn("__b", bucket)
     sizes = held.groupBy(*keys, "__b").count()
     outer = Window.partitionBy(*keys) if by else Window.partitionBy(F.lit("all"))
@@ -84,7 +84,7 @@ def split_by_hash(rows: DataFrame, key: str, fractions: dict[str, float], seed:
     else:
         checked = F.when(F.col(by).isNull(), F.raise_error(F.lit(f"a row has no {by}"))).otherwise(F.col(by).cast("string"))
         hashed = rows.withColumn("__g", checked).withColumn("__h", F.sha2(F.concat_ws("|", F.lit(str(seed)), F.concat(F.lit("split-"), F.col("__g")), F.col(key).cast("string")), 256))
-    hashed = hashed.withColumn("__b", F.substring("__h", 1, 2))
+    hashed = hashed.withColumn("__b", F.substring("__h", 1, hash_digits(rows.count())))
     sizes = hashed.groupBy("__g", "__b").count()
     w = Window.partitionBy("__g")
     before = sizes.select("__g", "__b", F.coalesce(F.sum("count").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("count").over(w).alias("__n"))

@@ -1,8 +1,9 @@
 """Exact similarity joins of a query set with all rows of a collection, in blocks.
 
-Queries are sent to all tasks in passes of at most ``QUERY_BLOCK`` (dealt by hash), the collection streams by in Arrow
-batches, and each task keeps the k best of each query before anything is shuffled. So what is broadcast has a fixed
-bound, the collection is never moved, and the shuffle carries k rows for each query and task.
+Queries are dealt by hash to blocks of about ``QUERY_BLOCK`` and items to blocks of about ``ITEM_BLOCK``; each pair of
+blocks is a task that holds the queries and lets the items stream by in Arrow batches. Blocks move by the shuffle alone,
+never through the driver or a broadcast, and a task keeps the k best of each query before anything more is shuffled. An
+item travels once for each block of queries, and a query once for each block of items.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 32_768
+QUERY_BLOCK, ITEM_BLOCK = 32_768, 131_072
 ROWS = 2048
 #: Scores are compared after rounding to so many places, so equal vectors tie in every engine.
 PLACES = 12
@@ -25,54 +26,87 @@ def dense(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def query_passes(queries: DataFrame, block: int = QUERY_BLOCK) -> Iterator[DataFrame]:
-    """The queries in parts of about ``block``, dealt by a hash of ``qid``."""
-    n = queries.count()
-    parts = max(1, -(-n // block))
-    for part in range(parts):
-        yield queries if parts == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part)
+def in_blocks(queries: DataFrame, items: DataFrame, run: Callable, schema: str, *, dim: int, block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK) -> DataFrame:
+    """``run(held, stream)`` for every pair of a block of queries and a block of items.
 
-
-def _gather(part: DataFrame, dim: int) -> tuple[list, np.ndarray]:
-    table = part.select("qid", "vector").toArrow().combine_chunks()
-    ids = table.column("qid").to_pylist()
-    vectors = table.column("vector").combine_chunks() if table.num_rows else None
-    if isinstance(vectors, pa.ChunkedArray):
-        vectors = vectors.chunk(0)
-    return ids, dense(vectors, dim) if ids else np.zeros((0, dim))
-
-
-def _best(shared, k: int, dim: int, apart: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, q = shared.value
+    ``queries`` has ``qid, vector``, ``items`` ``item, vector``. ``held`` is ``(ids, matrix)`` of the block's queries and
+    ``stream`` gives ``(ids, matrix)`` of its items in batches; ``run`` yields record batches of ``schema``. Blocks are as
+    many as the tasks that can run at once, if there are fewer rows.
+    """
+    spark = queries.sparkSession
+    n_q, n_i = queries.count(), items.count()
+    q_blocks = max(1, -(-n_q // block))
+    i_blocks = max(-(-n_i // item_block), min(spark.sparkContext.defaultParallelism, -(-n_i // ROWS)) // q_blocks, 1)
+    kinds = queries.schema["qid"].dataType.simpleString(), items.schema["item"].dataType.simpleString()
+    of_q, of_i = F.pmod(F.xxhash64("qid"), F.lit(q_blocks)), F.pmod(F.xxhash64("item"), F.lit(i_blocks))
+    every_q, every_i = F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))), F.explode(F.sequence(F.lit(0), F.lit(i_blocks - 1)))
+    left = queries.select(of_q.alias("q"), every_i.alias("i"), F.lit(0).alias("side"), "qid", F.lit(None).cast(kinds[1]).alias("item"), "vector")
+    right = items.select(every_q.alias("q"), of_i.alias("i"), F.lit(1).alias("side"), F.lit(None).cast(kinds[0]).alias("qid"), "item", "vector")
+    task = (F.col("q") * i_blocks + F.col("i")).cast("int")
+    dealt = left.unionByName(right).select(task.alias("task"), "side", "qid", "item", "vector")
+    return dealt.repartitionById(q_blocks * i_blocks, F.col("task")).sortWithinPartitions("task", "side").mapInArrow(_paired(run, dim), schema)
+
+
+def _paired(run: Callable, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A partition holds one task: first its queries, then its items."""
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, parts, rest = [], [], iter(())
+        for batch in batches:
+            at = int(np.searchsorted(batch.column(1).to_numpy(), 1))
+            if at:
+                head = batch.slice(0, at)
+                ids += head.column(2).to_pylist()
+                parts.append(dense(head.column(4), dim))
+            if at < batch.num_rows:
+                rest = _chain(batch.slice(at), batches)
+                break
+
+        def stream() -> Iterator[tuple[list, np.ndarray]]:
+            for whole in rest:
+                for low in range(0, whole.num_rows, ROWS):
+                    part = whole.slice(low, ROWS)
+                    yield part.column(3).to_pylist(), dense(part.column(4), dim)
+
+        yield from run((ids, np.concatenate(parts) if parts else np.zeros((0, dim))), stream())
+
+    return start
+
+
+def _chain(first, rest):
+    yield first
+    yield from rest
+
+
+def _best(k: int, apart: bool) -> Callable:
+    """The k best items of each held query."""
+
+    def run(held: tuple[list, np.ndarray], stream: Iterator[tuple[list, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        qids, q = held
         best: list[list[tuple]] = [[] for _ in qids]  # (minus score, item), in order
         kth = np.full(len(qids), -np.inf)
         want = k + 1 if apart else k
-        for whole in batches:
-            for at in range(0, whole.num_rows if len(qids) else 0, ROWS):
-                batch = whole.slice(at, ROWS)
-                own = batch.column(0).to_pylist()
-                x = dense(batch.column(1), dim).T
-                for low in range(0, len(qids), ROWS):
-                    s = q[low : low + ROWS] @ x
-                    floor = kth[low : low + ROWS]
-                    groups = min(len(own), 8 * want)
-                    if groups >= want and not np.isfinite(floor).all():
-                        # the want-th largest of group maxima is at most the want-th largest score
-                        width = len(own) // groups
-                        tops = s[:, : groups * width].reshape(len(s), groups, width).max(2)
-                        floor = np.maximum(floor, np.partition(tops, groups - want, axis=1)[:, groups - want])
-                    rows, columns = np.nonzero(s >= (floor - 1e-9)[:, None])
-                    scores = np.round(s[rows, columns], PLACES).tolist()
-                    cuts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else []
-                    columns = columns.tolist()
-                    for a, z in zip(cuts, [*cuts[1:], len(scores)], strict=True):
-                        i = low + int(rows[a])
-                        found = best[i] + [(-scores[j], own[columns[j]]) for j in range(a, z) if not apart or own[columns[j]] != qids[i]]
-                        found.sort()
-                        best[i] = found[:k]
-                        if len(found) >= k:
-                            kth[i] = -best[i][-1][0]
+        for own, x in stream if qids else ():
+            for low in range(0, len(qids), ROWS):
+                s = q[low : low + ROWS] @ x.T
+                floor = kth[low : low + ROWS]
+                groups = min(len(own), 8 * want)
+                if groups >= want and not np.isfinite(floor).all():
+                    # the want-th largest of group maxima is at most the want-th largest score
+                    width = len(own) // groups
+                    tops = s[:, : groups * width].reshape(len(s), groups, width).max(2)
+                    floor = np.maximum(floor, np.partition(tops, groups - want, axis=1)[:, groups - want])
+                rows, columns = np.nonzero(s >= (floor - 1e-9)[:, None])
+                scores = np.round(s[rows, columns], PLACES).tolist()
+                cuts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else []
+                columns = columns.tolist()
+                for a, z in zip(cuts, [*cuts[1:], len(scores)], strict=True):
+                    i = low + int(rows[a])
+                    found = best[i] + [(-scores[j], own[columns[j]]) for j in range(a, z) if not apart or own[columns[j]] != qids[i]]
+                    found.sort()
+                    best[i] = found[:k]
+                    if len(found) >= k:
+                        kth[i] = -best[i][-1][0]
         flat = [(qids[i], item, -minus) for i, own in enumerate(best) for minus, item in own]
         names = [f[1] for f in flat]
         yield pa.RecordBatch.from_arrays(
@@ -94,38 +128,47 @@ def nearest_items(queries: DataFrame, items: DataFrame, k: int, *, dim: int = 64
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    spark = queries.sparkSession
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "qid"), (items, "item"))]
     kinds = ["string" if x == "string" else "bigint" for x in kinds]
-    rows = items.select(F.col("item").cast(kinds[1]).alias("item"), "vector")
-    parts = []
-    for part in query_passes(queries.select(F.col("qid").cast(kinds[0]).alias("qid"), "vector"), block):
-        shared = spark.sparkContext.broadcast(_gather(part, dim))
-        parts.append(rows.mapInArrow(_best(shared, k, dim, apart), f"qid {kinds[0]}, item {kinds[1]}, score double"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    asked, rows = queries.select(F.col("qid").cast(kinds[0]).alias("qid"), "vector"), items.select(F.col("item").cast(kinds[1]).alias("item"), "vector")
+    found = in_blocks(asked, rows, _best(k, apart), f"qid {kinds[0]}, item {kinds[1]}, score double", dim=dim, block=block)
     by = Window.partitionBy("qid").orderBy(F.desc("score"), "item")
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 
 
-def _beaten(shared, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """How many items of the task beat each gold item under each system."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, queries, golds, systems = shared.value
-        counts = {name: np.zeros(len(number), np.int64) for name in systems}
-        sides = {name: (unit(queries @ m), None) for name, m in systems.items()}
-        gold = {name: np.round((sides[name][0] * unit(golds @ m)).sum(1), PLACES) for name, m in systems.items()}
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                x = dense(whole.slice(at, ROWS).column(0), dim)
-                for name, m in systems.items():
-                    counts[name] += (np.round(sides[name][0] @ unit(x @ m).T, PLACES) > gold[name][:, None]).sum(1)
-        names = [name for name in systems for _ in number]
+def _beaten(systems: dict[str, np.ndarray], dim: int) -> Callable:
+    """How many items of the task beat each gold item under each system; a query is scored once for all its golds."""
+
+    def run(held: tuple[list, np.ndarray], stream: Iterator[tuple[list, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, both = held
+        names = [k.split("\0", 1) for k in keys]
+        queries, golds = both[:, :dim], both[:, dim:]
+        asked, of = np.unique([n[0] for n in names], return_inverse=True) if names else (np.zeros(0, str), np.zeros(0, np.int64))
+        first = np.zeros(len(asked), np.int64)
+        first[of[::-1]] = np.arange(len(of))[::-1]
+        sides = {name: unit(queries[first] @ m) for name, m in systems.items()}
+        # scores that agree to PLACES digits count as equal
+        least = {name: (unit(queries @ m) * unit(golds @ m)).sum(1) + 0.5 * 10.0**-PLACES for name, m in systems.items()}
+        order = {name: np.lexsort((least[name], of)) for name in systems}
+        starts = np.searchsorted(of[order[next(iter(systems))]], np.arange(len(asked) + 1)) if systems else None
+        counts = {name: np.zeros(len(keys), np.int64) for name in systems}
+        for _, x in stream if len(keys) else ():
+            x = x[:, :dim]
+            for name, m in systems.items():
+                scores = sides[name] @ unit(x @ m).T
+                low = least[name][order[name]]
+                for i in range(len(asked)):
+                    a, z = starts[i], starts[i + 1]
+                    if z - a == 1:
+                        counts[name][order[name][a]] += int((scores[i] > low[a]).sum())
+                    else:
+                        above = scores[i][scores[i] > low[a]]
+                        counts[name][order[name][a:z]] += len(above) - np.searchsorted(np.sort(above), low[a:z], side="right")
+        every = [name for name in systems for _ in keys]
+        flat = np.concatenate([counts[n] for n in systems]) if systems else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array(list(number) * len(systems), pa.int64()), pa.array(np.concatenate([counts[n] for n in systems]) if systems else [], pa.int64())],
-            ["system", "n", "beaten"],
+            [pa.array(every, pa.string()), pa.array([n[0] for n in names] * len(systems), pa.string()), pa.array([n[1] for n in names] * len(systems), pa.string()), pa.array(flat)],
+            ["system", "qid", "item", "beaten"],
         )
 
     return run
@@ -135,24 +178,16 @@ def unit(x: np.ndarray, eps: float = 1e-12) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), eps)
 
 
-def gold_ranks(golds: DataFrame, items: DataFrame, systems: dict[str, np.ndarray], *, dim: int = 64, block: int = QUERY_BLOCK) -> DataFrame:
+def gold_ranks(golds: DataFrame, items: DataFrame, systems: dict[str, np.ndarray], *, dim: int = 64, block: int = QUERY_BLOCK // 4) -> DataFrame:
     """``system, qid, item, rank`` of each gold pair: one more than the number of items that score strictly higher.
 
-    ``golds`` has ``qid, item, qvector, ivector``; ``items`` has ``vector`` and is the searched collection. A system is a
-    matrix that both sides are multiplied by before they are made unit vectors.
+    ``golds`` has ``qid, item, qvector, ivector``, ids being strings; ``items`` has ``vector`` and is the searched
+    collection. A system is a matrix that both sides are multiplied by before they are made unit vectors.
     """
-    from sievebench.session import materialise
-
-    spark = golds.sparkSession
-    numbered = materialise(golds.withColumn("n", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("qid", "item"), F.lit(64))).orderBy("qid", "item")) * 64 + F.pmod(F.xxhash64("qid", "item"), F.lit(64))), "golds")
-    total = numbered.count()
-    parts = max(1, -(-total // block))
-    found = None
-    for part in range(parts):
-        table = numbered.filter(F.pmod("n", F.lit(parts)) == part).select("n", "qvector", "ivector").toArrow().combine_chunks()
-        vectors = [dense(table.column(c).combine_chunks() if not isinstance(table.column(c).combine_chunks(), pa.ChunkedArray) else table.column(c).chunk(0), dim) if table.num_rows else np.zeros((0, dim)) for c in ("qvector", "ivector")]
-        shared = spark.sparkContext.broadcast((table.column("n").to_pylist(), *vectors, systems))
-        some = items.select("vector").mapInArrow(_beaten(shared, dim), "system string, n long, beaten long")
-        found = some if found is None else found.unionByName(some)
-    ranks = found.groupBy("system", "n").agg((F.sum("beaten") + 1).alias("rank"))
-    return ranks.join(numbered.select("n", "qid", "item"), "n").select("system", "qid", "item", "rank")
+    key = F.concat("qid", F.lit("\0"), "item")
+    held = golds.select(key.alias("qid"), F.concat("qvector", "ivector").alias("vector"))
+    padding = F.array_repeat(F.lit(0.0), dim)
+    name = F.col("item").cast("string") if "item" in items.columns else F.xxhash64("vector").cast("string")
+    searched = items.select(name.alias("item"), F.concat("vector", padding).alias("vector"))
+    found = in_blocks(held, searched, _beaten(systems, dim), "system string, qid string, item string, beaten long", dim=2 * dim, block=block)
+    return found.groupBy("system", "qid", "item").agg((F.sum("beaten") + 1).alias("rank"))
