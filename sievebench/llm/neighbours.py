@@ -33,7 +33,7 @@ CELL = 5000
 #: The fewest cells that a vector asks.
 PROBES = 5
 REGION_CELLS = 6
-BLOCK, ASKS = 65536, 131072
+BLOCK, ASKS = 131072, 262144
 #: Rows the centroids are fitted on: 40 for each cell, no fewer than 20,000 and no more than a million.
 SAMPLE, SAMPLE_PER_CELL, SAMPLE_MOST = 20_000, 40, 1_000_000
 #: More centroids than this are fitted in two steps, groups first.
@@ -222,8 +222,9 @@ class Store:
         place[by] = np.arange(len(by)) - np.repeat(starts, np.diff(np.r_[starts, len(by)]))
         keep = order[place <= k] if len(order) else order
         self.ids, self.x, cells = ids[keep], x[keep], cells[keep]
-        self.scale = max(float(np.abs(self.x).max(initial=0)), 1e-30) / 127
-        codes, self.errors = int8_codes(self.x, self.scale)
+        scale = np.maximum(np.abs(self.x).max(1, keepdims=True), 1e-30) / 127
+        codes, self.errors = int8_codes(self.x, scale)
+        self.scale = scale[:, 0].astype(np.float32)
         self.codes = codes.astype(np.float32) if x.shape[1] <= 1040 else codes  # whole numbers, as the product takes them
         self.cell_ids, starts = np.unique(cells, return_index=True)
         self.bounds = {int(c): (int(a), int(b)) for c, a, b in zip(self.cell_ids, starts, np.r_[starts[1:], len(cells)], strict=True)}
@@ -235,30 +236,36 @@ def tile_survivors(store: Store, low: int, high: int, codes: np.ndarray, scale:
     ``codes``, ``scale`` and ``error`` are those of the questions.
     """
     tile = code_products(codes, store.codes[low:high])
+    tile *= store.scale[low:high]
     worst = float(store.errors[low:high].max())
-    unit = scale * store.scale  # a product of codes stands for so much
-    band = error + worst + error * worst + 1e-5
+    band = error + worst + error * worst + 1e-5  # that of the product in single precision too
     n, m = tile.shape
     groups = min(m, 64)
     width = m // groups
     want = min(k + 1, groups)  # one may be the question itself
-    if groups >= k + 1:
+    if groups >= k + 1 and (floor < -1).any():
         best = tile[:, : groups * width].reshape(n, groups, width).max(2)
-        floor = np.maximum(floor, np.partition(best, groups - want, axis=1)[:, groups - want] * unit - band)
-    at = np.flatnonzero(tile >= ((floor - band) / unit)[:, None])
+        floor = np.maximum(floor, np.partition(best, groups - want, axis=1)[:, groups - want] * scale - band)
+    at = np.flatnonzero(tile >= ((floor - band) / scale).astype(np.float32)[:, None])
     return at // m, at % m + low
 
 
 def _merge(heaps: list[list], worst: np.ndarray, rows: np.ndarray, cosines: np.ndarray, ids: np.ndarray, k: int) -> None:
     """Pushes scored pairs on the heaps of the k best, the greater id being the worse at a tie."""
     at = np.flatnonzero(cosines >= worst[rows])
-    for row, pair in zip(rows[at].tolist(), zip(cosines[at].tolist(), (-ids[at]).tolist(), strict=True), strict=True):
+    order = at[np.lexsort((ids[at], -cosines[at], rows[at]))]  # of a question's pairs only the first k can stay
+    rows, cosines, ids = rows[order], cosines[order], ids[order]
+    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, np.int64)
+    place = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
+    first = place < k
+    touched = rows[starts].tolist()
+    for row, cosine, other in zip(rows[first].tolist(), cosines[first].tolist(), (-ids[first]).tolist(), strict=True):
         heap = heaps[row]
         if len(heap) < k:
-            heapq.heappush(heap, pair)
-        elif pair > heap[0]:
-            heapq.heapreplace(heap, pair)
-    for row in np.unique(rows[at]).tolist():
+            heapq.heappush(heap, (cosine, other))
+        elif (cosine, other) > heap[0]:
+            heapq.heapreplace(heap, (cosine, other))
+    for row in touched:
         if len(heaps[row]) == k:
             worst[row] = heaps[row][0][0]
 
@@ -273,7 +280,7 @@ def _answer(store: Store, ids: np.ndarray, who: np.ndarray, cells: np.ndarray, r
     codes = codes.astype(np.float32) if x.shape[1] <= 1040 else codes
     scale = scale[:, 0].astype(np.float64)
     heaps: list[list[tuple[float, int]]] = [[] for _ in ids]
-    worst = np.full(len(ids), -2.0)
+    worst = np.full(len(ids), -2.0)  # the cosine that a pair must reach
     order = np.lexsort((who, cells, rank))
     step = rank[order].astype(np.int64) << 32 | cells[order]
     starts = np.flatnonzero(np.r_[True, step[1:] != step[:-1]]) if len(step) else np.zeros(0, np.int64)
