@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,7 +145,10 @@ def plan(sample: np.ndarray, rows: int, cell: int = CELL, probes: int | None = N
 
 
 def _deal(shared, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``task, asks, id, cells, vector``: each vector once for each part as stored, and once for each block it asks."""
+    """``task, kind, id, cells, vector``: each vector once for each part as stored, and once for each block it asks.
+
+    Kind 0 is stored, 1 stored and asking in the same task, 2 asking; the first of the cells is where a vector is stored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout = shared.value
@@ -170,26 +174,31 @@ def _deal(shared, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 block = np.arange(len(pair)) - np.repeat(np.cumsum(copies) - copies, copies)
                 who, region = who[pair], region[pair]
                 asked = layout.first_task[region] + block * layout.n_parts[region] + hashed[who] % layout.n_parts[region]
-                # stored rows: one block, all its parts
-                own = near[:, 0]
-                parts = layout.n_parts[layout.region[own]]
+                # stored rows: one block, all its parts; in one of these the row asks as well
+                own_region = layout.region[near[:, 0]]
+                parts = layout.n_parts[own_region]
                 row = np.repeat(np.arange(n), parts)
-                region = layout.region[own[row]]
+                home = own_region[row]
                 part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
-                stored = layout.first_task[region] + hashed[row] // 64 % layout.n_blocks[region] * layout.n_parts[region] + part
+                own_block = hashed // 64 % layout.n_blocks[own_region]
+                stored = layout.first_task[home] + own_block[row] * layout.n_parts[home] + part
+                both = part == hashed[row] % layout.n_parts[home]
+                own_pair = np.searchsorted(pairs, np.arange(n) * regions + own_region)
+                apart = (region != own_region[who]) | (block != own_block[who])
+                who, pair, asked = who[apart], pair[apart], asked[apart]
                 every = np.r_[row, who]
                 flat = pa.py_buffer(np.ascontiguousarray(x[every]).tobytes())
                 ends = pa.py_buffer((np.arange(len(every) + 1) * 4 * dim).astype(np.int32).tobytes())
-                single = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1).astype(np.int32)), pa.array(own[row].astype(np.int32)))
+                kinds = np.r_[both.astype(np.int8), np.full(len(who), 2, np.int8)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.r_[stored, asked].astype(np.int32)),
-                        pa.array(np.r_[np.zeros(len(row), bool), np.ones(len(who), bool)]),
+                        pa.array(kinds),
                         pa.array(ids[every], pa.int64()),
-                        pa.concat_arrays([single, cells.take(pa.array(pair))]),
+                        cells.take(pa.array(np.r_[own_pair[row], pair])),
                         pa.Array.from_buffers(pa.binary(), len(every), [None, ends, flat]),
                     ],
-                    ["task", "asks", "id", "cells", "vector"],
+                    ["task", "kind", "id", "cells", "vector"],
                 )
 
     return run
@@ -308,32 +317,53 @@ def _floats(column: pa.Array, dim: int) -> np.ndarray:
 def _tiles(k: int, dim: int, at_once: int = 2048) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows sorted by task, stored ones first, become the best pairs of each block. Only the stored rows are held."""
 
+    def answers(store: Store, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at in range(0, part.num_rows, at_once):
+            some = part.slice(at, at_once)
+            sizes = some.column(3).value_lengths().to_numpy()
+            who = np.repeat(np.arange(len(sizes)), sizes)
+            rank = np.arange(len(who)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            found = _answer(store, some.column(2).to_numpy(), who, some.column(3).flatten().to_numpy(), rank, _floats(some.column(4), dim), k)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], ["id", "other", "cosine"])
+
+    def built(parts: list[pa.RecordBatch]) -> Store:
+        first = [p.column(3).flatten().to_numpy()[p.column(3).offsets.to_numpy()[:-1] - p.column(3).offsets.to_numpy()[0]] for p in parts]
+        return Store(np.concatenate([p.column(2).to_numpy() for p in parts]), np.concatenate(first), np.concatenate([_floats(p.column(4), dim) for p in parts]), k)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, parts, store = None, [], None
+
+        def opened() -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                asks = part.filter(pc.equal(part.column(1), 1))
+                if asks.num_rows:
+                    yield from answers(store, asks)
+
         for whole in batches:
-            tasks, asks = whole.column(0).to_numpy(), whole.column(1).to_numpy(zero_copy_only=False)
+            tasks, asks = whole.column(0).to_numpy(), whole.column(1).to_numpy() == 2
             cuts = np.flatnonzero((tasks[1:] != tasks[:-1]) | (asks[1:] != asks[:-1])) + 1
             for low, high in zip(np.r_[0, cuts], np.r_[cuts, len(tasks)], strict=True):
                 if low == high:
                     continue
                 if tasks[low] != task:
+                    if parts:
+                        store = built(parts)
+                        yield from opened()
                     task, parts, store = tasks[low], [], None
                 part = whole.slice(low, high - low)
                 if not asks[low]:
-                    parts.append((part.column(2).to_numpy(), part.column(3).flatten().to_numpy(), _floats(part.column(4), dim)))
+                    parts.append(part)
                     continue
                 if store is None:
                     if not parts:
                         continue
-                    store = Store(*(np.concatenate(p) for p in zip(*parts, strict=True)), k)
+                    store = built(parts)
+                    yield from opened()
                     parts = []
-                for at in range(0, part.num_rows, at_once):
-                    some = part.slice(at, at_once)
-                    sizes = some.column(3).value_lengths().to_numpy()
-                    who = np.repeat(np.arange(len(sizes)), sizes)
-                    rank = np.arange(len(who)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                    found = _answer(store, some.column(2).to_numpy(), who, some.column(3).flatten().to_numpy(), rank, _floats(some.column(4), dim), k)
-                    yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], ["id", "other", "cosine"])
+                yield from answers(store, part)
+        if parts:
+            store = built(parts)
+            yield from opened()
 
     return run
 
@@ -386,8 +416,8 @@ def nearest(
         return rows.select("id", F.col("id").alias("other"), F.lit(0.0).alias("cosine"), F.lit(0).alias("rank")).limit(0)
     layout = plan(sample, n, cell, probes, block, asks)
     shared = vectors.sparkSession.sparkContext.broadcast(layout)
-    dealt = rows.mapInArrow(_deal(shared, dim), "task int, asks boolean, id long, cells array<int>, vector binary")
-    placed = dealt.repartitionById(layout.tasks, F.col("task")).sortWithinPartitions("task", "asks")
+    dealt = rows.mapInArrow(_deal(shared, dim), "task int, kind byte, id long, cells array<int>, vector binary")
+    placed = dealt.repartitionById(layout.tasks, F.col("task")).sortWithinPartitions("task", "kind")
     found = placed.mapInArrow(_tiles(k, dim), "id long, other long, cosine double")
     by = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
