@@ -30,6 +30,7 @@ differing word changes one bit. A chunk that more than ``block`` records share i
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from fractions import Fraction
@@ -138,7 +139,7 @@ def _sign_batches(hot, salted: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 a, b = known.of(text)
                 bag = None
                 if a or b:
-                    bag = digest(np.array(a + b, np.int64).tobytes(), digest(repr(side)) if salted else 0) >> 1
+                    bag = digest(array("q", a + b).tobytes(), digest(repr(side)) if salted else 0) >> 1
                 first = bag is not None and (side, bag) not in seen
                 seen.add((side, bag))
                 bags.append(bag)
@@ -292,32 +293,41 @@ def _deal(hot, t: Fraction, parts: int) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def pair_ok(a: np.ndarray, b: np.ndarray, m: np.ndarray, t: Fraction, cross: bool) -> np.ndarray:
-    """Which members ``m[a]``, ``m[b]`` of one chunk can be a pair of enough overlap that isn't found at a level before."""
-    n, c, pos, low = m["n"], m["c"], m["pos"], m["low"]
-    d = differing(n[a] + n[b], t)
-    low_a, low_b = low[a], low[b]
-    hot_d = np.where(low_a == _COLD, d, d - c[a] - c[b])
-    good = np.maximum(pos[a], pos[b]) <= hot_d + 1
-    good &= (np.maximum(low_a, low_b) >= _NONE) | (hot_d > np.maximum(low_a, low_b))
-    good &= (m["side"][a] != m["side"][b]) if cross else (m["bag"][a] != m["bag"][b])
-    at = np.flatnonzero(good & (hot_d >= 0))
+def pair_ok(a: np.ndarray, b: np.ndarray, m: dict[str, np.ndarray], most: np.ndarray, cross: bool) -> np.ndarray:
+    """Which members ``m[a]``, ``m[b]`` of one chunk can be a pair of enough overlap that isn't found at a level before.
+
+    ``most`` has the most words that can differ between records of so many words together.
+    """
+    n, own, place, low = m["n"], m["own"], m["place"], m["low"]
+    hot_d = most[n[a] + n[b]] - own[a] - own[b]
+    at = np.flatnonzero((hot_d >= place[a]) & (hot_d >= place[b]))
+    a_, b_, hot_d = a[at], b[at], hot_d[at]
+    before = np.maximum(low[a_], low[b_])
+    good = (before >= _NONE) | (hot_d > before)
+    good &= (m["side"][a_] != m["side"][b_]) if cross else (m["bag"][a_] != m["bag"][b_])
+    at, hot_d = at[good], hot_d[good]
     apart = np.zeros(len(at), np.int64)
     for s in _PARITIES:
         apart += np.bitwise_count(m[s][a[at]] ^ m[s][b[at]])
-        near = apart <= hot_d[at]
-        at, apart = at[near], apart[near]
+        near = apart <= hot_d
+        at, apart, hot_d = at[near], apart[near], hot_d[near]
     return at
 
 
 def _columns(members: np.ndarray, t: Fraction) -> dict[str, np.ndarray]:
     """Columns of members, and what each adds to ``D`` and needs ``D`` to be; members without a level before come first."""
     m = {k: np.ascontiguousarray(members[k]) for k in members.dtype.names}
+    m["own"] = np.where(m["low"] == _COLD, 0, m["c"]).astype(np.int32)  # words that differ for certain
+    m["place"] = (m["pos"] - 1).astype(np.int32)
     m["adds"] = m["n"] * float((1 - t) / (1 + t)) - m["c"]
     m["needs"] = np.where(m["low"] >= _NONE, -np.inf, np.maximum(m["pos"] - 1, m["low"] + 1) - 1e-6)
     return m
 
 
+def _most_table(m: dict[str, np.ndarray], t: Fraction) -> np.ndarray:
+    return differing(np.arange(2 * int(m["n"].max(initial=0)) + 1), t).astype(np.int32)
+
+
 def _in_order(members: np.ndarray, group: np.ndarray, t: Fraction) -> np.ndarray:
     """The order by group, in it those without a level before first, then by falling share in ``D``."""
     return np.lexsort((members["c"] - members["n"] * float((1 - t) / (1 + t)), members["low"] < _NONE, group))
@@ -326,17 +336,21 @@ def _in_order(members: np.ndarray, group: np.ndarray, t: Fraction) -> np.ndarray
 def _group_pairs(group: np.ndarray, m: dict[str, np.ndarray], t: Fraction, cross: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places of the pairs within groups, which are in order: a member is left when those that follow add too little to its ``D``."""
     left, right = [], []
-    shift, rows = 1, np.arange(len(group))
-    adds, needs = m["adds"], m["needs"]
+    most, adds = _most_table(m, t), m["adds"]
+    starts = _run_starts(group)
+    end = np.repeat(np.r_[starts[1:], len(group)], np.diff(np.r_[starts, len(group)])) if len(group) else starts
+    shift, rows, wants = 1, np.arange(len(group)), m["needs"] - adds
     while True:
-        rows = rows[rows + shift < len(group)]
-        rows = rows[(group[rows] == group[rows + shift]) & (adds[rows] + adds[rows + shift] >= needs[rows])]
+        kept = rows + shift < end
+        rows, end, wants = rows[kept], end[kept], wants[kept]
+        kept = adds[rows + shift] >= wants
+        rows, end, wants = rows[kept], end[kept], wants[kept]
         if not len(rows):
             break
         for start in range(0, len(rows), 1 << 16):
             a = rows[start : start + (1 << 16)]
             b = a + shift
-            at = pair_ok(a, b, m, t, cross)
+            at = pair_ok(a, b, m, most, cross)
             if len(at):
                 left.append(a[at])
                 right.append(b[at])
@@ -461,10 +475,11 @@ def _meet_blocks(t: Fraction, cross: bool) -> Callable[[Iterator[pa.RecordBatch]
                     a, b = _group_pairs(group, m, t, cross)
                 else:
                     left, right, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(split, len(members))
+                    most = _most_table(m, t)
                     first = np.flatnonzero(m["adds"][:split] + m["adds"][split:].max() >= m["needs"][:split])
                     for some in np.array_split(first, -(-len(first) // 8)) if len(first) else []:
                         one, two = np.repeat(some, len(second)), np.tile(second, len(some))
-                        at = pair_ok(one, two, m, t, cross)
+                        at = pair_ok(one, two, m, most, cross)
                         left.append(one[at])
                         right.append(two[at])
                     a, b = np.concatenate(left), np.concatenate(right)
