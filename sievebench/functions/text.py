@@ -91,6 +91,30 @@ INSTRUCTIONS = {
     "keyword": "Write one terse keyword-style search (not a full sentence) targeting the evidence.",
 }
 DEFAULT_INSTRUCTION = "Write one realistic search query answerable from the evidence."
+# fixed values: what the generator is told, around the evidence, the examples and the instruction
+SYSTEM = "You write realistic search queries for a retrieval evaluation benchmark. Output only the query text."
+OPENING = "You are given evidence from a knowledge base. Generate ONE search query.\n\n"
+STYLE = "\nReal user queries from this system (match their length, register, and tone):\n"
+ANSWER_FIRST = """
+
+Work answer-first: (1) silently extract one specific claim or fact from the
+evidence; (2) write the question a real user with that information need would
+type into a search box.
+
+Rules:
+- Never use phrases like "according to the document" or mention the evidence,
+  chunks, passage, or context.
+- The query must be answerable from the evidence above and nothing else.
+- Output ONLY the query text, nothing else.
+
+"""
+VARIANT = "Variant %d of %d - vary the angle or facet from other variants."
+REVISE_OPENING = "REVISE_REQUEST\nYour previous query drifted from its retrieval target\n(cosine to target %.3f < required %s).\n\nPrevious query: "
+REVISE_STYLE = "\nReal user queries (keep this register):\n"
+REVISE_END = """
+
+Rewrite the query to target the evidence more specifically while keeping the
+exemplar register. Output ONLY the revised query text."""
 
 
 def instruction(query_type: Column | str) -> Column:
@@ -98,25 +122,39 @@ def instruction(query_type: Column | str) -> Column:
     return F.coalesce(pairs[_col(query_type)], F.lit(DEFAULT_INSTRUCTION))
 
 
+def _lines(texts: Column, mark: str) -> Column:
+    """Each text on a line of its own after a mark; nothing for none."""
+    return F.array_join(F.transform(texts, lambda t: F.concat(F.lit(mark), F.coalesce(t, F.lit("")), F.lit("\n"))), "")
+
+
+def _evidence(chunk_texts: Column, exemplars: Column, style: str, told: Column) -> Column:
+    shown = F.when(F.size(exemplars) > 0, F.concat(F.lit(style), _lines(exemplars, "- "))).otherwise(F.lit(""))
+    return F.concat(F.lit("Evidence:\n"), _lines(chunk_texts, "[chunk] "), shown, F.lit("\nInstruction: "), told)
+
+
 def prompt(chunk_texts: Column, exemplars: Column, told: Column, candidate: Column, candidates: int) -> Column:
-    """The evidence, style examples, instruction and variant lines of a generation request."""
-    evidence = F.array_join(F.transform(chunk_texts, lambda t: F.concat(F.lit("[chunk] "), t)), "\n")
-    style = F.when(
-        F.size(exemplars) > 0,
-        F.concat(
-            F.lit("\nReal user queries from this system (match their length, register, and tone):\n"),
-            F.array_join(F.transform(exemplars, lambda t: F.concat(F.lit("- "), t)), "\n"),
-        ),
-    ).otherwise(F.lit(""))
-    variant = F.format_string(f"\nVariant %d of {candidates}", candidate + 1)
-    return F.concat(F.lit("Evidence:\n"), evidence, style, F.lit("\nInstruction: "), told, variant)
+    """A generation request: evidence, style examples (if any), instruction, the steps and rules, and the variant."""
+    variant = F.format_string(VARIANT, (candidate + 1).cast("int"), F.lit(candidates))
+    return F.concat(F.lit(OPENING), _evidence(chunk_texts, exemplars, STYLE, told), F.lit(ANSWER_FIRST), variant)
+
+
+def revise_prompt(previous: Column, cosine: Column, required: float, chunk_texts: Column, exemplars: Column, told: Column) -> Column:
+    """A request to rewrite a query that drifted from its target."""
+    opening = F.format_string(REVISE_OPENING, cosine, F.lit(str(required)))
+    return F.concat(opening, previous, F.lit("\n\n"), _evidence(chunk_texts, exemplars, REVISE_STYLE, told), F.lit(REVISE_END))
+
+
+def capitalise(text: Column | str) -> Column:
+    """The first character in upper case, the rest as it is."""
+    c = _col(text)
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 2147483647))
 
 
 def mock_reply(seed: int, system: str, user: Column) -> Column:
     """A deterministic reply that echoes the first twelve words of the evidence lines, else the last six words."""
     digest = F.substring(F.sha2(F.concat(F.lit(f"{seed}|{system}|"), user), 256), 1, 8)
     lines = F.filter(F.split(user, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"), lambda x: x.startswith("[chunk]"))
-    words = F.flatten(F.transform(lines, lambda x: F.slice(space_words(x), 2, 1_000_000)))
+    words = F.flatten(F.transform(lines, lambda x: F.filter(space_words(x), lambda w, i: i > 0)))
     every = space_words(user)
     last = F.slice(every, F.greatest(F.size(every) - 5, F.lit(1)), 6)
     said = F.when(F.size(words) > 0, F.slice(words, 1, 12)).otherwise(last)

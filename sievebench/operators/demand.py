@@ -128,3 +128,48 @@ def allocate(tilted: list[float], seeds: int, least: int) -> list[int]:
         donor = max((c for c in range(n) if quota[c] > least), key=lambda c: (quota[c], -c))
         quota[donor] -= 1
     return quota
+
+
+def quotas(spark, tilted: DataFrame, seeds: int, least: int) -> DataFrame:
+    """``cluster, quota`` of ``allocate``, from ``cluster, tilted``: one row for each cluster passes through the driver."""
+    rows = tilted.orderBy("cluster").collect()
+    made = allocate([r["tilted"] for r in rows], seeds, least)
+    return spark.createDataFrame([(r["cluster"], q) for r, q in zip(rows, made, strict=True)], "cluster int, quota long")
+
+
+def transport(found: DataFrame, homes: DataFrame | None = None) -> DataFrame:
+    """``component, cluster, share``: the share of each component's mass that falls in each cluster.
+
+    ``found`` has ``component, cluster, gamma``. A component without mass goes to its cluster in ``homes``
+    (``component, cluster``), where its mean lies.
+    """
+    sums = found.groupBy("component", "cluster").agg(F.sum("gamma").alias("g"))
+    total = F.sum("g").over(Window.partitionBy("component"))
+    rows = sums.withColumn("total", total)
+    out = rows.filter(F.col("total") >= 1e-12).select("component", "cluster", (F.col("g") / F.col("total")).alias("share"))
+    if homes is None:
+        return out
+    starved = homes.join(out.select("component").distinct(), "component", "left_anti")
+    return out.unionByName(starved.select("component", "cluster", F.lit(1.0).alias("share")))
+
+
+def projected_demand(shares: DataFrame, demand: DataFrame, clusters: int) -> DataFrame:
+    """``cluster, p_hat``: demand by component (``component, demand``) carried to clusters by ``transport``, made to sum to one."""
+    mass = shares.join(demand, "component").groupBy("cluster").agg(F.sum(F.col("share") * F.col("demand")).alias("m"))
+    every = cluster_range(shares.sparkSession, clusters).join(mass, "cluster", "left").select("cluster", F.coalesce("m", F.lit(0.0)).alias("m"))
+    return every.select("cluster", (F.col("m") / F.sum("m").over(_all())).alias("p_hat"))
+
+
+def ladder(candidates: list[int], counts: dict[int, list[int]], p_hats: dict[int, list[float]], *, seeds: int, least: int, lam: float = 0.7) -> tuple[int, list[dict]]:
+    """The largest number of clusters whose every cluster has enough anchor queries and expects enough seeds, and each step's facts.
+
+    ``counts`` and ``p_hats`` are anchor counts and demand for each candidate. If none will do, the smallest is taken.
+    """
+    log = []
+    for c in sorted(candidates, reverse=True):
+        expected = [seeds * (lam * p + (1 - lam) / c) for p in p_hats[c]]
+        fits = min(counts[c]) >= least and min(expected) >= least - 1e-9
+        log.append({"clusters": c, "least_anchor": min(counts[c]), "least_expected": min(expected), "fits": fits})
+        if fits:
+            return c, log
+    return min(candidates), log

@@ -48,7 +48,8 @@ def round_trip(ranked: DataFrame, golds: DataFrame, candidates: DataFrame, k: in
 def uniqueness(ranked: DataFrame, golds: DataFrame, answerable: Column, top: int = 5) -> DataFrame:
     """``qid, promoted``: the first ``top`` items that aren't gold, by rank, of those that alone answer the query.
 
-    ``ranked`` has to reach rank ``top`` plus the number of golds. A query is unique if it has no row.
+    ``ranked`` has to reach rank ``top`` plus the number of golds. A query is unique if it has no row; ``unique_check``
+    says what follows from that.
     """
     from pyspark.sql import Window
 
@@ -58,6 +59,18 @@ def uniqueness(ranked: DataFrame, golds: DataFrame, answerable: Column, top: int
     return near.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x.item).alias("promoted"))
 
 
+def unique_check(candidates: DataFrame, promoted: DataFrame, mode: str = "promote") -> DataFrame:
+    """``qid, passed, score, reason, promoted``: items that answer too are added to the gold, or the query is dropped (``reject``)."""
+    if mode not in ("promote", "reject"):
+        raise ValueError(f"uniqueness mode must be promote or reject, got {mode!r}")
+    none = F.array().cast("array<string>")
+    rows = candidates.select("qid").join(promoted, "qid", "left").withColumn("promoted", F.coalesce(F.col("promoted").cast("array<string>"), none))
+    n = F.size("promoted")
+    kept, leaky = F.lit(mode == "promote") | (n == 0), F.concat(n.cast("string"), F.lit(" other items also answer"))
+    reason = F.when(n == 0, F.lit("gold is unique")).when(kept, F.lit("promoted")).otherwise(leaky)
+    return rows.select("qid", kept.alias("passed"), n.cast("double").alias("score"), reason.alias("reason"), F.when(kept, F.col("promoted")).otherwise(none).alias("promoted"))
+
+
 def binary_qrels(rows: DataFrame) -> DataFrame:
     """``query_id, chunk_id, grade``: the seed's chunks, then promotions, each once."""
     every = F.array_distinct(F.concat("chunk_ids", F.coalesce("promoted", F.array().cast("array<string>"))))
@@ -83,6 +96,13 @@ def annotation_records(queries: DataFrame, qrels: DataFrame, hashes: DataFrame,
     return queries.join(maps, "query_id").select(record_id("query_id", "text").alias("record_id"), "query_id", "text", "qrels", "crucial", "content_hashes", F.lit(version).alias("benchmark_version"))
 
 
+def flag_memorized(records: DataFrame, nearest: DataFrame, least: float = 0.9) -> DataFrame:
+    """Adds ``memorized, memorized_cos``: whether a production query is as near as that. ``nearest`` has ``record_id, score``; flagged records stay."""
+    near = nearest.groupBy("record_id").agg(F.max("score").alias("__score"))
+    hit = F.coalesce(F.col("__score") >= least, F.lit(False))
+    return records.join(near, "record_id", "left").withColumn("memorized", hit).withColumn("memorized_cos", F.when(hit, F.col("__score"))).drop("__score")
+
+
 def curate(records: DataFrame, *, mix: dict[str, float] | None = None, most: int | None = None, seed: int = 0) -> DataFrame:
     """First of equal texts, then the mix of strata, then the cap; ``memorized`` stays a flag."""
     kept = first_by(records, "text")

@@ -14,7 +14,7 @@ from sievebench.functions.vectors import banerjee_kappa, sample_vmf, vmf_log_nor
 from sievebench.operators.similarity import dense
 
 
-def fit_partition(rows: DataFrame, clusters: int, *, tries: int = 3, seed: int = 0) -> np.ndarray:
+def fit_partition(rows: DataFrame, clusters: int, *, tries: int = 10, seed: int = 0) -> np.ndarray:
     """Centres of the best of several k-means fits (Spark ML, k-means||)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -98,11 +98,19 @@ def _expect(shared, dim: int):
     return run
 
 
-def fit_mixture(rows: DataFrame, components: int, *, dim: int = 64, rounds: int = 200, tolerance: float = 1e-6, seed: int = 0) -> Mixture:
-    """EM from a k-means start. A round is one pass; tasks return sums by component, which are added before the driver."""
-    centres = fit_partition(rows, components, tries=1, seed=seed)
+def fit_mixture(rows: DataFrame, components: int, *, dim: int = 64, rounds: int = 200, tolerance: float = 1e-6, tries: int = 10, seed: int = 0) -> Mixture:
+    """EM from a k-means start. A round is one pass; tasks return sums by component, which are added before the driver.
+
+    Components start with the masses and resultant lengths of the k-means clusters.
+    """
+    centres = fit_partition(rows, components, tries=tries, seed=seed)
     mean = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-    model = Mixture(np.full(components, 1 / components), mean, np.full(components, 10.0))
+    held = assign(rows, centres, []).groupBy("cluster").count().collect()
+    mass = np.zeros(components)
+    for r in held:
+        mass[r["cluster"]] = r["count"]
+    # a cluster's centre is the mean of its unit vectors, so its length is their mean resultant
+    model = Mixture(mass / max(mass.sum(), 1), mean, banerjee_kappa(np.linalg.norm(centres, axis=1), dim))
     spark, before = rows.sparkSession, -np.inf
     width = dim + 3
     for _ in range(rounds):
@@ -164,3 +172,22 @@ def guarded_sample(model: Mixture, production: DataFrame, n: int, radius: float,
     if not len(found) and n:
         raise RuntimeError("no draw is near production")
     return found[:n], which[:n]
+
+
+def save_mixture(spark, model: Mixture, store, name: str) -> None:
+    """A row for each component; ``store`` is an ``Artifacts`` folder."""
+    rows = [(i, float(w), float(k), m.tolist(), model.log_likelihood) for i, (w, k, m) in enumerate(zip(model.weight, model.kappa, model.mean, strict=True))]
+    store.save_table(name, spark.createDataFrame(rows, "component int, weight double, kappa double, mean array<double>, log_likelihood double").coalesce(1))
+
+
+def load_mixture(spark, store, name: str) -> Mixture:
+    rows = store.load_table(spark, name).orderBy("component").collect()
+    return Mixture(np.array([r["weight"] for r in rows]), np.array([r["mean"] for r in rows]), np.array([r["kappa"] for r in rows]), rows[0]["log_likelihood"])
+
+
+def save_partition(spark, centres: np.ndarray, store, name: str) -> None:
+    store.save_table(name, spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cluster int, centre array<double>").coalesce(1))
+
+
+def load_partition(spark, store, name: str) -> np.ndarray:
+    return np.array([r["centre"] for r in store.load_table(spark, name).orderBy("cluster").collect()])

@@ -148,7 +148,9 @@ def bootstrap_pvalue(deltas: DataFrame, n_boot: int = 2000, seed: int = 0) -> Da
     """
     n = deltas.agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("mean"))
     spark = deltas.sparkSession
-    grid = spark.range(n_boot).select(F.col("id").alias("b")).join(F.broadcast(n)).select("b", "n", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("j"))
+    blocks = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 65536)))  # no array holds all draws of a resample
+    grid = spark.range(n_boot).select(F.col("id").alias("b")).join(F.broadcast(n.filter("n > 0"))).select("b", "n", blocks.alias("o"))
+    grid = grid.select("b", "n", F.explode(F.sequence(F.col("o") * 65536, F.least(F.col("o") * 65536 + 65535, F.col("n") - 1))).alias("j"))
     draws = grid.select("b", F.floor(hash_uniform(seed, "boot", "b", "j") * F.col("n")).cast("bigint").alias("i"))
     means = draws.join(deltas, "i").groupBy("b").agg(F.avg("delta").alias("m"))
     p = means.agg((F.count_if(F.round("m", 12) <= 0) / F.count(F.lit(1))).alias("p_value"))

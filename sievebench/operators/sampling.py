@@ -112,3 +112,27 @@ def apply_mix(records: DataFrame, mix: dict[str, float], key: str = "record_id",
         part = _first_by_hash(records.filter(F.col(stratum) == s), key, "mix", seed, n=round(total * f)).filter("chosen").drop("chosen")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def nested_reference(rows: DataFrame, key: str, most: int, name: str = "reference", seed: int = 0) -> DataFrame:
+    """``key, place``: one subsample in hash order; a comparison of ``n`` rows takes its first ``n``, so all are nested."""
+    from sievebench.operators.ranking import hash_sample
+
+    kept = hash_sample(rows.select(key), key, most, name, seed)
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(hash_hex(seed, name, key), key))
+    return kept.select(key, place.alias("place"))  # at most ``most`` rows
+
+
+def stratified_sample(rows: DataFrame, key: str, by: str, n: int, name: str, seed: int = 0) -> DataFrame:
+    """``n`` rows (all, if there are fewer), dealt to the values of ``by`` in proportion by largest remainders, each by hash."""
+    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("__n"))
+    all_ = Window.partitionBy(F.lit(0))  # one row for each stratum
+    total = F.sum("__n").over(all_)
+    take = F.least(F.lit(n), total)
+    shares = sizes.select(by, (take * F.col("__n") / total).alias("__share"), take.alias("__take"))
+    rest = F.col("__share") - F.floor("__share")
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round(rest, 12)), by))
+    quota = F.floor("__share") + (place <= F.col("__take") - F.sum(F.floor("__share")).over(all_)).cast("int")
+    quotas = shares.select(by, quota.alias("__quota"))
+    at = F.row_number().over(Window.partitionBy(by).orderBy(hash_hex(seed, name, key), key))
+    return rows.join(quotas, by).withColumn("__at", at).filter(F.col("__at") <= F.col("__quota")).drop("__at", "__quota")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that each define QUERIES and SQL.
-MODULES = ("timestamps", "demand", "retrieval", "texts", "sampling", "fidelity")
+MODULES = ("timestamps", "demand", "retrieval", "texts", "sampling", "fidelity", "judgements")
 
 
 def _merged(what: str) -> dict:

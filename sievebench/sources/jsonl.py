@@ -54,6 +54,16 @@ def load_queries(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("line_no").alias("ord"), F.coalesce("query_id", F.format_string("q%05d", "line_no")).alias("query_id"), "text", F.to_timestamp("timestamp").alias("ts"), F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
 
 
+def with_metadata(rows: DataFrame) -> DataFrame:
+    """``metadata`` as a map of strings, empty where there is none."""
+    return rows.withColumn("metadata", F.coalesce(F.col("metadata").cast("map<string,string>"), F.create_map().cast("map<string,string>")))
+
+
+def load_query_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """``ord, metadata`` of every query, ``ord`` as in ``load_queries``."""
+    return with_metadata(read_lines(spark, path, QUERY)).select(F.col("line_no").alias("ord"), "metadata")
+
+
 def load_qrels(spark: SparkSession, path: str) -> DataFrame:
     """``query_id, chunk_id, grade``."""
     return read_lines(spark, path, QRELS).select("query_id", F.explode("qrels").alias("chunk_id", "grade"))

@@ -49,6 +49,70 @@ def missing_ids(wanted: DataFrame, stored: DataFrame, key: str = "id") -> DataFr
     return wanted.join(stored.select(key), key, "left_anti")
 
 
+def fetch_vectors(wanted: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:
+    """The stored rows of the wanted ids, each once; unknown and null ids have none."""
+    return stored.join(wanted.select(key).distinct(), key, "left_semi")
+
+
+class VectorStore:
+    """What a cache of embeddings needs of a store: the vectors of the ids it holds, and to add or replace some."""
+
+    location: str
+
+    def fetch_vectors(self, ids: DataFrame) -> DataFrame:
+        """``id, embedding`` of those of ``id`` that are held."""
+        raise NotImplementedError
+
+    def store_vectors(self, rows: DataFrame, metadata: dict[str, str] | None = None) -> None:
+        """``id, embedding, document``: new ids are added, known ones replaced."""
+        raise NotImplementedError
+
+
+class ParquetStore(VectorStore):
+    """A store in a folder of numbered versions; a version is whole before it counts, so a lost job leaves the old one."""
+
+    def __init__(self, spark: SparkSession, location: str, dim: int) -> None:
+        self.spark, self.location, self.dim = spark, location, dim
+
+    def _versions(self) -> list[int]:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.location)
+        fs = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(place):
+            return []
+        names = [(x.getPath().getName(), x.getPath()) for x in fs.listStatus(place)]
+        done = [n for n, p in names if n.startswith("v") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(n[1:]) for n in done)
+
+    def read(self) -> DataFrame:
+        versions, schema = self._versions(), "id string, embedding array<float>, document string, metadata map<string,string>"
+        return self.spark.read.schema(schema).parquet(f"{self.location}/v{versions[-1]}") if versions else self.spark.createDataFrame([], schema)
+
+    def fetch_vectors(self, ids: DataFrame) -> DataFrame:
+        return fetch_vectors(ids, self.read()).select("id", "embedding")
+
+    def store_vectors(self, rows: DataFrame, metadata: dict[str, str] | None = None) -> None:
+        pairs = [F.lit(x) for pair in sorted((metadata or {}).items()) for x in pair]
+        extra = (F.create_map(*pairs) if pairs else F.create_map()).cast("map<string,string>")
+        size = F.when(F.coalesce(F.size("embedding"), F.lit(-1)) != self.dim, F.raise_error(F.concat(F.lit("wrong size: "), "id"))).otherwise(F.col("embedding"))
+        new = rows.dropDuplicates(["id"]).select("id", size.cast("array<float>").alias("embedding"), "document", extra.alias("metadata"))
+        kept = self.read().join(new.select("id"), "id", "left_anti")
+        at = (self._versions() or [0])[-1] + 1
+        kept.unionByName(new).write.parquet(f"{self.location}/v{at}")
+
+
+def cached_vectors(rows: DataFrame, store: VectorStore, embed, *, id_: str = "id", text: str = "text", batch: int = 500) -> DataFrame:
+    """``rows`` with ``embedding``: of each different id once, from the store where it is held, else embedded and stored.
+
+    ``embed`` adds ``embedding`` to ``id, text``; ``batch`` is how many texts a call of a model behind it should take.
+    """
+    distinct = rows.filter(F.col(id_).isNotNull()).select(F.col(id_).alias("id"), F.col(text).alias("text")).dropDuplicates(["id"])
+    known = store.fetch_vectors(distinct.select("id"))
+    missing = distinct.join(known.select("id"), "id", "left_anti")
+    if missing.limit(1).count():
+        store.store_vectors(embed(missing).select("id", "embedding", F.col("text").alias("document")))
+    return rows.join(store.fetch_vectors(distinct.select("id")).withColumnRenamed("id", id_), id_, "left")
+
+
 class Artifacts:
     """JSON and parquet artifacts in a folder, with a manifest of digests that is checked before anything is read."""
 
