@@ -18,7 +18,7 @@ So of the cold chunks one of the first ``n - ceil(t n) + 1`` is shared, or else
 ``D = d - cold words of both`` hot words differ. Of ``C`` chunks of hot words at least ``C - D`` are then shared, and the
 most telling of these (by the counts of its words) is among the first ``D + 1`` of both records in that order. A record
 of ``h`` hot among ``n`` words knows that ``D`` is at most ``h / t - n``; it is cut at levels that serve ``D`` below 1, 2, 4
-and so on with 1.5 times as many ranges, from the level that a partner can stop at to the one that serves its own
+and so on with about a sixth more ranges, from the level that a partner can stop at to the one that serves its own
 greatest ``D`` and has more chunks than that, and posts the first ones of each. Both records have the level at which the
 first of them stops. Hence all pairs of enough overlap meet in a chunk, however long they are and whatever words are hot.
 
@@ -209,7 +209,7 @@ def posted_chunks(cold: np.ndarray, n_cold: np.ndarray, hot: np.ndarray, n_hot:
         now = open_[begin[open_] <= level]
         if len(now):
             serves = 1 << level
-            m = serves + serves // 2
+            m = serves + serves // 6
             size = n_hot[now]
             at = np.repeat(hot_start[now] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             who = np.repeat(np.arange(len(now)), size)
