@@ -109,7 +109,7 @@ Rules:
 
 """
 VARIANT = "Variant %d of %d - vary the angle or facet from other variants."
-REVISE_OPENING = "REVISE_REQUEST\nYour previous query drifted from its retrieval target\n(cosine to target %.3f < required %s).\n\nPrevious query: "
+REVISE_OPENING = "REVISE_REQUEST\nYour previous query drifted from its retrieval target\n(cosine to target %s < required %s).\n\nPrevious query: "
 REVISE_STYLE = "\nReal user queries (keep this register):\n"
 REVISE_END = """
 
@@ -138,9 +138,19 @@ def prompt(chunk_texts: Column, exemplars: Column, told: Column, candidate: Colu
     return F.concat(F.lit(OPENING), _evidence(chunk_texts, exemplars, STYLE, told), F.lit(ANSWER_FIRST), variant)
 
 
+def fixed(number: Column, digits: int = 3) -> Column:
+    """A number with so many digits after the point, rounded by its exact value as C's ``printf`` does (the JVM rounds its shortest decimal)."""
+
+    @F.pandas_udf("string")
+    def printed(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if pd.isna(x) else f"{x:.{digits}f}")
+
+    return printed(number)
+
+
 def revise_prompt(previous: Column, cosine: Column, required: float, chunk_texts: Column, exemplars: Column, told: Column) -> Column:
     """A request to rewrite a query that drifted from its target."""
-    opening = F.format_string(REVISE_OPENING, cosine, F.lit(str(required)))
+    opening = F.format_string(REVISE_OPENING, fixed(cosine), F.lit(str(required)))
     return F.concat(opening, previous, F.lit("\n\n"), _evidence(chunk_texts, exemplars, REVISE_STYLE, told), F.lit(REVISE_END))
 
 

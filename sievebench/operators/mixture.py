@@ -41,8 +41,8 @@ def assign(rows: DataFrame, centres: np.ndarray, keep: list[str]) -> DataFrame:
     """``keep`` and ``cluster``, the nearest centre, the lesser one at a tie; narrow, the centres being C x d numbers."""
     shared = rows.sparkSession.sparkContext.broadcast(np.asarray(centres, float))
     data = rows.select(*keep, "vector")
-    fields = ", ".join(f"`{c}` {data.schema[c].dataType.simpleString()}" for c in keep)
-    return data.mapInArrow(_nearest(shared, centres.shape[1]), f"{fields}, cluster int")
+    fields = "".join(f"`{c}` {data.schema[c].dataType.simpleString()}, " for c in keep)
+    return data.mapInArrow(_nearest(shared, centres.shape[1]), f"{fields}cluster int")
 
 
 @dataclass

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sievebench.operators import demand as D
 from sievebench.operators import ranking as R
+from sievebench.operators.mixture import assign
 from sievebench.operators.similarity import gold_ranks
 from sievebench.plans import views as V
 from sievebench.session import materialise
@@ -20,12 +21,18 @@ def _train_demand(spark: SparkSession, folder: str) -> DataFrame:
     return D.proportions(V.labels(spark, folder, "train"), clusters)
 
 
-def _scores(spark: SparkSession, folder: str, k: int = 10) -> DataFrame:
+def _ranked(spark: SparkSession, folder: str, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Anchor queries, their gold pairs, and the ranks of these under the exact system; every table is read once."""
+    asked = materialise(V.query_vectors(spark, folder, "anchor").select("query_id", "vector"), "asked") if asked is None else asked
+    corpus = materialise(V.corpus(spark, folder).select("item", "vector"), "corpus")
+    gold = materialise(V.golds(spark, folder, asked, corpus), "gold")
+    ranks = materialise(gold_ranks(gold, corpus, {"exact": np.eye(V.DIM)}), "ranks")
+    return asked.select(F.col("query_id").alias("qid")), gold.select("qid", "item"), ranks.select("qid", "item", "rank")
+
+
+def _scores(spark: SparkSession, folder: str, k: int = 10, ranked: tuple | None = None) -> DataFrame:
     """``qid, score`` of the anchor queries under the exact system."""
-    gold = V.golds(spark, folder)
-    ranks = gold_ranks(gold, V.corpus(spark, folder), {"exact": np.eye(V.DIM)})
-    queries = V.query_vectors(spark, folder, "anchor").select(F.col("query_id").alias("qid"))
-    return R.ndcg(queries, gold.select("qid", "item"), ranks.select("qid", "item", "rank"), k)
+    return R.ndcg(*(ranked or _ranked(spark, folder)), k)
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,9 +41,17 @@ def _scored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def flagship_demand_weighted_ndcg(spark: SparkSession, folder: str) -> DataFrame:
-    """nDCG@10 of anchor queries by cluster with the train demand: the per-cluster table of the benchmark report."""
-    demand = _train_demand(spark, folder)
-    t = D.cluster_table(materialise(_scored(spark, folder), "scores"), demand)
+    """nDCG@10 of anchor queries by cluster with the train demand: the per-cluster table of the benchmark report.
+
+    Vectors of queries are read once, labelled in one pass, and shared by demand and scores.
+    """
+    asked = materialise(V.query_vectors(spark, folder).filter("split IN ('train', 'anchor')").select("query_id", "split", "vector"), "asked")
+    centres = V.centres(spark, folder)
+    labels = materialise(assign(asked, centres, ["query_id", "split"]), "labels")
+    demand = D.proportions(labels.filter("split = 'train'").select("cluster"), len(centres))
+    scores = _scores(spark, folder, 10, _ranked(spark, folder, asked.filter("split = 'anchor'").select("query_id", "vector")))
+    held = labels.filter("split = 'anchor'").select(F.col("query_id").alias("qid"), "cluster")
+    t = D.cluster_table(materialise(scores.join(held, "qid").select("cluster", "score"), "scores"), demand)
     return t.select("cluster", F.round("p_hat", 9).alias("p_hat"), "n", F.round("mean_score", 6).alias("mean_score"))
 
 
@@ -97,12 +112,11 @@ def op_r12_truncated_ndcg(spark: SparkSession, folder: str) -> DataFrame:
 
 def op_r9_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     """Exact scores at 10 against those at 3, as paired differences in order of the query id."""
-    from pyspark.sql import Window
-
-    a, b = _scores(spark, folder), _scores(spark, folder, 3).withColumnRenamed("score", "low")
-    rows = materialise(a.join(b, "qid").select("qid", (F.round("score", 9) - F.round("low", 9)).alias("delta")), "deltas")
-    deltas = rows.withColumn("i", F.row_number().over(Window.orderBy("qid")) - 1).select("i", "delta")
-    return R.bootstrap_pvalue(deltas, 200).select(F.round("delta", 6).alias("delta"), "p_value")
+    ranked = _ranked(spark, folder)
+    a, b = _scores(spark, folder, 10, ranked), _scores(spark, folder, 3, ranked).withColumnRenamed("score", "low")
+    rows = a.join(b, "qid").select("qid", (F.round("score", 9) - F.round("low", 9)).alias("delta"))
+    deltas = materialise(R.numbered(rows, "qid").select("i", "delta"), "deltas")
+    return R.bootstrap_pvalue(deltas).select(F.round("delta", 6).alias("delta"), "p_value")
 
 
 def op_r10_drop_mask(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,7 +150,11 @@ def _positions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op_r4_ranking(spark: SparkSession, folder: str) -> DataFrame:
-    return _positions(spark, folder)
+    """The models and prompts of the synthetic queries as systems, ranked by their mean target cosine."""
+    rows = table(spark, folder, "synthetic_queries").filter("gen_meta.cos_to_target IS NOT NULL")
+    id_ = F.concat_ws("/", "gen_meta.model", "gen_meta.prompt_version")
+    scores = rows.select(id_.alias("system"), id_.alias("ord"), F.col("gen_meta.cos_to_target").alias("score")).filter("system <> ''")
+    return R.system_ranking(scores).select(F.col("system").alias("id"), F.round("mean", 9).alias("mean_score"), "position")
 
 
 def op_r5_kendall(spark: SparkSession, folder: str) -> DataFrame:
@@ -212,12 +230,13 @@ SQL = {
         deltas AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS i, round(score, 9) - round(low, 9) AS delta FROM ndcg JOIN low USING (query_id)),
         size AS (SELECT count(*) AS n, avg(delta) AS mean FROM deltas),
         draws AS (SELECT b, floor(('0x' || substr(sha256('0|boot|' || b || '|' || j), 1, 13))::BIGINT / pow(16, 13) * n)::BIGINT AS i
-            FROM size, (SELECT unnest(range(200)) AS b), LATERAL (SELECT unnest(range(n)) AS j)),
+            FROM size, (SELECT unnest(range(2000)) AS b), LATERAL (SELECT unnest(range(n)) AS j)),
         means AS (SELECT b, avg(delta) AS m FROM draws JOIN deltas USING (i) GROUP BY b)
         SELECT round((SELECT mean FROM size), 6) AS delta, count(*) FILTER (round(m, 12) <= 0) / count(*) AS p_value FROM means""",
     ),
     "op_r10_drop_mask": V.sql("passages", "SELECT chunk_id AS item, row_number() OVER (ORDER BY sha256('0|drop|' || chunk_id), chunk_id) <= floor(0.1 * count(*) OVER ()) AS dropped FROM passages"),
-    "op_r4_ranking": f"WITH {_ARMS}, {_PLACES} SELECT * FROM places",
+    "op_r4_ranking": """SELECT id, round(m, 9) AS mean_score, row_number() OVER (ORDER BY round(m, 12) DESC, id) AS position FROM (
+        SELECT concat_ws('/', gen_meta.model, gen_meta.prompt_version) AS id, avg(gen_meta.cos_to_target) AS m FROM synthetic_queries WHERE gen_meta.cos_to_target IS NOT NULL GROUP BY 1) WHERE id <> ''""",
     "op_r5_kendall": f"""WITH {_ARMS} SELECT round(sum(sx * sy) / sqrt(nullif(sum(abs(sx)) * sum(abs(sy)), 0)), 9) AS tau
         FROM (SELECT sign(a.x - b.x)::DOUBLE AS sx, sign(a.y - b.y)::DOUBLE AS sy FROM arms a JOIN arms b ON a.id < b.id)""",
     "op_r6_tau_ap": f"""WITH {_ARMS}, {_PLACES} SELECT round(2 * sum(c) / ((SELECT count(*) FROM places) - 1) - 1, 9) AS tau_ap

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievebench.functions.vectors import l2_normalize, length
 from sievebench.operators import lexical
 from sievebench.operators.mixture import assign
+from sievebench.operators.ranking import exact_percentile
 from sievebench.operators.similarity import nearest_items
 from sievebench.operators.spans import gold_chunks
 from sievebench.plans import views as V
@@ -16,17 +17,17 @@ from sievebench.sources.benchmarks import binarize, max_grades
 from sievebench.sources.stores import missing_ids
 
 
-def _asking(spark: SparkSession, folder: str, split: str) -> DataFrame:
+def _asking(spark: SparkSession, folder: str, split: str | None) -> DataFrame:
     return V.query_vectors(spark, folder, split).select(F.col("query_id").alias("qid"), "vector")
 
 
 def op_j1_top_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    found = nearest_items(_asking(spark, folder, "anchor"), V.corpus(spark, folder), 10)
+    found = nearest_items(_asking(spark, folder, None), V.corpus(spark, folder), 10)
     return found.select(F.col("qid").alias("query_id"), "item", "rank", F.round("score", 6).alias("score"))
 
 
 def op_j2_nearest_chunk(spark: SparkSession, folder: str) -> DataFrame:
-    found = nearest_items(_asking(spark, folder, "oracle"), V.corpus(spark, folder), 1)
+    found = nearest_items(_asking(spark, folder, None), V.corpus(spark, folder), 1)
     return found.select(F.col("qid").alias("query_id"), "item", F.round("score", 6).alias("score"))
 
 
@@ -37,8 +38,9 @@ def op_j3_assign(spark: SparkSession, folder: str) -> DataFrame:
 def op_j4_radius(spark: SparkSession, folder: str) -> DataFrame:
     """The tenth percentile of each train query's cosine to its nearest other one."""
     q = materialise(_asking(spark, folder, "train"), "train")
-    near = nearest_items(q, q.withColumnRenamed("qid", "item"), 1, apart=True)
-    return near.agg(F.round(F.percentile("score", F.lit(0.1)), 6).alias("radius"))
+    near = materialise(nearest_items(q, q.withColumnRenamed("qid", "item"), 1, apart=True), "near")
+    radius = exact_percentile(near, "score", 0.1)
+    return spark.createDataFrame([(radius,)], "radius double").select(F.round("radius", 6).alias("radius"))
 
 
 def op_j5_span_gold(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,7 +114,7 @@ def op_j13_memorized(spark: SparkSession, folder: str) -> DataFrame:
 
 def op_j14_bm25(spark: SparkSession, folder: str) -> DataFrame:
     texts = table(spark, folder, "chunks").groupBy("chunk_id").agg(F.min(F.struct("ord", "text")).alias("r")).select(F.col("chunk_id").alias("item"), "r.text")
-    queries = V.asked(spark, folder).filter("split = 'oracle'").select(F.col("query_id").alias("qid"), "text")
+    queries = V.asked(spark, folder).select(F.col("query_id").alias("qid"), "text")
     found = lexical.bm25(queries, texts, 5)
     return found.select(F.col("qid").alias("query_id"), "item", "rank", F.round("score", 5).alias("score"))
 
@@ -144,13 +146,13 @@ SQL = {
         "qv corpus",
         """SELECT query_id, item, rank, round(s, 6) AS score FROM (
         SELECT query_id, item, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item) AS rank FROM (
-          SELECT q.query_id, c.item, round(list_dot_product(q.v, c.v), 12) AS s FROM qv q, corpus c WHERE q.split = 'anchor')) WHERE rank <= 10""",
+          SELECT q.query_id, c.item, round(list_dot_product(q.v, c.v), 12) AS s FROM qv q, corpus c)) WHERE rank <= 10""",
     ),
     "op_j2_nearest_chunk": V.sql(
         "qv corpus",
         """SELECT query_id, item, round(s, 6) AS score FROM (
         SELECT query_id, item, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item) AS rank FROM (
-          SELECT q.query_id, c.item, round(list_dot_product(q.v, c.v), 12) AS s FROM qv q, corpus c WHERE q.split = 'oracle')) WHERE rank = 1""",
+          SELECT q.query_id, c.item, round(list_dot_product(q.v, c.v), 12) AS s FROM qv q, corpus c)) WHERE rank = 1""",
     ),
     "op_j3_assign": V.sql("labels", "SELECT query_id, cluster FROM labels"),
     "op_j4_radius": V.sql(
@@ -191,11 +193,24 @@ SQL = {
         sizes AS (SELECT t.item, count(w.term) AS n FROM texts t LEFT JOIN words w USING (item) GROUP BY 1),
         tf AS (SELECT item, term, count(*) AS tf FROM words GROUP BY ALL),
         df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-        q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM asked WHERE split = 'oracle'),
+        q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM asked),
         s AS (SELECT query_id, item, round(sum(ln(1 + ((SELECT count(*) FROM texts) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / (SELECT avg(n) FROM sizes)))), 9) AS score
               FROM q JOIN tf USING (term) JOIN df USING (term) JOIN sizes USING (item) GROUP BY ALL)
         SELECT query_id, item, rank, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS rank FROM s) WHERE rank <= 5""",
     ).replace("\n, texts", ", texts"),
+    "op_j13_memorized": """
+        WITH texts AS (SELECT DISTINCT text, 's' AS side FROM synthetic_queries WHERE text IS NOT NULL UNION ALL SELECT DISTINCT text, 'p' FROM production_queries WHERE text IS NOT NULL),
+        named AS (SELECT *, row_number() OVER (ORDER BY side, text) AS id FROM texts),
+        grams AS (SELECT id, substr(lower(text), i, n) AS gram FROM named, (SELECT unnest([3, 4, 5]) AS n), LATERAL (SELECT unnest(range(1, length(lower(text)) - n + 2)) AS i)),
+        hashed AS (SELECT id, gram, sha256('0|' || gram) AS h FROM grams),
+        counts AS (SELECT id, ('0x' || substr(h, 15, 2))::INT AS bucket, sum(CASE WHEN ('0x' || substr(h, 17, 2))::INT % 2 = 0 THEN 1 ELSE -1 END) AS c FROM hashed GROUP BY ALL),
+        scaled AS (SELECT id, bucket, sign(c) * ln(1 + abs(c)) AS s FROM counts WHERE c <> 0),
+        filled AS (SELECT id, bucket, s FROM scaled UNION ALL SELECT id, 0, 1.0 FROM named WHERE id NOT IN (SELECT id FROM scaled)),
+        dense AS (SELECT n.id, b.bucket, coalesce(f.s, 0)::DOUBLE AS s FROM named n, (SELECT unnest(range(256))::INT AS bucket) b LEFT JOIN filled f ON f.id = n.id AND f.bucket = b.bucket),
+        raw AS (SELECT id, list(s ORDER BY bucket) AS v FROM dense GROUP BY id),
+        vectors AS (SELECT side, text, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM raw JOIN named USING (id)),
+        hit AS (SELECT a.text FROM vectors a WHERE a.side = 's' AND EXISTS (SELECT 1 FROM vectors b WHERE b.side = 'p' AND round(list_dot_product(a.v, b.v), 12) >= 0.9))
+        SELECT ord, query_id, coalesce(text IN (SELECT text FROM hit), false) AS memorized FROM synthetic_queries""",
     "op_t3_hashed_vectors": """
         WITH grams AS (SELECT ord, substr(lower(text), i, n) AS gram FROM synthetic_queries, (SELECT unnest([3, 4, 5]) AS n), LATERAL (SELECT unnest(range(1, length(lower(text)) - n + 2)) AS i)),
         hashed AS (SELECT ord, sha256('0|' || gram) AS h FROM grams),

@@ -79,8 +79,8 @@ def op_d4_oracle_arm(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op_d2_greedy_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether a scan in order keeps each usable production vector; acceptance depends on the earlier ones, so no SQL."""
-    rows = V.stored(spark, folder).filter("owner_kind = 'production_query'").select(F.col("vec_id").alias("ord"), "vector")
+    """Whether a scan in order keeps each usable vector; acceptance depends on the earlier ones."""
+    rows = V.stored(spark, folder).select(F.col("vec_id").alias("ord"), "vector")
     return semantic_dedup(rows, 0.95).select(F.col("ord").alias("vec_id"), "kept")
 
 
@@ -158,6 +158,13 @@ _SHARES = "shares AS (SELECT * FROM (VALUES ('query_type=factoid', 0.5::DOUBLE),
 _TAKEN = """total AS (SELECT min(coalesce(n, 0) / f) AS t FROM shares LEFT JOIN (SELECT stratum_key, count(*) AS n FROM {0} GROUP BY 1) USING (stratum_key)),
     mixed AS (SELECT record_id, stratum_key, text, ord FROM {0} JOIN shares USING (stratum_key), total
         QUALIFY row_number() OVER (PARTITION BY stratum_key ORDER BY sha256('0|mix|' || record_id), record_id) <= round_even(t * f, 0))"""
+_GREEDY = """, pairs AS (SELECT a.vec_id AS earlier, b.vec_id AS vec_id FROM store a JOIN store b ON a.vec_id < b.vec_id WHERE round(list_dot_product(a.v, b.v), 12) >= 0.95),
+    touched AS (SELECT vec_id FROM pairs UNION SELECT earlier FROM pairs),
+    named AS (SELECT t.vec_id, row_number() OVER (ORDER BY t.vec_id) AS i, coalesce(e, []) AS earlier FROM touched t LEFT JOIN (SELECT vec_id, list(earlier) AS e FROM pairs GROUP BY 1) USING (vec_id)),
+    scan AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL
+        SELECT n.i, CASE WHEN list_has_any(n.earlier, s.kept) THEN s.kept ELSE list_append(s.kept, n.vec_id) END FROM scan s JOIN (SELECT i, vec_id, earlier::BIGINT[] AS earlier FROM named) n ON n.i = s.i + 1),
+    last AS (SELECT CASE WHEN i = 0 THEN NULL ELSE kept END AS kept FROM scan ORDER BY i DESC LIMIT 1)
+"""
 _CANDS = """cands AS (SELECT seed_id, chunk_ids, list_transform(z, lambda x: x / n) AS v
     FROM (SELECT seed_id, chunk_ids, z, sqrt(list_sum(list_transform(z, lambda x: x * x))) AS n FROM seeds WHERE z IS NOT NULL)),
     gold AS (SELECT DISTINCT seed_id, unnest(chunk_ids) AS item FROM cands),
@@ -225,6 +232,8 @@ SQL = {
             FROM production_queries WHERE split = 'anchor' GROUP BY 1)
         SELECT query_id, CASE WHEN coalesce(s, '') = '' THEN 'query_type=real' ELSE s END AS stratum_key FROM own
         WHERE query_id IN (SELECT query_id FROM qrels WHERE grade > 0) ORDER BY sha256('0|oracle|' || query_id) LIMIT 300""",
+    "op_d2_greedy_dedup": V.sql("store", _GREEDY + "SELECT store.vec_id, (named.vec_id IS NULL OR list_contains(kept, store.vec_id)) AS kept FROM store LEFT JOIN named ON named.vec_id = store.vec_id, last").replace("\n, pairs", ", pairs").replace("WITH ", "WITH RECURSIVE ", 1),
+    "op_a12_dedup_rate": V.sql("store", _GREEDY + "SELECT round(avg((named.vec_id IS NOT NULL AND NOT list_contains(kept, store.vec_id))::INT), 9) AS rate FROM store LEFT JOIN named ON named.vec_id = store.vec_id, last").replace("\n, pairs", ", pairs").replace("WITH ", "WITH RECURSIVE ", 1),
     "op_g4_round_trip": _after("corpus", _CANDS, "SELECT seed_id, r IS NOT NULL AS passed, round(coalesce(1 / r, 0), 9) AS score FROM cands LEFT JOIN trip USING (seed_id)"),
     "op_g1_gate": _after("corpus", _GATED, "SELECT seed_id, outcome FROM gated"),
     "op_a10_tallies": _after("corpus", _GATED, "SELECT outcome, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM gated GROUP BY 1"),

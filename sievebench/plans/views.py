@@ -152,11 +152,11 @@ def chunk_labels(spark: SparkSession, folder: str) -> DataFrame:
     return assign(corpus(spark, folder), centres(spark, folder), ["item", "ord"])
 
 
-def golds(spark: SparkSession, folder: str) -> DataFrame:
-    """``qid, item, qvector, ivector`` of the relevant pairs of anchor queries."""
+def golds(spark: SparkSession, folder: str, asked_: DataFrame | None = None, corpus_: DataFrame | None = None) -> DataFrame:
+    """``qid, item, qvector, ivector`` of the relevant pairs of anchor queries; vectors that are at hand can be given."""
     from sievebench.sources.benchmarks import max_grades
 
     graded = max_grades(table(spark, folder, "qrels"), ["query_id", "chunk_id"]).filter("grade > 0")
-    q = query_vectors(spark, folder, "anchor").select("query_id", F.col("vector").alias("qvector"))
-    c = corpus(spark, folder).select(F.col("item").alias("chunk_id"), F.col("vector").alias("ivector"))
+    q = (query_vectors(spark, folder, "anchor") if asked_ is None else asked_).select("query_id", F.col("vector").alias("qvector"))
+    c = (corpus(spark, folder) if corpus_ is None else corpus_).select(F.col("item").alias("chunk_id"), F.col("vector").alias("ivector"))
     return graded.join(q, "query_id").join(c, "chunk_id").select(F.col("query_id").alias("qid"), F.col("chunk_id").alias("item"), "qvector", "ivector")

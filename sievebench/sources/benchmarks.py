@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievebench.functions.text import chunk_id, content_hash
+from sievebench.operators.ranking import numbered
 from sievebench.operators.spans import gold_chunks, split_windows
 from sievebench.sources import jsonl
 
@@ -74,8 +76,38 @@ def convert_corpus(spark: SparkSession, raw: str, out: str, dataset: str, *, thr
     return manifest
 
 
-#: Presets of ``convert_corpus``: the least grade that counts as relevant.
-PRESETS = {"fiqa": {"threshold": 1}, "nfcorpus": {"threshold": 1}}
+#: Presets of ``convert_corpus``: the least grade that counts as relevant, and the note on the licence.
+PRESETS = {
+    "fiqa": {"threshold": 1, "license_note": "research use; see the terms of the source"},
+    "nfcorpus": {"threshold": 1, "license_note": "research use; see the terms of the source"},
+}
+
+
+def convert_preset(spark: SparkSession, name: str, raw: str, out: str) -> dict:
+    """``convert_corpus`` with the settings of a known benchmark; an unknown name is an error."""
+    if name not in PRESETS:
+        raise KeyError(f"unknown preset {name!r}; known: {sorted(PRESETS)}")
+    return convert_corpus(spark, raw, out, name, **PRESETS[name])
+
+
+def discover_subcorpora(raw: str) -> list[str]:
+    """The names of the benchmark files, sorted; a missing folder or one without any is an error."""
+    folder = Path(raw, "benchmarks")
+    if not folder.is_dir():
+        raise FileNotFoundError(f"{folder} is missing; expected <raw>/benchmarks/<subcorpus>.json")
+    names = sorted(p.stem for p in folder.glob("*.json"))
+    if not names:
+        raise FileNotFoundError(f"{folder} has no JSON files")
+    return names
+
+
+def read_benchmark(path: Path) -> list[dict]:
+    """The entries of a file: a bare list, or an object with a list named ``tests``."""
+    data = json.loads(path.read_text(encoding="utf-8"))
+    entries = data.get("tests") if isinstance(data, dict) else data
+    if not isinstance(entries, list):
+        raise TypeError(f"{path} is neither a list nor an object with a list of tests")
+    return entries
 
 
 def convert_spans(spark: SparkSession, raw: str, out: str, dataset: str = "legal") -> dict:
@@ -88,37 +120,33 @@ def convert_spans(spark: SparkSession, raw: str, out: str, dataset: str = "legal
     docs = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(f"{raw}/corpus").select(F.substring_index("_metadata.file_path", root + "/", -1).alias("doc_id"), F.col("value").alias("text"))
     windows = split_windows(docs, keep=["doc_id"])
     chunks = windows.select("doc_id", "start", "end", "text", F.substring_index("doc_id", "/", 1).alias("subcorpus"))
-    chunks = chunks.select("*", chunk_id("text", "doc_id", F.lit(None)).alias("chunk_id"), F.row_number().over(_by("doc_id", "start")).alias("ord"))
+    chunks = chunks.select("*", chunk_id("text", "doc_id", F.lit(None)).alias("chunk_id"), F.concat_ws("|", "doc_id", F.format_string("%010d", "start")).alias("place"))
+    chunks = numbered(chunks, "place", "ord").drop("place")
     spans = spark.createDataFrame(list(_benchmark_rows(raw)), "query_id string, query string, doc_id string, start int, end int")
     gold = gold_chunks(spans, chunks)
-    queries = spans.groupBy("query_id").agg(F.first("query").alias("text")).withColumn("ord", F.row_number().over(_by("query_id")))
+    queries = numbered(spans.groupBy("query_id").agg(F.first("query").alias("text")), "query_id", "ord")
     maps = gold.groupBy("query_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("chunk_id", F.lit(1).alias("grade"))))).alias("qrels"))
-    maps = maps.withColumn("ord", F.row_number().over(_by("query_id")))
+    maps = numbered(maps, "query_id", "ord")
     tagged = chunks.select("ord", "text", "doc_id", F.create_map(F.lit("subcorpus"), "subcorpus").alias("metadata"))
     digests = {
         "chunks.jsonl": jsonl.write_jsonl(tagged, f"{out}/chunks.jsonl", "ord"),
         "queries.jsonl": jsonl.write_jsonl(queries, f"{out}/queries.jsonl", "ord"),
         "anchor_qrels.jsonl": jsonl.write_jsonl(maps, f"{out}/anchor_qrels.jsonl", "ord"),
     }
-    lost = spans.join(docs, "doc_id", "left_anti").count()
+    unmatched = spans.join(docs, "doc_id", "left_anti").groupBy("doc_id").count().orderBy("doc_id").collect()  # one row for each wrong path
+    lost = sum(r["count"] for r in unmatched)
+    if lost:
+        warnings.warn(f"{lost} spans of {len(unmatched)} unknown documents, such as {unmatched[0]['doc_id']}", stacklevel=2)
     manifest = {"dataset": dataset, "counts": {"chunks": chunks.count(), "queries": queries.count(), "qrels": gold.count(), "unmatched_spans": lost}, "source_version": jsonl.source_version(spark, raw), "license_note": "", "output_sha256": digests}
     jsonl.write_manifest(f"{out}/manifest.json", manifest)
     return manifest
 
 
-def _by(*columns: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*columns)
-
-
 def _benchmark_rows(raw: str) -> Iterator[tuple]:
-    for path in sorted(Path(raw, "benchmarks").glob("*.json")):
-        data = json.loads(path.read_text(encoding="utf-8"))
-        tests = data["tests"] if isinstance(data, dict) else data
-        for i, test in enumerate(tests):
+    for name in discover_subcorpora(raw):
+        for i, test in enumerate(read_benchmark(Path(raw, "benchmarks", f"{name}.json"))):
             for snippet in test["snippets"]:
-                yield f"{path.stem}_{i:04d}", test["query"], snippet["file_path"], int(snippet["span"][0]), int(snippet["span"][1])
+                yield f"{name}_{i:04d}", test["query"], snippet["file_path"], int(snippet["span"][0]), int(snippet["span"][1])
 
 
-__all__ = ["PRESETS", "binarize", "build_chunks", "convert_corpus", "convert_spans", "max_grades", "read_corpus", "read_qrels", "read_queries", "titled"]
+__all__ = ["PRESETS", "binarize", "build_chunks", "convert_corpus", "convert_preset", "convert_spans", "discover_subcorpora", "max_grades", "read_corpus", "read_qrels", "read_queries", "titled"]
