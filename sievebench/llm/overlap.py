@@ -215,7 +215,7 @@ def posted_chunks(cold: np.ndarray, n_cold: np.ndarray, hot: np.ndarray, n_hot:
             who = np.repeat(np.arange(len(now)), size)
             h = hashed[at]
             range_ = ((h >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(who * m + range_, kind="stable")  # normalised record in hash order, cut at the ranges
+            order = np.argsort(who * m + range_)  # normalised record in hash order, cut at the ranges
             key = (who * m + range_)[order]
             starts = _run_starts(key)
             with np.errstate(over="ignore"):
@@ -223,7 +223,8 @@ def posted_chunks(cold: np.ndarray, n_cold: np.ndarray, hot: np.ndarray, n_hot:
             told = np.add.reduceat(gain[at][order], starts)
             length = np.diff(np.r_[starts, len(key)])
             owner = key[starts] // m
-            order = np.lexsort((digest, -told, owner))
+            rank = (1 << 24) - 1 - np.minimum(told, (1 << 24) - 1)  # by record, the most telling first, then by digest
+            order = np.argsort(owner.astype(np.uint64) << np.uint64(52) | rank.astype(np.uint64) << np.uint64(28) | digest >> np.uint64(36))
             owner, digest, length = owner[order], digest[order], length[order]
             first = _run_starts(owner)
             chunks = np.diff(np.r_[first, len(owner)])
@@ -425,7 +426,7 @@ def _meet(t: Fraction, block: int, cross: bool) -> Callable[[Iterator[pa.RecordB
             _, firsts, same = np.unique((records["bag"] << 1) | (records["c"] & 1), return_index=True, return_inverse=True)
             rec, records = same[rec], records[firsts]
             chunk = posted["chunk"]
-            order = np.lexsort((rec, chunk))
+            order = np.argsort(chunk.astype(np.uint64) << np.uint64(32) | rec.astype(np.uint64))
             chunk, rec = chunk[order], rec[order]
             fresh = np.r_[True, (chunk[1:] != chunk[:-1]) | (rec[1:] != rec[:-1])]
             order, chunk, rec = order[fresh], chunk[fresh], rec[fresh]
