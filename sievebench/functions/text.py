@@ -171,6 +171,11 @@ def mock_reply(seed: int, system: str, user: Column) -> Column:
     return F.concat(F.lit("what about "), F.array_join(said, " "), F.lit(" ("), digest, F.lit(")?"))
 
 
+def transcript_digest(user: Column | str, system: str = SYSTEM, kwargs: str = "{}") -> Column:
+    """Key of a recorded exchange."""
+    return F.sha2(F.concat_ws("|", F.lit(system), _col(user), F.lit(kwargs)), 256)
+
+
 def parse_verdict(raw: str | None) -> tuple[bool, str, float]:
     """Answerable, answer and confidence of the first JSON object in a reply; ``(False, "", 0.0)`` if unusable."""
     decoder, at = json.JSONDecoder(), (raw or "").find("{")
