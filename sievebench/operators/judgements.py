@@ -22,7 +22,7 @@ def weighted_kappa(matrix: DataFrame, grades: int = GRADES, quadratic: bool = Tr
     weight = apart * apart if quadratic else apart
     all_ = Window.partitionBy()
     rows = matrix.select("a", "b", "n", weight.alias("w"), F.sum("n").over(Window.partitionBy("a")).alias("na"), F.sum("n").over(Window.partitionBy("b")).alias("nb"), F.sum("n").over(all_).alias("all"))
-    sums = rows.agg(F.sum(F.col("w") * F.col("n")).alias("seen"), F.sum(F.col("w") * F.col("na") * F.col("nb") / F.col("all")).alias("chance"))
+    sums = rows.agg(F.sum(F.col("w") * F.col("n")).alias("seen"), F.sum(F.col("w") * F.col("na") * F.col("nb") / F.nullif(F.col("all"), F.lit(0))).alias("chance"))
     return sums.select((1 - F.col("seen") / F.nullif(F.col("chance"), F.lit(0.0))).alias("kappa"))
 
 

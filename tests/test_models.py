@@ -3,7 +3,6 @@ import math
 import numpy as np
 import pytest
 
-from sievebench import pipeline as P
 from sievebench.functions import vectors as V
 from sievebench.operators import dedup as D
 from sievebench.operators import fidelity as A
@@ -113,25 +112,6 @@ def test_gate_and_labels(spark):
     assert len(record) == 1 and record[0]["crucial"] == ["c0", "c1"] and record[0]["content_hashes"] == {"c1": "h1"}
 
 
-def config(**more):
-    return {"benchmark": {"schema_version": 1, "name": "x"}, "resources": {"dataset": {"type": "toy_world"}, "generator_llm": {"params": {"model": "alpha-1"}}, "judge_llm": {"params": {"model": "alpha-2"}}}, "pipeline": [{"type": "gate"}], "artifacts_dir": "x"} | more
-
-
-def test_config():
-    assert "alpha" in P.validate_config(config())[0]
-    with pytest.raises(ValueError):
-        P.validate_config(config(benchmark={"schema_version": 3}))
-    with pytest.raises(KeyError):
-        P.validate_config(config(pipeline=[{"type": "nope"}]))
-    with pytest.raises(ValueError):
-        P.validate_config(config(pipeline=[{"type": "validator", "params": {"audit_export": {}}}]))
-    with pytest.raises(KeyError, match="known"):
-        P.ARMS.get("zz")
-    assert P.OPTIMIZERS.get("noop")("p", lambda _: 1.0)["improvement"] == 0.0
-    with pytest.raises(NotImplementedError):
-        P.OPTIMIZERS.get("mipro_v2")("p", lambda _: 1.0)
-
-
 def test_stream(spark, tmp_path):
     import datetime as dt
 
