@@ -122,7 +122,7 @@ def split_text(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) ->
     if len(words) - 1 + sum(map(len, words)) <= limit:
         if not words:
             return []
-        flat = normalise(text)[0] if "\n" in text or "\r" in text else " ".join(words)
+        flat = normalise(text)[0] if _LINE.search(text) else " ".join(words)
         at = len(text) - len(text.lstrip())
         whole = (0, 0, len(flat), at, len(text.rstrip()), 0, flat)
         return [dict(zip(("piece", "start", "end", "source_start", "source_end", "overlap", "text"), whole, strict=True))]
@@ -175,5 +175,5 @@ def split_texts(df: DataFrame, *, keep: list[str], text: str = "text", limit: in
         raise ValueError("overlap must be at least 0 and less than limit")
     rows = df.select(*[F.col(c) for c in keep], F.col(text).cast("binary").alias("__text"))
     made = "n_pieces int, p_piece int, p_start int, p_end int, p_source_start int, p_source_end int, p_overlap int, p_text string"
-    schema = T.StructType([*[rows.schema[c] for c in keep], *T._parse_datatype_string(made).fields])
+    schema = T.StructType([*[rows.schema[c] for c in keep], *T.StructType.fromDDL(made).fields])
     return rows.mapInArrow(_splitter(limit, overlap), schema)

@@ -1,19 +1,21 @@
 """Subjects of documents by latent semantic analysis and seed centroids refined iteratively.
 
-1. Words (letters only, three or more, accents folded) that occur in enough documents form the vocabulary, the
-   ``VOCABULARY`` most frequent at most; their counts cover every document.
+1. Words (letters only, three or more, accents folded) that occur in enough documents can be terms; their counts cover
+   every document. Words of the labelled passages always are; of the others each language gives its most frequent, in
+   turn, until there are ``VOCABULARY``.
 2. A term weighs its inverse sentence frequency times how much it tells about the subject: the divergence of its
    subjects from the prior. That comes from the labelled passages at first, then also from the corpus, where a term in a
    sentence counts for the subjects of the *other* sentences of its document; so words that any document may have lose
    their weight, and words no passage has gain one.
 3. The weighted, length-normalised document-term matrix gets a truncated singular value decomposition by subspace
-   iteration: a task only returns the product of its documents with ``terms x rank`` numbers, summed by row.
+   iteration, which each round starts from the directions of the one before: a task only returns the product of its
+   documents with ``terms x rank`` numbers, summed by row.
 4. A sentence is the weighted sum of its terms' directions. It concerns the subject of the nearest centroid if their
    cosine and the sentence's own weight suffice. A centroid of each subject and language starts from the passages and
    moves to the mean of its sentences, over ``ROUNDS`` rounds of steps 2 to 4.
 
-Documents are read twice as text and then kept as term numbers in the shared folder. Only sums of bounded size, terms by
-subjects or terms by rank, reach the driver.
+Documents are read once as text, kept as word hashes by sentence and then as term numbers in the shared folder. Only sums
+of bounded size, terms by subjects or terms by rank, reach the driver.
 """
 
 from __future__ import annotations
@@ -26,14 +28,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievebench.llm.sums import ROWS, rows_of, total_rows
 from sievebench.llm.tokens import texts_of
 from sievebench.session import materialise
 
-VOCABULARY = 8192
+#: Terms at most, and words of labelled passages at most that are terms without having to be frequent.
+VOCABULARY, PASSAGE_WORDS = 16_384, 8_192
 LEAST_DOCUMENTS = 5
 RANK = 64
 ROUNDS = 3
@@ -67,65 +71,95 @@ def sentences(text: str | None) -> list[list[str]]:
     return out
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sentences and documents that have each word, emptied from time to time so that memory stays bounded."""
-    by_sentence, by_document = Counter(), Counter()
-
-    def flush() -> pa.RecordBatch:
-        words = list(by_sentence)
-        batch = pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.string()), pa.array([by_sentence[w] for w in words], pa.int64()), pa.array([by_document[w] for w in words], pa.int64())],
-            ["word", "sentences", "documents"],
-        )
-        by_sentence.clear()
-        by_document.clear()
-        return batch
+def word_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word) >> 1
+
 
-    total = documents = 0
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Key, language and text become word hashes by sentence."""
+    known: dict[str, int] = {}
     for batch in batches:
-        for text in texts_of(batch.column(0)):
-            every: set[str] = set()
+        sizes, ends, words, word_ends = [], [0], [], [0]
+        for text in texts_of(batch.column(2)):
             for found in sentences(text):
-                own = set(found)
-                by_sentence.update(own)
-                every |= own
-                total += 1
-            by_document.update(every)
-            documents += 1
-            if len(by_sentence) > _FLUSH:
-                yield flush()
-    by_sentence[""], by_document[""] = total, documents
-    yield flush()
-
-
-def vocabulary(documents: DataFrame, text: str, most: int = VOCABULARY, least: int = LEAST_DOCUMENTS) -> tuple[dict[str, int], np.ndarray]:
-    """Term numbers and their inverse sentence frequencies."""
-    counted = (
-        documents.select(F.col(text).cast("binary").alias("t"))
-        .mapInArrow(_count_words, "word string, sentences long, documents long")
-        .groupBy("word")
-        .agg(F.sum("sentences").alias("sentences"), F.sum("documents").alias("documents"))
-        .filter((F.col("documents") >= least) | (F.col("word") == ""))
-        .orderBy(F.desc("sentences"), "word")
-        .limit(most + 1)
-        .collect()
-    )
-    total = max([r["sentences"] for r in counted if r["word"] == ""], default=0)
-    rows = [r for r in counted if r["word"]]
-    idf = np.array([np.log(max(total, 1) / r["sentences"]) for r in rows], np.float64)
-    return {r["word"]: i for i, r in enumerate(rows)}, idf
+                sizes.append(len(found))
+                for word in found:
+                    h = known.get(word)
+                    if h is None:
+                        h = known[word] = word_hash(word)
+                    words.append(h)
+            ends.append(len(sizes))
+            word_ends.append(len(words))
+        if len(known) > _FLUSH:
+            known.clear()
+        lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v, t)) for e, v, t in ((ends, sizes, pa.int32()), (word_ends, words, pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["key", "lang", "sizes", "words"])
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sentences and documents of each language that have each word; word 0 counts all sentences."""
+    for batch in batches:
+        langs = batch.column(0).dictionary_encode()
+        codes = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets = batch.column(1).offsets.to_numpy()
+        sizes = batch.column(1).values.to_numpy()[offsets[0] : offsets[-1]]
+        words = batch.column(2).flatten().to_numpy()
+        of_sentence = np.repeat(np.arange(len(codes)), np.diff(offsets))
+        sentence = np.repeat(np.arange(len(sizes)), sizes)
+        names, term = np.unique(words, return_inverse=True)
+        width = max(len(names), 1)
+        own = np.unique(sentence * width + term)  # a word counts once in a sentence, and once in a document
+        place = own // width
+        by = np.bincount(codes[of_sentence[place]] * width + own % width, minlength=len(langs.dictionary) * width) if len(own) else np.zeros(len(langs.dictionary) * width, np.int64)
+        documents = np.unique(of_sentence[place] * width + own % width)
+        per = np.bincount(codes[documents // width] * width + documents % width, minlength=len(by)) if len(own) else by
+        used = np.flatnonzero(by)
+        total = np.bincount(codes[of_sentence], minlength=len(langs.dictionary))
+        lang = np.r_[used // width, np.arange(len(total))].astype(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [langs.dictionary.take(pa.array(lang)), pa.array(np.r_[names[used % width], np.zeros(len(total), np.int64)], pa.int64()), pa.array(np.r_[by[used], total]), pa.array(np.r_[per[used], np.zeros(len(total), np.int64)])],
+            ["lang", "word", "sentences", "documents"],
+        )
+
+
+def vocabulary(spelled: DataFrame, passages: set[int], most: int = VOCABULARY, least: int = LEAST_DOCUMENTS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the terms, rising, and their inverse sentence frequencies.
+
+    ``passages`` are hashes of the labelled passages' words, which come first; then languages take turns.
+    """
+    counted = materialise(spelled.select("lang", "sizes", "words").mapInArrow(_count_words, "lang string, word long, sentences long, documents long").groupBy("lang", "word").agg(F.sum("sentences").alias("sentences"), F.sum("documents").alias("documents")), "words")
+    total = counted.filter("word = 0").agg(F.sum("sentences")).first()[0] or 0
+    words = counted.filter("word <> 0")
+    every = words.groupBy("word").agg(F.sum("sentences").alias("sentences"), F.sum("documents").alias("documents")).filter(F.col("documents") >= least)
+    by = Window.partitionBy("lang").orderBy(F.desc("sentences"), "word")
+    place = words.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= most).groupBy("word").agg(F.min("place").alias("place"))
+    told = every.sparkSession.createDataFrame([(w,) for w in sorted(passages)], "word long").withColumn("told", F.lit(True))
+    ranked = every.join(place, "word", "left").join(told, "word", "left").filter("place IS NOT NULL OR told")
+    rows = ranked.orderBy(F.col("told").isNull(), F.col("place").asc_nulls_last(), F.desc("sentences"), "word").limit(most).select("word", "sentences").collect()
+    rows.sort()
+    return np.array([r["word"] for r in rows], np.int64), np.array([np.log(max(total, 1) / r["sentences"]) for r in rows], np.float64)
 
 
 def _number(terms) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Word hashes become numbers of terms, other words are left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = terms.value
         for batch in batches:
-            sizes, numbers = [], []
-            for text in texts_of(batch.column(1)):
-                split = [[known[w] for w in s if w in known] for s in sentences(text)]
-                sizes.append([len(s) for s in split])
-                numbers.append([i for s in split for i in s])
-            arrays = [batch.column(0), pa.array(sizes, pa.list_(pa.int32())), pa.array(numbers, pa.list_(pa.int32()))]
+            offsets = batch.column(1).offsets.to_numpy()
+            sizes = batch.column(1).values.to_numpy()[offsets[0] : offsets[-1]]
+            words = batch.column(2).flatten().to_numpy()
+            at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
+            held = known[at] == words if len(known) else np.zeros(len(words), bool)
+            sentence = np.repeat(np.arange(len(sizes)), sizes)[held]
+            kept = np.bincount(sentence, minlength=len(sizes)).astype(np.int32)
+            ends = (offsets - offsets[0]).astype(np.int32)
+            before = np.r_[0, np.cumsum(kept)].astype(np.int32)
+            arrays = [
+                batch.column(0),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(kept)),
+                pa.ListArray.from_arrays(pa.array(before[ends]), pa.array(at[held].astype(np.int32))),
+            ]
             yield pa.RecordBatch.from_arrays(arrays, ["key", "sizes", "terms"])
 
     return run
@@ -313,17 +347,19 @@ def document_subjects(
     labelled = examples.select(subject, lang, text).limit(100_001).collect()
     if len(labelled) > 100_000:
         raise ValueError("more than 100,000 labelled passages")
-    known, idf = vocabulary(documents, text)
-    numbered = materialise(
-        documents.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("t")).mapInArrow(
-            _number(spark.sparkContext.broadcast(known)), f"key {documents.schema[key].dataType.simpleString()}, sizes array<int>, terms array<int>"
-        ),
-        "numbered",
-    )
+    kind = documents.schema[key].dataType.simpleString()
+    own = F.coalesce(F.col(lang).cast("string"), F.lit("")) if lang in documents.columns else F.lit("")
+    texts = documents.select(F.col(key).alias("key"), own.alias("lang"), F.col(text).cast("binary").alias("t"))
+    spelled = materialise(texts.mapInArrow(_spell, f"key {kind}, lang string, sizes array<int>, words array<long>"), "spelled")
+    told = Counter(word_hash(w) for r in labelled if r[0] is not None for s in sentences(r[2]) for w in s)
+    terms, idf = vocabulary(spelled, {h for h, _ in sorted(told.items(), key=lambda x: (-x[1], x[0]))[:PASSAGE_WORDS]})
+    known = {int(h): i for i, h in enumerate(terms)}
+    numbered = spelled.select("key", "sizes", "words").mapInArrow(_number(spark.sparkContext.broadcast(terms)), f"key {kind}, sizes array<int>, terms array<int>")
+    numbered = materialise(numbered, "numbered", old=spelled)
     groups = sorted({(r[0], r[1] or "") for r in labelled if r[0] is not None})
     subjects = sorted({g[0] for g in groups})
     subject_of = np.array([subjects.index(g[0]) for g in groups], np.int64)
-    seeds = [(groups.index((r[0], r[1] or "")), [known[w] for w in s if w in known]) for r in labelled if r[0] is not None for s in sentences(r[2])]
+    seeds = [(groups.index((r[0], r[1] or "")), [known[h] for w in s if (h := word_hash(w)) in known]) for r in labelled if r[0] is not None for s in sentences(r[2])]
     seed_counts = np.zeros((len(known), max(1, len(subjects))))
     for group, terms in seeds:
         np.add.at(seed_counts, (terms, subject_of[group]), 1)
@@ -346,7 +382,7 @@ def document_subjects(
             basis = basis * 0.01 + old[used][:, :width]
         basis = np.linalg.qr(basis)[0] if len(used) else basis
         model = Model(term_weight, active, basis, np.zeros((len(known), width), np.float32), np.zeros((len(groups), width), np.float32), subject_of, len(subjects))
-        for _ in range(2):
+        for _ in range(2 if old is None else 1):
             product = total_rows(numbered.mapInArrow(_multiply(spark.sparkContext.broadcast(model)), ROWS), {0: basis.shape})[0]
             u, s, _ = np.linalg.svd(product, full_matrices=False)
             model.basis = u
@@ -372,7 +408,6 @@ def document_subjects(
     if model is None:
         return _nothing(numbered, key)
     final = spark.sparkContext.broadcast(model)
-    kind = documents.schema[key].dataType.simpleString()
     return numbered.mapInArrow(_shares(final, subjects, cosine, weight), f"key {kind}, subject string, about long, sentences long").withColumnRenamed("key", key)
 
 
