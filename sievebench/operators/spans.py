@@ -40,7 +40,7 @@ def split_windows(df: DataFrame, *, keep: list[str], text: str = "text", window:
     if not 0 <= overlap < window:
         raise ValueError("overlap must be at least 0 and less than window")
     rows = df.select(*keep, F.col(text).alias("__text"))
-    made = T._parse_datatype_string("start int, end int, text string").fields
+    made = T.StructType.fromDDL("start int, end int, text string").fields
     return rows.mapInArrow(_cut(window, overlap), T.StructType([*[rows.schema[c] for c in keep], *made]))
 
 

@@ -63,8 +63,10 @@ WEEKDAYS = {
     for name in names
 }
 
-#: Micros for one unit of a bare number with so many digits before the point.
-EPOCH_UNITS = {10: 1_000_000, 13: 1_000, 16: 1, 19: 0}
+#: Micros for one unit of a bare number with so many digits before the point: seconds, milliseconds, microseconds and
+#: nanoseconds (0) of the years 1973 to 2286; eleven digits are seconds too. Of other lengths no unit can be told (eight
+#: and fourteen may be a written date), so these denote nothing.
+EPOCH_UNITS = {9: 1_000_000, 10: 1_000_000, 11: 1_000_000, 12: 1_000, 13: 1_000, 15: 1, 16: 1, 18: 0, 19: 0}
 
 _CLOCK = (
     r"(?P<H>\d{1,2}):(?P<M>\d{2})(?::(?P<S>\d{2})(?:[.,](?P<f>\d+))?)?"
