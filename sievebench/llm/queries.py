@@ -157,6 +157,20 @@ _UNIT = """unit AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE
         SELECT vec_id, embedding, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM vector_store
         WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0))"""
 
+_RECORDS = "records AS (SELECT query_id, text, split, source FROM production_queries UNION ALL SELECT query_id, text, split, source FROM synthetic_queries)"
+#: Overlaps of different bags of words: ``mine`` are evaluation records by row, ``best`` the bags' nearest training bags.
+_OVERLAPS = rf"""{_RECORDS},
+    spelled AS (SELECT *, list_sort(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS bag FROM records WHERE split IS NOT NULL),
+    bags AS (SELECT bag, row_number() OVER () AS id FROM (SELECT DISTINCT bag FROM spelled WHERE len(bag) > 0)),
+    sides AS (SELECT DISTINCT id, split = 'train' AS train FROM spelled JOIN bags USING (bag)),
+    tokens AS (SELECT id, word, row_number() OVER (PARTITION BY id, word) AS again FROM (SELECT id, unnest(bag) AS word FROM bags)),
+    sizes AS (SELECT id, len(bag) AS n FROM bags),
+    shared AS (SELECT a.id AS e, b.id AS t, count(*) AS c FROM tokens a JOIN tokens b USING (word, again)
+        WHERE a.id IN (SELECT id FROM sides WHERE NOT train) AND b.id IN (SELECT id FROM sides WHERE train) GROUP BY ALL),
+    hit AS (SELECT e, c, c / (x.n + y.n - c) AS part FROM shared JOIN sizes x ON x.id = e JOIN sizes y ON y.id = t WHERE c * 10 >= 7 * (x.n + y.n - c)),
+    best AS (SELECT e AS id, max({{'p': part, 'c': c}}) AS top, count(*) AS partners FROM hit GROUP BY 1),
+    mine AS (SELECT s.query_id, s.split, s.source, top, coalesce(partners, 0) AS partners FROM spelled s LEFT JOIN bags USING (bag) LEFT JOIN best USING (id) WHERE s.split <> 'train')"""
+
 SQL = {
     # Every pair of texts that share a word is counted, so these take the plain definition at its word.
     "p1_found": f"""WITH records AS (SELECT query_id, text, split FROM production_queries UNION ALL SELECT query_id, text, split FROM synthetic_queries),
@@ -167,12 +181,21 @@ SQL = {
         hit AS (SELECT DISTINCT e FROM shared JOIN sizes a ON a.id = e JOIN sizes b ON b.id = t WHERE c * 10 >= 7 * (a.n + b.n - c))
         SELECT DISTINCT query_id FROM records JOIN texts ON texts.text = records.text AND texts.side = 'e' JOIN hit ON hit.e = texts.id
         WHERE split IS NOT NULL AND split <> 'train'""",
+    "p1_overlaps": f"WITH {_OVERLAPS} SELECT query_id, split, source, top.p AS best, top.c::INT AS shared, partners FROM mine",
+    "p1_report": f"""WITH {_OVERLAPS} SELECT split, source, count(*) AS records, count(*) FILTER (partners > 0) AS affected, count(*) FILTER (partners > 0 AND top.p = 1) AS same,
+        round(avg((partners > 0)::INT), 6) AS share FROM mine GROUP BY ALL""",
     "p5_found": f"""WITH RECURSIVE texts AS (SELECT 'chunk' AS side, ord AS id, text FROM chunks UNION ALL SELECT 'synthetic', ord, text FROM synthetic_queries), {_BAGS},
         shared AS (SELECT a.side, a.id AS a, b.id AS b, count(*) AS c FROM tokens a JOIN tokens b ON a.side = b.side AND a.word = b.word AND a.again = b.again AND a.id < b.id GROUP BY ALL),
         links AS (SELECT s.side, a, b FROM shared s JOIN sizes x ON x.side = s.side AND x.id = a JOIN sizes y ON y.side = s.side AND y.id = b WHERE c * 10 >= 7 * (x.n + y.n - c)),
         both_ways AS (SELECT * FROM links UNION SELECT side, b, a FROM links),
         reach AS (SELECT DISTINCT side, a AS start, a AS node FROM both_ways UNION SELECT r.side, r.start, w.b FROM reach r JOIN both_ways w ON w.side = r.side AND w.a = r.node)
         SELECT side AS kind, start AS ord_a, node AS ord_b FROM reach WHERE start < node""",
+    "p5_groups": f"""WITH RECURSIVE texts AS (SELECT 'chunk' AS side, ord AS id, text FROM chunks UNION ALL SELECT 'synthetic', ord, text FROM synthetic_queries), {_BAGS},
+        shared AS (SELECT a.side, a.id AS a, b.id AS b, count(*) AS c FROM tokens a JOIN tokens b ON a.side = b.side AND a.word = b.word AND a.again = b.again AND a.id < b.id GROUP BY ALL),
+        links AS (SELECT s.side, a, b FROM shared s JOIN sizes x ON x.side = s.side AND x.id = a JOIN sizes y ON y.side = s.side AND y.id = b WHERE c * 10 >= 7 * (x.n + y.n - c)),
+        both_ways AS (SELECT * FROM links UNION SELECT side, b, a FROM links),
+        reach AS (SELECT DISTINCT side, id AS start, id AS node FROM sizes UNION SELECT r.side, r.start, w.b FROM reach r JOIN both_ways w ON w.side = r.side AND w.a = r.node)
+        SELECT side AS kind, start AS ord, min(node) AS group_of, count(*) AS size, min(node) = start AS kept FROM reach GROUP BY side, start""",
     "p6_found": f"""WITH {_UNIT},
         pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) AS s FROM unit a JOIN unit b ON a.vec_id <> b.vec_id),
         best AS (SELECT a, b, s FROM pairs QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
