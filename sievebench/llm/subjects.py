@@ -76,7 +76,7 @@ def word_hash(word: str) -> int:
 
 
 def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Key, language and text become word hashes by sentence."""
+    """Key, language and text become word hashes by sentence; rows without sizes count the batch's words."""
     known: dict[str, int] = {}
     for batch in batches:
         sizes, ends, words, word_ends = [], [0], [], [0]
@@ -93,33 +93,34 @@ def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(known) > _FLUSH:
             known.clear()
         lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v, t)) for e, v, t in ((ends, sizes, pa.int32()), (word_ends, words, pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["key", "lang", "sizes", "words"])
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sentences and documents of each language that have each word; word 0 counts all sentences."""
-    for batch in batches:
-        langs = batch.column(0).dictionary_encode()
-        codes = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        offsets = batch.column(1).offsets.to_numpy()
-        sizes = batch.column(1).values.to_numpy()[offsets[0] : offsets[-1]]
-        words = batch.column(2).flatten().to_numpy()
-        of_sentence = np.repeat(np.arange(len(codes)), np.diff(offsets))
-        sentence = np.repeat(np.arange(len(sizes)), sizes)
-        names, term = np.unique(words, return_inverse=True)
-        width = max(len(names), 1)
-        own = np.unique(sentence * width + term)  # a word counts once in a sentence, and once in a document
-        place = own // width
-        by = np.bincount(codes[of_sentence[place]] * width + own % width, minlength=len(langs.dictionary) * width) if len(own) else np.zeros(len(langs.dictionary) * width, np.int64)
-        documents = np.unique(of_sentence[place] * width + own % width)
-        per = np.bincount(codes[documents // width] * width + documents % width, minlength=len(by)) if len(own) else by
-        used = np.flatnonzero(by)
-        total = np.bincount(codes[of_sentence], minlength=len(langs.dictionary))
-        lang = np.r_[used // width, np.arange(len(total))].astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [langs.dictionary.take(pa.array(lang)), pa.array(np.r_[names[used % width], np.zeros(len(total), np.int64)], pa.int64()), pa.array(np.r_[by[used], total]), pa.array(np.r_[per[used], np.zeros(len(total), np.int64)])],
-            ["lang", "word", "sentences", "documents"],
-        )
+        n = batch.num_rows
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists, *[pa.nulls(n, pa.int64())] * 3], _SPELLED)
+        counts = _counted(batch.column(1), np.array(ends), np.array(sizes, np.int64), np.array(words, np.int64))
+        m = len(counts[0])
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, batch.schema.field(0).type), counts[0], pa.nulls(m, lists[0].type), pa.nulls(m, lists[1].type), *counts[1:]], _SPELLED)
+
+
+_SPELLED = ["key", "lang", "sizes", "words", "word", "n_sentences", "n_documents"]
+
+
+def _counted(langs: pa.Array, offsets: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> list[pa.Array]:
+    """Language, word, and its sentences and documents; word 0 counts all sentences."""
+    langs = langs.dictionary_encode()
+    codes = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    of_sentence = np.repeat(np.arange(len(codes)), np.diff(offsets))
+    sentence = np.repeat(np.arange(len(sizes)), sizes)
+    names, term = np.unique(words, return_inverse=True)
+    width, kinds = max(len(names), 1), len(langs.dictionary)
+    own = np.unique(sentence * width + term)  # a word counts once in a sentence, and once in a document
+    document = of_sentence[own // width] if len(own) else own
+    by = np.bincount(codes[document] * width + own % width, minlength=kinds * width)
+    pairs = np.unique(document * width + own % width)
+    per = np.bincount(codes[pairs // width] * width + pairs % width, minlength=kinds * width)
+    used = np.flatnonzero(by)
+    total = np.bincount(codes[of_sentence], minlength=kinds)
+    lang = np.r_[used // width, np.arange(kinds)].astype(np.int64)
+    word = np.r_[names[used % width], np.zeros(kinds, np.int64)] if len(names) else np.zeros(kinds, np.int64)
+    return [langs.dictionary.take(pa.array(lang)), pa.array(word, pa.int64()), pa.array(np.r_[by[used], total], pa.int64()), pa.array(np.r_[per[used], np.zeros(kinds, np.int64)], pa.int64())]
 
 
 def vocabulary(spelled: DataFrame, passages: set[int], most: int = VOCABULARY, least: int = LEAST_DOCUMENTS) -> tuple[np.ndarray, np.ndarray]:
@@ -127,14 +128,15 @@ def vocabulary(spelled: DataFrame, passages: set[int], most: int = VOCABULARY, l
 
     ``passages`` are hashes of the labelled passages' words, which come first; then languages take turns.
     """
-    counted = materialise(spelled.select("lang", "sizes", "words").mapInArrow(_count_words, "lang string, word long, sentences long, documents long").groupBy("lang", "word").agg(F.sum("sentences").alias("sentences"), F.sum("documents").alias("documents")), "words")
-    total = counted.filter("word = 0").agg(F.sum("sentences")).first()[0] or 0
-    words = counted.filter("word <> 0")
-    every = words.groupBy("word").agg(F.sum("sentences").alias("sentences"), F.sum("documents").alias("documents")).filter(F.col("documents") >= least)
-    by = Window.partitionBy("lang").orderBy(F.desc("sentences"), "word")
-    place = words.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= most).groupBy("word").agg(F.min("place").alias("place"))
+    by_lang = spelled.filter("word IS NOT NULL").select("lang", "word", "n_sentences", "n_documents").repartition("word").groupBy("word", "lang").agg(F.sum("n_sentences").alias("s"), F.sum("n_documents").alias("d"))
+    every = by_lang.groupBy("word").agg(F.sum("s").alias("sentences"), F.sum("d").alias("documents"), F.collect_list(F.struct("lang", "s")).alias("by"))
+    every = materialise(every.filter((F.col("documents") >= least) | (F.col("word") == 0)), "words")
+    total = every.filter("word = 0").agg(F.sum("sentences")).first()[0] or 0
+    words = every.filter("word <> 0")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("s"), "word"))
+    places = words.select("word", F.explode("by").alias("x")).select("word", "x.lang", "x.s").withColumn("place", place).filter(F.col("place") <= most).groupBy("word").agg(F.min("place").alias("place"))
     told = every.sparkSession.createDataFrame([(w,) for w in sorted(passages)], "word long").withColumn("told", F.lit(True))
-    ranked = every.join(place, "word", "left").join(told, "word", "left").filter("place IS NOT NULL OR told")
+    ranked = words.join(places, "word", "left").join(told, "word", "left").filter("place IS NOT NULL OR told")
     rows = ranked.orderBy(F.col("told").isNull(), F.col("place").asc_nulls_last(), F.desc("sentences"), "word").limit(most).select("word", "sentences").collect()
     rows.sort()
     return np.array([r["word"] for r in rows], np.int64), np.array([np.log(max(total, 1) / r["sentences"]) for r in rows], np.float64)
@@ -350,11 +352,11 @@ def document_subjects(
     kind = documents.schema[key].dataType.simpleString()
     own = F.coalesce(F.col(lang).cast("string"), F.lit("")) if lang in documents.columns else F.lit("")
     texts = documents.select(F.col(key).alias("key"), own.alias("lang"), F.col(text).cast("binary").alias("t"))
-    spelled = materialise(texts.mapInArrow(_spell, f"key {kind}, lang string, sizes array<int>, words array<long>"), "spelled")
+    spelled = materialise(texts.mapInArrow(_spell, f"key {kind}, lang string, sizes array<int>, words array<long>, word long, n_sentences long, n_documents long"), "spelled")
     told = Counter(word_hash(w) for r in labelled if r[0] is not None for s in sentences(r[2]) for w in s)
     terms, idf = vocabulary(spelled, {h for h, _ in sorted(told.items(), key=lambda x: (-x[1], x[0]))[:PASSAGE_WORDS]})
     known = {int(h): i for i, h in enumerate(terms)}
-    numbered = spelled.select("key", "sizes", "words").mapInArrow(_number(spark.sparkContext.broadcast(terms)), f"key {kind}, sizes array<int>, terms array<int>")
+    numbered = spelled.filter("word IS NULL").select("key", "sizes", "words").mapInArrow(_number(spark.sparkContext.broadcast(terms)), f"key {kind}, sizes array<int>, terms array<int>")
     numbered = materialise(numbered, "numbered", old=spelled)
     groups = sorted({(r[0], r[1] or "") for r in labelled if r[0] is not None})
     subjects = sorted({g[0] for g in groups})

@@ -132,6 +132,27 @@ def test_vector_clusters(spark):
     assert empty.count() == 0
 
 
+def test_more_clusters_than_the_fewest_landmarks(spark):
+    """Clusters are as many as there are, with landmarks that grow with the rows, and typical members have the strongest flow."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((700, 64))
+    x = np.repeat(centres, 12, axis=0) + 0.3 * rng.standard_normal((8400, 64))
+    far = rng.standard_normal((60, 64))
+    df = frame(spark, [*x, *far])
+    members, _ = clusters.vector_clusters(df, cells=2800)
+    got = {r["id"]: (r["cluster"], r["flow"]) for r in members.collect()}
+    own = [[got.get(12 * c + i, (None, 0))[0] for i in range(12)] for c in range(700)]
+    whole = [set(o) for o in own]
+    right = sum(len(w) == 1 and None not in w for w in whole)
+    assert right >= 690 and len({next(iter(w)) for w in whole if len(w) == 1}) > 640  # the nearest few centres are at a cosine of 0.5
+    named = members.withColumnRenamed("cluster", "name")
+    best = clusters.typical_members(named, 1).collect()
+    by = {}
+    for c, flow in got.values():
+        by[c] = max(by.get(c, 0), flow)
+    assert all(abs(r["flow"] - by[r["name"]]) < 1e-12 for r in best)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 1), (10, 11), (5, 5), (None, 4)] + [(i, i + 1) for i in range(100, 140)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
