@@ -182,8 +182,26 @@ def tau_b(x: np.ndarray, y: np.ndarray) -> float:
     return float((dx * dy).sum() / math.sqrt(nx * ny)) if nx and ny else float("nan")
 
 
-def agreement(anchor: np.ndarray, arm: np.ndarray, n_boot: int = 1000, seed: int = 0, p: float = 0.9) -> dict[str, float]:
-    """Agreement of mean scores (systems x queries) with a 95 % interval of tau over resampled arm queries (driver)."""
+def resampled_means(scores: DataFrame, systems: list[str], n_boot: int = 1000, seed: int = 0) -> np.ndarray:
+    """Mean scores (resamples x systems) of bootstrap samples of the queries; ``scores`` has ``i`` (0..n-1) and a column for each system.
+
+    Draw ``j`` of resample ``b`` is a hash of both, as in ``bootstrap_pvalue``. Only the means reach the driver.
+    """
+    n = scores.agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
+    grid = scores.sparkSession.range(n_boot).select(F.col("id").alias("b")).join(F.broadcast(n))  # one row
+    grid = grid.select("b", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 65536))).alias("o"))
+    grid = grid.select("b", "n", F.explode(F.sequence(F.col("o") * 65536, F.least(F.col("o") * 65536 + 65535, F.col("n") - 1))).alias("j"))
+    draws = grid.select("b", F.floor(hash_uniform(seed, "agreement", "b", "j") * F.col("n")).cast("bigint").alias("i"))
+    counted = draws.groupBy("b", "i").agg(F.count(F.lit(1)).alias("k"))
+    weighted = [(F.sum(F.col(f"`{s}`") * F.col("k")) / F.sum("k")).alias(f"m{i}") for i, s in enumerate(systems)]
+    return np.array([list(r)[1:] for r in counted.join(scores, "i").groupBy("b").agg(*weighted).orderBy("b").collect()], float)
+
+
+def agreement(anchor: np.ndarray, arm: np.ndarray, n_boot: int = 1000, seed: int = 0, p: float = 0.9, resampled: np.ndarray | None = None) -> dict[str, float]:
+    """Agreement of mean scores (systems x queries) with a 95 % interval of tau over resampled arm queries (driver).
+
+    With ``resampled`` (resamples x systems) the interval comes from these means, and ``arm`` may be means itself.
+    """
     a, b = anchor.mean(1), arm.mean(1)
     n = len(a)
     ref, cand = (np.argsort(-np.round(m, 12), kind="stable") for m in (a, b))
@@ -193,7 +211,9 @@ def agreement(anchor: np.ndarray, arm: np.ndarray, n_boot: int = 1000, seed: int
     shared = [len(set(ref[:d]) & set(cand[:d])) for d in range(1, n + 1)]
     rbo = (1 - p) / p * sum(p**d * x / d for d, x in enumerate(shared, 1)) + shared[-1] / n * p**n
     rng = np.random.default_rng(seed)
-    taus = [tau_b(a, arm[:, rng.integers(0, arm.shape[1], arm.shape[1])].mean(1)) for _ in range(n_boot)]
+    if resampled is None:
+        resampled = np.array([arm[:, rng.integers(0, arm.shape[1], arm.shape[1])].mean(1) for _ in range(n_boot)])
+    taus = [tau_b(a, m) for m in resampled]
     low, high = np.nanpercentile(taus, [2.5, 97.5]) if taus else (float("nan"),) * 2
     return {"tau": tau_b(a, b), "tau_low": float(low), "tau_high": float(high), "tau_ap": float(ap), "rbo": float(rbo)}
 

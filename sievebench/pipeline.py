@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievebench import models  # noqa: F401 - registers datasets and models
+from sievebench import models, remote  # noqa: F401 - register datasets and models
 from sievebench.contracts import ARMS, CHATS, CHECKS, DATASETS, EMBEDDERS, JUDGES, OPTIMIZERS, RETRIEVERS, STEPS, STRATEGIES, PipelineStep, Registry
 from sievebench.functions.text import canonical_json, config_hash
 from sievebench.operators import demand as D
