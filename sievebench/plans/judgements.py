@@ -211,6 +211,25 @@ def op_d4_oracle_sample(spark: SparkSession, folder: str) -> DataFrame:
     return hash_sample(rows, "query_id", 300, "oracle")
 
 
+def op_v4_anchors(spark: SparkSession, folder: str) -> DataFrame:
+    """The unit vector that stands for each seed: its target, or else the mean of its chunks."""
+    found = N.anchors(table(spark, folder, "seeds"), V.corpus(spark, folder))
+    return found.select("seed_id", F.posexplode("vector").alias("pos", "x")).select("seed_id", "pos", F.round("x", 6).alias("x"))
+
+
+def op_g8_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Annotation records of the synthetic queries, with their seeds' known chunks as gold."""
+    from sievebench.operators import gate as G
+
+    queries = first_by(table(spark, folder, "synthetic_queries").filter("text IS NOT NULL").select("query_id", "ord", "text", "seed_id"), "query_id")
+    texts = table(spark, folder, "chunks").groupBy("chunk_id").agg(F.min(F.struct("ord", "text")).alias("r")).select("chunk_id", content_hash("r.text").alias("content_hash"))
+    rows = queries.join(table(spark, folder, "seeds").select("seed_id", "chunk_ids", F.lit(None).cast("array<string>").alias("promoted")), "seed_id")
+    qrels = G.binary_qrels(rows).join(texts.select("chunk_id"), "chunk_id", "left_semi")
+    made = G.annotation_records(queries.select("query_id", "text"), qrels, texts, "v1")
+    hashes = F.array_join(F.transform(F.array_sort(F.map_entries("content_hashes")), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ",")
+    return made.select("record_id", "query_id", F.array_join("crucial", ",").alias("crucial"), hashes.alias("content_hashes"), F.size("qrels").alias("golds"), "benchmark_version")
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("op_")}
 
 _GRADES = """m AS (SELECT a, b, count(*) AS n FROM (SELECT min(grade) AS a, max(grade) AS b, count(*) AS k FROM qrels GROUP BY query_id, chunk_id) WHERE k > 1 GROUP BY ALL)"""
@@ -274,6 +293,20 @@ SQL = {
         """SELECT round(greatest(((SELECT t FROM k WHERE x = 'anchor' AND y = 'anchor') - n) / (n * (n - 1)) + ((SELECT t FROM k WHERE x = 'oracle' AND y = 'oracle') - m) / (m * (m - 1))
             - 2 * (SELECT t FROM k WHERE x = 'anchor' AND y = 'oracle') / (n * m), 0), 8) AS mmd FROM n""",
     ),
+    "op_v4_anchors": V.sql(
+        "corpus",
+        """, given AS (SELECT seed_id, z AS m FROM seeds WHERE z IS NOT NULL),
+        parts AS (SELECT seed_id, p, avg(v[p]) AS x FROM (SELECT DISTINCT seed_id, unnest(chunk_ids) AS item FROM seeds WHERE z IS NULL) JOIN corpus USING (item), (SELECT unnest(range(1, 65)) AS p) GROUP BY ALL),
+        every AS (SELECT * FROM given UNION ALL SELECT seed_id, list(x ORDER BY p) AS m FROM parts GROUP BY 1)
+        SELECT seed_id, (p - 1)::INT AS pos, round(m[p] / greatest(sqrt(list_sum(list_transform(m, lambda a: a * a))), 1e-12), 6) AS x FROM every, (SELECT unnest(range(1, 65)) AS p)""",
+    ).replace("\n, given", ", given"),
+    "op_g8_records": f"""WITH firsts AS (SELECT query_id, arg_min({{'text': text, 'seed_id': seed_id}}, ord) AS r FROM synthetic_queries WHERE text IS NOT NULL GROUP BY 1),
+        texts AS (SELECT chunk_id, arg_min({{'t': text}}, ord).t AS text FROM chunks GROUP BY 1),
+        hashed AS (SELECT chunk_id, substr(sha256({V.norm_sql('text')}), 1, 16) AS h FROM texts),
+        gold AS (SELECT DISTINCT query_id, unnest(chunk_ids) AS chunk_id FROM firsts JOIN seeds ON seeds.seed_id = r.seed_id)
+        SELECT 'rec-' || substr(sha256(query_id || '|' || any_value(r.text)), 1, 16) AS record_id, query_id, string_agg(chunk_id, ',' ORDER BY chunk_id) AS crucial,
+            coalesce(string_agg(chunk_id || ':' || h, ',' ORDER BY chunk_id), '') AS content_hashes, count(*)::INT AS golds, 'v1' AS benchmark_version
+        FROM gold JOIN hashed USING (chunk_id) JOIN firsts USING (query_id) GROUP BY query_id""",
     "op_s11_reference": V.sql("qv", "SELECT query_id, place FROM (SELECT query_id, row_number() OVER (ORDER BY sha256('0|reference|' || query_id), query_id) AS place FROM qv WHERE split = 'anchor') WHERE place <= 500"),
     "op_s2_floored_quota": V.sql(
         "tilted",
