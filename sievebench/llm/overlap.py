@@ -499,7 +499,9 @@ def met(signed: DataFrame, hot: dict[str, int], *, threshold: float = THRESHOLD,
     spark, t = signed.sparkSession, Fraction(str(threshold))
     firsts = signed.filter("first").select((F.col(cross) if cross else F.lit(0)).cast("int").alias("side"), "bag", "cold", "hot", (F.xxhash64(apart) if apart else F.lit(0).cast("long")).alias("salt"))
     n_words = firsts.agg(F.sum(F.size("cold") + F.size("hot"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_words * 20 // PART_BYTES))
+    # a record travels once to each part that holds a chunk of it, so there are no more parts than the work needs
+    few = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    parts = max(few, -(-n_words * 20 // PART_BYTES))
     dealt = firsts.mapInArrow(_deal(spark.sparkContext.broadcast(hot), t, parts), "part int, blob binary")
     block = block or BLOCK
     found = materialise(dealt.repartitionById(parts, F.col("part")).mapInArrow(_meet(t, block, bool(cross)), FOUND), "met")
