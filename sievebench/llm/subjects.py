@@ -64,8 +64,9 @@ def fold(text: str) -> str:
 def sentences(text: str | None) -> list[list[str]]:
     """The terms of each sentence that has a word of letters; the list of one without terms is empty."""
     out = []
-    for part in _BREAK.split(text or ""):
-        found = [w for w in _WORD.findall(fold(part)) if w.isalpha()] if part else []
+    plain = bool(text) and text.isascii()
+    for part in _BREAK.split((text.lower() if plain else text) or ""):
+        found = [w for w in _WORD.findall(part if plain else fold(part)) if w.isalpha()] if part else []
         if found:
             out.append([w for w in found if len(w) > 2])
     return out
@@ -103,6 +104,12 @@ def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SPELLED = ["key", "lang", "sizes", "words", "word", "n_sentences", "n_documents"]
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Different numbers, rising; sorting whole numbers is far faster than hashing them."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def _counted(langs: pa.Array, offsets: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> list[pa.Array]:
     """Language, word, and its sentences and documents; word 0 counts all sentences."""
     langs = langs.dictionary_encode()
@@ -111,10 +118,10 @@ def _counted(langs: pa.Array, offsets: np.ndarray, sizes: np.ndarray, words: np.
     sentence = np.repeat(np.arange(len(sizes)), sizes)
     names, term = np.unique(words, return_inverse=True)
     width, kinds = max(len(names), 1), len(langs.dictionary)
-    own = np.unique(sentence * width + term)  # a word counts once in a sentence, and once in a document
+    own = _distinct(sentence * width + term)  # a word counts once in a sentence, and once in a document
     document = of_sentence[own // width] if len(own) else own
     by = np.bincount(codes[document] * width + own % width, minlength=kinds * width)
-    pairs = np.unique(document * width + own % width)
+    pairs = _distinct(document * width + own % width)
     per = np.bincount(codes[pairs // width] * width + pairs % width, minlength=kinds * width)
     used = np.flatnonzero(by)
     total = np.bincount(codes[of_sentence], minlength=kinds)
