@@ -5,91 +5,133 @@ alternates squaring (each column is the sum of the columns it names), inflation
 column is as good as settled; the rows that keep flow are the attractors, and a node belongs to the attractor that gets
 most of its flow.
 
-Vectors take part by way of landmarks: ``cells`` centroids from a bounded sample, the more the more vectors there are.
-Every vector sends its flow to its ``REACH`` nearest landmarks, two landmarks are as similar as the vectors of the whole
-collection that reach both say. Markov clustering of the landmarks gives clusters with mean directions, which all vectors refine; those
-whose directions all but agree are parts of one. A vector's flow into a cluster is what its landmarks in it get, and it belongs to the cluster of the
-strongest flow among those to whose mean direction its cosine suffices. The strongest-flow members are the typical ones.
+Vectors are the nodes themselves: each is tied to its nearest others (``neighbours``), and that graph is clustered in tables.
+The clusters it falls into are nodes in turn, tied by the edges between them, until none join any more. Mean directions over
+all members follow; those that all but agree are parts of one. A vector belongs to the cluster its flow ends in, if its
+cosine to that mean direction suffices, else to the nearest that does. The members that a step of the walk brings most flow
+to are the typical ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievebench.llm.neighbours import SAMPLE_MOST, SAMPLE_PER_CELL, fitted_means, sample_units, unit_rows
+from sievebench.llm import neighbours
+from sievebench.llm.neighbours import unit_rows
 from sievebench.llm.overlap import least_labels
 from sievebench.llm.sums import ROWS, rows_of, total_rows
 from sievebench.session import discard, materialise
 
-#: Landmarks: so many at least, and one for each so many vectors.
-CELLS, PER_CELL = 512, 400
-#: Landmarks a vector reaches, and the least cosine for it to tie one to others.
-REACH, NEAR = 16, 0.45
-#: The least tie of two landmarks or clusters, as a share of their ties to themselves.
+#: The least cosine that ties two vectors; entries that a column of their graph keeps, and one of the clusters' graph.
+NEAR, LINKS, MOST = 0.45, 6, 16
+#: Rounds at most until a graph of vectors or of their clusters is settled.
+ROUNDS = 100
+#: A matrix of so few entries is finished in one task, so many products at a time.
+FEW, PRODUCTS = 500_000, 2_000_000
+#: The least tie of two clusters, as a share of their ties to themselves.
 LEAST_TIE = 0.05
 LEAST_COSINE = 0.53
 #: The least cosine of the mean directions of parts of one cluster.
 SAME = 0.8
-#: Vectors left without a cluster are clustered by themselves, so many times at most; a cluster found there needs so many
-#: members, as any two or three vectors that are far apart lie near enough to their own mean.
-AGAIN, LEAST_MEMBERS = 4, 5
+#: The fewest members, as any two or three vectors that are far apart lie near enough to their own mean.
+LEAST_MEMBERS = 5
 COLUMN = "col long, rows array<long>, p array<double>, chaos double"
 
 
-def _settle(rows: np.ndarray, p: np.ndarray, inflation: float, least: float, most: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """A column summed by row, inflated, pruned and made stochastic; how far it is from settled."""
-    names, place = np.unique(rows, return_inverse=True)
-    p = np.bincount(place, p) ** inflation
-    p /= p.sum()
-    if len(p) > most or p.min() < least:
-        order = np.lexsort((names, -p))[:most]
-        order = order[(p[order] >= least) | (np.arange(len(order)) == 0)]
-        order.sort()
-        names, p = names[order], p[order] / p[order].sum()
-    return names, p, float(p.max() - (p * p).sum())
+def _starts(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+
+
+def _settle(col: np.ndarray, row: np.ndarray, p: np.ndarray, inflation: float, least: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of whole columns summed by row, inflated, pruned and made stochastic."""
+    order = np.lexsort((row, col))
+    col, row, p = col[order], row[order], p[order]
+    first = np.flatnonzero(np.r_[True, (col[1:] != col[:-1]) | (row[1:] != row[:-1])]) if len(col) else np.zeros(0, np.int64)
+    if not len(first):
+        return col, row, p
+    col, row, p = col[first], row[first], np.add.reduceat(p, first)
+    starts = _starts(col)
+    sizes = np.diff(np.r_[starts, len(col)])
+    p = (p / np.repeat(np.maximum.reduceat(p, starts), sizes)) ** inflation
+    p /= np.repeat(np.add.reduceat(p, starts), sizes)
+    order = np.lexsort((row, -p, col))
+    place = np.arange(len(col)) - np.repeat(starts, sizes)
+    keep = np.zeros(len(col), bool)
+    keep[order] = (place < most) & ((p[order] >= least) | (place == 0))
+    col, row, p = col[keep], row[keep], p[keep]
+    starts = _starts(col)
+    return col, row, p / np.repeat(np.add.reduceat(p, starts), np.diff(np.r_[starts, len(col)]))
+
+
+def _chaos(col: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """How far each column is from settled."""
+    starts = _starts(col)
+    return np.maximum.reduceat(p, starts) - np.add.reduceat(p * p, starts) if len(starts) else np.zeros(0)
+
+
+def _column_rows(col: np.ndarray, row: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+    starts = _starts(col)
+    ends = pa.array(np.r_[starts, len(col)], pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (row, p)]
+    return pa.RecordBatch.from_arrays([pa.array(col[starts]), *lists, pa.array(_chaos(col, p))], ["col", "rows", "p", "chaos"])
+
+
+def _flat(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
 
 
 def _columns(inflation: float, least: float, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``col, q, rows, p`` sorted by col: each column is the sum of ``q`` times the columns ``rows, p``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, rows, shares = None, [], []
-        out: list[tuple[int, np.ndarray, np.ndarray, float]] = []
+        left = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for batch in batches:
+            sizes = batch.column(2).value_lengths().to_numpy()
+            new = (np.repeat(batch.column(0).to_numpy(), sizes), _flat(batch.column(2)), np.repeat(batch.column(1).to_numpy(), sizes) * _flat(batch.column(3)))
+            col, row, p = (np.concatenate(x) for x in zip(left, new, strict=True))
+            if not len(col):
+                continue
+            whole = int(np.searchsorted(col, col[-1]))  # the last column may go on
+            if whole:
+                yield _column_rows(*_settle(col[:whole], row[:whole], p[:whole], inflation, least, most))
+            left = (col[whole:], row[whole:], p[whole:])
+        if len(left[0]):
+            yield _column_rows(*_settle(*left, inflation, least, most))
 
-        def close() -> None:
-            if rows:
-                out.append((current, *_settle(np.concatenate(rows), np.concatenate(shares), inflation, least, most)))
+    return run
 
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.list_(pa.float64())), pa.array([o[3] for o in out], pa.float64())],
-                ["col", "rows", "p", "chaos"],
-            )
-            out.clear()
-            return batch
 
-        for batch in batches:
-            q = batch.column(1).to_numpy()
-            lists, values = batch.column(2), batch.column(3)
-            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            starts, numbers = values.offsets.to_numpy(), values.values.to_numpy()
-            for i, col in enumerate(batch.column(0).to_pylist()):
-                if col != current:
-                    close()
-                    current, rows, shares = col, [], []
-                rows.append(flat[ends[i] : ends[i + 1]])
-                shares.append(q[i] * numbers[starts[i] : starts[i + 1]])
-            if out:
-                yield flush()
-        close()
-        if out:
-            yield flush()
+def _rounds(inflation: float, least: float, most: int, rounds: int, settled: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A whole matrix of few entries, squared, inflated and pruned until it is settled or ``rounds`` rounds have passed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.repeat(b.column(0).to_numpy(), b.column(1).value_lengths().to_numpy()), _flat(b.column(1)), _flat(b.column(2))) for b in batches]
+        if not held:
+            return
+        col, row, p = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((row, col))
+        col, row, p = col[order], row[order], p[order]
+        for _ in range(rounds):
+            low, size = np.searchsorted(col, row), np.searchsorted(col, row, side="right")
+            size -= low
+            products = np.cumsum(size)
+            starts = _starts(col)
+            upto = products[np.r_[starts[1:], len(col)] - 1] // PRODUCTS  # so many products at once, columns whole
+            cuts = np.r_[0, starts[1:][np.diff(upto) > 0], len(col)]
+            parts = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                n = size[a:b]
+                at = np.repeat(low[a:b] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                parts.append(_settle(np.repeat(col[a:b], n), row[at], np.repeat(p[a:b], n) * p[at], inflation, least, most))
+            col, row, p = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if _chaos(col, p).max() < settled:
+                break
+        yield _column_rows(col, row, p)
 
     return run
 
@@ -117,192 +159,128 @@ def markov_clusters(
         "col", F.lit(1.0).alias("q"), F.concat("e.row", F.array("col")).alias("rows"), F.concat("e.weight", F.array("heaviest")).alias("p")
     )
     matrix = materialise(begun.mapInArrow(_columns(1.0, least, most), COLUMN), "flow")
-    for _ in range(rounds):
+    for done in range(rounds):
+        if (matrix.agg(F.sum(F.size("rows"))).first()[0] or 0) <= FEW:  # one task does the rounds that are left
+            finish = _rounds(inflation, least, most, rounds - done, settled)
+            matrix = materialise(matrix.repartition(1).mapInArrow(finish, COLUMN), "flow", old=matrix)
+            break
         entries = matrix.select(F.col("col").alias("j"), F.explode(F.arrays_zip("rows", "p")).alias("x")).select("j", F.col("x.rows").alias("k"), F.col("x.p").alias("q"))
         products = entries.join(matrix, F.col("k") == F.col("col")).select(F.col("j").alias("col"), "q", "rows", "p")
         squared = products.repartition("col").sortWithinPartitions("col").mapInArrow(_columns(inflation, least, most), COLUMN)
         matrix = materialise(squared, "flow", old=matrix)
-        chaos = matrix.agg(F.max("chaos")).first()[0]
-        if chaos is None or chaos < settled:
-            top = F.array_max("p")
-            strong = F.filter(F.arrays_zip("rows", "p"), lambda x: x.p >= F.array_max("p") / 2)
-            best = materialise(matrix.select("col", F.array_min(F.transform(strong, lambda x: x.rows)).alias("cluster"), top.alias("flow")), "attractors", old=matrix)
-            names = best.select(F.col("col").alias("cluster"), F.col("cluster").alias("name"))
-            return best.join(names, "cluster").select(F.col("col").alias("node"), F.col("name").alias("cluster"), "flow")
-    raise RuntimeError(f"flow did not settle in {rounds} rounds")
-
-
-def _reached(x: np.ndarray, centroids: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest landmarks of each row and their cosines, those below 0 as 0."""
-    score = x @ centroids.T
-    if reach < score.shape[1]:
-        near = np.argpartition(-score, reach - 1, axis=1)[:, :reach]
-    else:
-        near = np.tile(np.arange(score.shape[1]), (len(x), 1))
-    return near, np.maximum(np.take_along_axis(score, near, 1), 0)
-
-
-def _ties(shared, dim: int, reach: int, near: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sums over the task's vectors of the products of their cosines with each two landmarks they reach."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centroids = shared.value
-        cells, held = len(centroids), []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(place, np.concatenate([w for _, w in held]))
-
-        def rows(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys // cells, pa.int64()), pa.array(keys % cells, pa.int64()), pa.array(sums)], ["src", "dst", "weight"])
-
-        for batch in batches:
-            _, x = unit_rows(batch.column(0), dim)
-            for at in range(0, len(x), 2048):
-                cell, cosine = _reached(x[at : at + 2048], centroids, reach)
-                cosine[cosine < near] = 0
-                keys = (cell[:, :, None] * cells + cell[:, None, :]).ravel()
-                products = (cosine[:, :, None] * cosine[:, None, :]).ravel()
-                used = products > 0
-                keys, place = np.unique(keys[used], return_inverse=True)
-                held.append((keys, np.bincount(place, products[used], minlength=len(keys))))
-                if sum(len(k) for k, _ in held) > 2_000_000:
-                    held = [merged()]
-                    if len(held[0][0]) > 1_000_000:
-                        yield rows(*held.pop())
-        if held:
-            yield rows(*merged())
-
-    return run
-
-
-@dataclass
-class Flow:
-    """Landmarks, the cluster of each, and each cluster's mean direction."""
+        if matrix.agg(F.max("chaos")).first()[0] < settled:
+            break
+    if (matrix.agg(F.max("chaos")).first()[0] or 0) >= settled:
+        raise RuntimeError(f"flow did not settle in {rounds} rounds")
+    strong = F.filter(F.arrays_zip("rows", "p"), lambda x: x.p >= F.array_max("p") / 2)
+    best = materialise(matrix.select("col", F.array_min(F.transform(strong, lambda x: x.rows)).alias("cluster"), F.array_max("p").alias("flow")), "attractors", old=matrix)
+    names = best.select(F.col("col").alias("cluster"), F.col("cluster").alias("name"))
+    return best.join(names, "cluster").select(F.col("col").alias("node"), F.col("name").alias("cluster"), "flow")
 
-    centroids: np.ndarray
-    cluster: np.ndarray
-    means: np.ndarray
-    reach: int
 
+def _members(means: np.ndarray, x: np.ndarray, own: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The cluster of each row (-1 for none) and the cosine with its mean direction: its own, if that is near enough, else the nearest."""
+    if not len(x) or not len(means):
+        return np.full(len(x), -1), np.zeros(len(x))
+    score, rows = x.astype(np.float64) @ means.T, np.arange(len(x))
+    nearest = score.argmax(1)
+    held = (own >= 0) & (score[rows, own] >= least)
+    best = np.where(held, own, nearest)
+    cosine = score[rows, best]
+    return np.where(cosine >= least, best, -1), cosine
 
-def _members(flow: Flow, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The cluster of each row (-1 for none), its flow there and the cosine with the mean direction."""
-    near, cosine = _reached(x, flow.centroids, min(flow.reach, len(flow.centroids)))
-    n, clusters = len(x), len(flow.means)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-    cells = np.arange(n)[:, None] * clusters + flow.cluster[near]
-    sent = np.bincount(cells.ravel(), (cosine.astype(np.float64) ** 4).ravel(), minlength=n * clusters).reshape(n, clusters)
-    score = x.astype(np.float64) @ flow.means.T
-    order = np.where(score >= least, sent + 1e-9 * score, -np.inf)  # the cosine decides where no flow goes
-    best = order.argmax(1)
-    rows = np.arange(n)
-    return np.where(order[rows, best] > -np.inf, best, -1), sent[rows, best], score[rows, best]
 
+def _directions(shared, dim: int, least: float, first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums and counts of the members, ``own, v``; at ``first`` of all that flow into a cluster, whatever their cosine."""
 
-def _directions(shared, dim: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flow = shared.value
-        out, counts = np.zeros(flow.means.shape), np.zeros((len(flow.means), 1))
-        for batch in batches:
-            _, x = unit_rows(batch.column(0), dim)
-            for at in range(0, len(x), 4096):
-                part = x[at : at + 4096]
-                best, _, _ = _members(flow, part, least)
-                counts[:, 0] += np.bincount(best[best >= 0], minlength=len(counts))
+        same, means = shared.value
+        out, counts = np.zeros(means.shape), np.zeros((len(means), 1))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                rows, x = unit_rows(batch.column(1), dim)
+                own = batch.column(0).to_numpy()[rows]
+                own = np.where(own >= 0, same[own], -1)
+                best = own if first else _members(means, x, own, least)[0]
                 order = np.argsort(best, kind="stable")
                 order = order[best[order] >= 0]
                 if len(order):
-                    starts = np.flatnonzero(np.r_[True, best[order][1:] != best[order][:-1]])
-                    out[best[order][starts]] += np.add.reduceat(part[order].astype(np.float64), starts)
+                    counts[:, 0] += np.bincount(best[order], minlength=len(counts))
+                    starts = _starts(best[order])
+                    out[best[order][starts]] += np.add.reduceat(x[order].astype(np.float64), starts)
         yield rows_of(0, out)
         yield rows_of(1, counts)
 
     return run
 
 
-def _left(shared, dim: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Ids and unit vectors of the usable rows that are in no cluster."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flow = shared.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                rows, x = unit_rows(batch.column(1), dim)
-                best, _, _ = _members(flow, x, least)
-                out = best < 0
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[out])), pa.array(list(x[out]), pa.list_(pa.float32()))], ["id", "v"])
-
-    return run
-
-
 def _assign(shared, dim: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Kept columns, then ``own, v``: rows in a cluster with the cluster and the cosine."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flow = shared.value
+        same, means = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
-                n = batch.num_columns - 1
-                rows, x = unit_rows(batch.column(n), dim)
-                best, sent, cosine = _members(flow, x, least)
+                n = batch.num_columns - 2
+                rows, x = unit_rows(batch.column(n + 1), dim)
+                own = batch.column(n).to_numpy()[rows]
+                best, cosine = _members(means, x, np.where(own >= 0, same[own], -1) if len(same) else np.full(len(own), -1), least)
                 good = best >= 0
                 kept = [c.take(pa.array(rows[good])) for c in batch.columns[:n]]
-                made = [pa.array(best[good], pa.int32()), pa.array(cosine[good], pa.float64()), pa.array(sent[good], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*kept, *made], [*batch.schema.names[:n], "cluster", "cosine", "flow"])
+                made = [pa.array(best[good], pa.int32()), pa.array(cosine[good], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*kept, *made], [*batch.schema.names[:n], "cluster", "cosine"])
 
     return run
 
 
-def _landmark_clusters(ties: DataFrame, cells: int, least_tie: float) -> np.ndarray:
-    """The cluster of each landmark, by Markov clustering of their ties, each as a share of the ties to themselves."""
-    own = ties.filter("src = dst").select(F.col("src").alias("node"), F.col("weight").alias("own"))
-    scaled = (
-        ties.join(own.select(F.col("node").alias("src"), F.col("own").alias("own_a")), "src")
-        .join(own.select(F.col("node").alias("dst"), F.col("own").alias("own_b")), "dst")
-        .select("src", "dst", (F.col("weight") / F.sqrt(F.col("own_a") * F.col("own_b"))).alias("weight"))
-        .filter(F.col("weight") >= least_tie)
-    )
-    scaled = materialise(scaled, "ties")
-    label = np.arange(cells)
-    for node, cluster in markov_clusters(scaled).select("node", "cluster").collect():  # one row for each landmark
-        label[node] = cluster
-    discard(scaled)
-    return label
-
-
 def _merged(means: np.ndarray, least: float) -> np.ndarray:
     """A number for each mean direction; those that are as near as that, directly or by way of others, share one."""
-    a, b = np.nonzero(means @ means.T >= least)
-    return np.unique(least_labels(len(means), a, b), return_inverse=True)[1]
+    near = [np.nonzero(means[i : i + 1024] @ means.T >= least) for i in range(0, len(means), 1024)]
+    a = np.concatenate([x + 1024 * i for i, (x, _) in enumerate(near)])
+    return np.unique(least_labels(len(means), a, np.concatenate([y for _, y in near])), return_inverse=True)[1]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def _fitted(only: DataFrame, centroids: np.ndarray, dim: int, reach: int, near: float, least_tie: float, least_cosine: float, refine: int) -> tuple[Flow, np.ndarray]:
-    """The clusters that vectors form by way of landmarks, and how many vectors each has."""
-    spark, reach = only.sparkSession, min(reach, len(centroids))
-    tied = only.mapInArrow(_ties(spark.sparkContext.broadcast(centroids), dim, reach, near), "src long, dst long, weight double")
-    ties = materialise(tied.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "landmarks")
-    label = _landmark_clusters(ties, len(centroids), least_tie)
-    discard(ties)
-    of = np.unique(label, return_inverse=True)[1]
-    means = np.zeros((of.max() + 1, dim))
-    np.add.at(means, of, centroids)
-    flow, sizes = Flow(centroids, of, _unit(means), reach), np.zeros(len(means))
-    for _ in range(refine):
-        k = len(flow.means)
-        found = total_rows(only.mapInArrow(_directions(spark.sparkContext.broadcast(flow), dim, least_cosine), ROWS), {0: (k, dim), 1: (k, 1)})
-        held = np.linalg.norm(found[0], axis=1, keepdims=True) > 0
-        means = np.where(held, _unit(found[0]), flow.means)
-        same = _merged(means, SAME)  # parts of one cluster
-        sums, sizes = np.zeros((same.max() + 1, dim)), np.bincount(same, found[1][:, 0])
-        np.add.at(sums, same, means * np.maximum(found[1], 1e-9))
-        flow = Flow(centroids, same[flow.cluster], _unit(sums), reach)
-    return flow, sizes
+def _contracted(ties: DataFrame, labels: DataFrame) -> DataFrame:
+    """``a, b, weight`` between clusters, a <= b, from ``a, b, weight`` between their nodes and ``node, cluster``."""
+    of_a = labels.select(F.col("node").alias("a"), F.col("cluster").alias("ca"))
+    of_b = labels.select(F.col("node").alias("b"), F.col("cluster").alias("cb"))
+    named = ties.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"), "weight")
+    return named.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("weight"))
+
+
+def graph_clusters(edges: DataFrame, *, most: int = LINKS, least_tie: float = LEAST_TIE) -> DataFrame:
+    """``node, cluster`` by Markov clustering of the graph ``a, b, weight`` (a < b), then of its clusters until none join.
+
+    Markov clustering cuts a large cluster of a sparse graph into many small ones, so these are nodes in turn. The tie of two
+    is the sum of the edges between them as a share of those within each; a cluster without inner edges stays as it is.
+    """
+    labels = materialise(markov_clusters(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight"), most=most, rounds=ROUNDS).select("node", "cluster"), "labels")
+    ties = materialise(_contracted(edges, labels), "ties")
+    while True:
+        inner = ties.filter("a = b").select(F.col("a").alias("node"), F.col("weight").alias("inner"))
+        scaled = (
+            ties.filter("a < b")
+            .join(inner.select(F.col("node").alias("a"), F.col("inner").alias("x")), "a")
+            .join(inner.select(F.col("node").alias("b"), F.col("inner").alias("y")), "b")
+            .select(F.col("a").alias("src"), F.col("b").alias("dst"), (F.col("weight") / (2 * F.sqrt(F.col("x") * F.col("y")))).alias("weight"))
+        )
+        scaled = materialise(scaled.filter(F.col("weight") >= least_tie), "scaled")
+        joined = materialise(markov_clusters(scaled, most=MOST, rounds=ROUNDS).select("node", "cluster"), "joined", old=scaled)
+        n, fewer = joined.agg(F.count("node"), F.countDistinct("cluster")).first()
+        if n == fewer:
+            discard(joined)
+            discard(ties)
+            return labels
+        moved = joined.select(F.col("node").alias("cluster"), F.col("cluster").alias("to"))
+        labels = materialise(labels.join(moved, "cluster", "left").select("node", F.coalesce("to", "cluster").alias("cluster")), "labels", old=labels)
+        ties = materialise(_contracted(ties, joined), "ties", old=ties)
+        discard(joined)
 
 
 def vector_clusters(
@@ -312,52 +290,58 @@ def vector_clusters(
     vector: str = "embedding",
     dim: int = 64,
     cells: int | None = None,
-    reach: int = REACH,
     near: float = NEAR,
     least_tie: float = LEAST_TIE,
     least_cosine: float = LEAST_COSINE,
     refine: int = 3,
 ) -> tuple[DataFrame, Callable[[DataFrame, str, list[str]], DataFrame]]:
-    """``id, cluster, cosine, flow`` of every vector in a cluster, and a function that assigns other vectors likewise.
+    """``id, cluster, cosine, flow`` of every vector in a cluster, and a function that assigns other vectors (without a flow).
 
     Clusters are numbered from 0. Unusable vectors and those far from every direction have no row; a collection without
-    usable vectors has none. What the first landmarks leave without a cluster gets landmarks of its own, so a rare cluster
-    is found as well.
+    usable vectors has none. ``cells`` is the number of cells of the search for neighbours, one for each 5,000 vectors if
+    not given. Ids must be unique.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("v"))
-    flow = Flow(np.zeros((0, dim), np.float32), np.zeros(0, np.int64), np.zeros((0, dim)), reach)
-    rest: DataFrame | None = None
-    for step in range(1 + AGAIN):
-        part = rows if rest is None else rest
-        n = part.filter(F.size("v") == dim).count()
-        if n < (1 if step == 0 else LEAST_MEMBERS):
-            break
-        count = (cells or max(CELLS, -(-n // PER_CELL))) if step == 0 else max(CELLS, -(-n // PER_CELL))
-        sample = sample_units(part, "id", "v", min(SAMPLE_MOST, SAMPLE_PER_CELL * count), dim, n)
-        if not len(sample):
-            break
-        new, sizes = _fitted(part.select("v"), fitted_means(sample, int(max(1, min(count, len(sample) // 4)))), dim, reach, near, least_tie, least_cosine, refine)
-        kept = np.flatnonzero(sizes >= (0 if step == 0 else LEAST_MEMBERS))
-        if not len(kept):
-            break
-        used = np.isin(new.cluster, kept)
-        names = np.searchsorted(kept, new.cluster[used]) + len(flow.means)
-        flow = Flow(np.concatenate([flow.centroids, new.centroids[used]]), np.r_[flow.cluster, names], np.concatenate([flow.means, new.means[kept]]), reach)
-        left = part.mapInArrow(_left(spark.sparkContext.broadcast(flow), dim, least_cosine), "id long, v array<float>")
-        rest = materialise(left, "left", old=rest)
-    if rest is not None:
-        discard(rest)
-    if not len(flow.means):
-        flow = Flow(np.zeros((1, dim), np.float32), np.zeros(1, np.int64), np.zeros((1, dim)), 1)
-    final = spark.sparkContext.broadcast(flow)
+    cell = neighbours.CELL if cells is None else max(1, rows.filter(F.size("v") == dim).count() // cells)
+    found = neighbours.nearest(rows, id_="id", vector="v", dim=dim, cell=cell).filter(F.col("cosine") >= near)
+    edges = materialise(found.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.max("cosine").alias("weight")), "edges")
+    labels = graph_clusters(edges, least_tie=least_tie)
+    kept = labels.groupBy("cluster").count().filter(F.col("count") >= LEAST_MEMBERS).select("cluster").orderBy("cluster").collect()  # one row for each cluster
+    numbers = spark.createDataFrame([(r["cluster"], i) for i, r in enumerate(kept)], "cluster long, own int")
+    owned = labels.join(numbers, "cluster").select(F.col("node").alias("id"), "own")
+    sent = _flow(edges, owned)
+    held = materialise(rows.join(owned, "id", "left").join(sent, "id", "left").select("id", "flow", F.coalesce("own", F.lit(-1)).alias("own"), "v"), "held", old=labels)
+    discard(edges)
+    same, means = np.arange(len(kept)), np.zeros((len(kept), dim))
+    for step in range(1 + refine if len(kept) else 0):
+        shared = spark.sparkContext.broadcast((same, means))
+        sums = total_rows(held.select("own", "v").mapInArrow(_directions(shared, dim, least_cosine, step == 0), ROWS), {0: means.shape, 1: (len(means), 1)})
+        means = np.where(np.linalg.norm(sums[0], axis=1, keepdims=True) > 0, _unit(sums[0]), means)
+        parts = _merged(means, SAME)  # of one cluster
+        merged = np.zeros((parts.max() + 1, dim))
+        np.add.at(merged, parts, means * np.maximum(sums[1], 1e-9))
+        same, means = parts[same], _unit(merged)
+    final = spark.sparkContext.broadcast((same, means))
+
+    def placed(df: DataFrame, keep: list[str]) -> DataFrame:
+        fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+        return df.mapInArrow(_assign(final, dim, least_cosine), f"{fields}, cluster int, cosine double")
 
     def assign(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
-        rows = df.select(*keep, F.col(column).alias("__v"))
-        fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-        return rows.mapInArrow(_assign(final, dim, least_cosine), f"{fields}, cluster int, cosine double, flow double")
+        return placed(df.select(*keep, F.lit(-1).alias("__own"), F.col(column).alias("__v")), keep)
+
+    members = placed(held.select("id", "flow", "own", "v"), ["id", "flow"])
+    return members.select("id", "cluster", "cosine", F.coalesce("flow", F.lit(0.0)).alias("flow")), assign
+
 
-    return assign(vectors, vector, [id_]).withColumnRenamed(id_, "id"), assign
+def _flow(edges: DataFrame, owned: DataFrame) -> DataFrame:
+    """``id, flow``: what a step of the walk brings to each node from the other nodes of its cluster."""
+    both = edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    total = both.groupBy("a").agg(F.sum("weight").alias("total"))
+    steps = both.join(total, "a").select("a", "b", (F.col("weight") / F.col("total")).alias("share"))
+    inside = steps.join(owned.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(owned.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
+    return inside.filter("x = y").groupBy(F.col("b").alias("id")).agg(F.sum("share").alias("flow"))
 
 
 def named_clusters(members: DataFrame, labelled: DataFrame) -> DataFrame:
