@@ -33,6 +33,10 @@ NEAR, LINKS, MOST = 0.45, 6, 16
 ROUNDS = 100
 #: A matrix of so few entries is finished in one task, so many products at a time.
 FEW, PRODUCTS = 500_000, 2_000_000
+#: So few ties of clusters are joined to the end in one task.
+TIES = 1_000_000
+#: Nodes of a part of a larger matrix, about.
+PART = 65_536
 #: The least tie of two clusters, as a share of their ties to themselves.
 LEAST_TIE = 0.05
 LEAST_COSINE = 0.53
@@ -47,9 +51,16 @@ def _starts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
 
 
+def _by_entry(col: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The order by column, then by row."""
+    if len(col) and min(col.min(), row.min()) >= 0 and max(col.max(), row.max()) < 1 << 31:
+        return np.argsort(col << 32 | row)
+    return np.lexsort((row, col))
+
+
 def _settle(col: np.ndarray, row: np.ndarray, p: np.ndarray, inflation: float, least: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entries of whole columns summed by row, inflated, pruned and made stochastic."""
-    order = np.lexsort((row, col))
+    order = _by_entry(col, row)
     col, row, p = col[order], row[order], p[order]
     first = np.flatnonzero(np.r_[True, (col[1:] != col[:-1]) | (row[1:] != row[:-1])]) if len(col) else np.zeros(0, np.int64)
     if not len(first):
@@ -57,12 +68,20 @@ def _settle(col: np.ndarray, row: np.ndarray, p: np.ndarray, inflation: float, l
     col, row, p = col[first], row[first], np.add.reduceat(p, first)
     starts = _starts(col)
     sizes = np.diff(np.r_[starts, len(col)])
-    p = (p / np.repeat(np.maximum.reduceat(p, starts), sizes)) ** inflation
+    top = np.repeat(np.maximum.reduceat(p, starts), sizes)
+    first, p = p == top, (p / top) ** inflation
     p /= np.repeat(np.add.reduceat(p, starts), sizes)
-    order = np.lexsort((row, -p, col))
-    place = np.arange(len(col)) - np.repeat(starts, sizes)
-    keep = np.zeros(len(col), bool)
-    keep[order] = (place < most) & ((p[order] >= least) | (place == 0))
+    keep = (p >= least) | first  # what can stay; of many, the greatest do
+    col, row, p = col[keep], row[keep], p[keep]
+    starts = _starts(col)
+    sizes = np.diff(np.r_[starts, len(col)])
+    keep = p >= least
+    keep[starts] = True  # of a column whose entries are all smaller the first of the greatest
+    many = np.flatnonzero(np.repeat(sizes > most, sizes))
+    if len(many):
+        order = many[np.lexsort((-p[many], col[many]))]  # equal ones stay in the order of rows
+        place = np.arange(len(order)) - np.repeat(_starts(col[order]), sizes[sizes > most])
+        keep[order[place >= most]] = False
     col, row, p = col[keep], row[keep], p[keep]
     starts = _starts(col)
     return col, row, p / np.repeat(np.add.reduceat(p, starts), np.diff(np.r_[starts, len(col)]))
@@ -106,6 +125,32 @@ def _columns(inflation: float, least: float, most: int) -> Callable[[Iterator[pa
     return run
 
 
+def _renumbered(*ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct ids in order, and places among them instead of ids."""
+    names, places = np.unique(np.concatenate(ids), return_inverse=True)
+    return names, np.split(places, np.cumsum([len(x) for x in ids])[:-1])
+
+
+Entries = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _squared(own: Entries, held: Entries, inflation: float, least: float, most: int) -> Entries:
+    """A round for the columns ``own`` of which ``held`` has every column they name; ``col, row, p``, both in order."""
+    (col, row, p), (of, to, q) = own, held
+    low, size = np.searchsorted(of, row), np.searchsorted(of, row, side="right")
+    size -= low
+    products = np.cumsum(size)
+    starts = _starts(col)
+    upto = products[np.r_[starts[1:], len(col)] - 1] // PRODUCTS  # so many products at once, columns whole
+    cuts = np.r_[0, starts[1:][np.diff(upto) > 0], len(col)]
+    parts = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        n = size[a:b]
+        at = np.repeat(low[a:b] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        parts.append(_settle(np.repeat(col[a:b], n), to[at], np.repeat(p[a:b], n) * q[at], inflation, least, most))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def _rounds(inflation: float, least: float, most: int, rounds: int, settled: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A whole matrix of few entries, squared, inflated and pruned until it is settled or ``rounds`` rounds have passed."""
 
@@ -116,40 +161,144 @@ def _rounds(inflation: float, least: float, most: int, rounds: int, settled: flo
         col, row, p = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((row, col))
         col, row, p = col[order], row[order], p[order]
+        names, (col, row) = _renumbered(col, row)
         for _ in range(rounds):
-            low, size = np.searchsorted(col, row), np.searchsorted(col, row, side="right")
-            size -= low
-            products = np.cumsum(size)
-            starts = _starts(col)
-            upto = products[np.r_[starts[1:], len(col)] - 1] // PRODUCTS  # so many products at once, columns whole
-            cuts = np.r_[0, starts[1:][np.diff(upto) > 0], len(col)]
-            parts = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                n = size[a:b]
-                at = np.repeat(low[a:b] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                parts.append(_settle(np.repeat(col[a:b], n), row[at], np.repeat(p[a:b], n) * p[at], inflation, least, most))
-            col, row, p = (np.concatenate(x) for x in zip(*parts, strict=True))
+            col, row, p = _squared((col, row, p), (col, row, p), inflation, least, most)
             if _chaos(col, p).max() < settled:
                 break
-        yield _column_rows(col, row, p)
+        yield _column_rows(names[col], names[row], p)
 
     return run
 
 
+def _packed(state: Entries, at: np.ndarray) -> bytes:
+    """``col, row, p`` in order and the parts ``at`` of the rows, byte by byte, as bytes of one place are much alike."""
+    col, row, p = state
+    starts = _starts(col)
+    out = [np.array([len(starts), len(col)], "<i8").tobytes()]
+    for x, kind in ((col[starts], "<i8"), (np.diff(np.r_[starts, len(col)]), "<i4"), (row, "<i8"), (at, "<i4"), (p, "<f4")):
+        x = np.ascontiguousarray(x, kind)
+        out.append(np.ascontiguousarray(x.view("u1").reshape(len(x), x.itemsize).T).tobytes())
+    return b"".join(out)
+
+
+def _unpacked(blob) -> tuple[Entries, np.ndarray]:
+    columns, entries = (int(x) for x in np.frombuffer(blob, "<i8", 2))
+    at, found = 16, []
+    for n, kind in ((columns, "<i8"), (columns, "<i4"), (entries, "<i8"), (entries, "<i4"), (entries, "<f4")):
+        size = np.dtype(kind).itemsize
+        found.append(np.ascontiguousarray(np.frombuffer(blob, "u1", n * size, at).reshape(size, n).T).view(kind).ravel())
+        at += n * size
+    col, size, row, parts, p = found
+    return (np.repeat(col, size), row, p.astype(np.float64)), parts
+
+
+STATE = "part int, entries long, chaos double, blob binary"
+#: What goes from part to part: a part's own columns (``src`` is the part itself), ids asked for by another, or columns for it.
+SENT = "to int, src int, blob binary"
+
+
+def _sent(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    to, src, blobs = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(src, pa.int32()), pa.array(blobs, pa.binary())], ["to", "src", "blob"])
+
+
+def _state(part: int, state: Entries, at: np.ndarray) -> pa.RecordBatch:
+    made = [pa.array([part], pa.int32()), pa.array([len(at)], pa.int64()), pa.array([_chaos(state[0], state[2]).max(initial=0)]), pa.array([_packed(state, at)], pa.binary())]
+    return pa.RecordBatch.from_arrays(made, ["part", "entries", "chaos", "blob"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, bytes]]]:
+    """What came to each part, by where it came from."""
+    by: dict[int, dict[int, bytes]] = {}
+    for batch in batches:
+        for to, src, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            by.setdefault(to, {})[src] = blob
+    for to in list(by):
+        yield to, by.pop(to)
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``part, col, row, at, p`` sorted by part and column become states."""
+    held = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+    if held:
+        part, col, row, at, p = (np.concatenate(x) for x in zip(*held, strict=True))
+        starts = _starts(part)
+        for low, high in zip(starts, np.r_[starts[1:], len(part)], strict=True):
+            order = low + _by_entry(col[low:high], row[low:high])
+            yield _state(int(part[low]), (col[order], row[order], p[order]), at[order])
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """States become themselves and, for each other part, the columns that are needed of it."""
+    for batch in batches:
+        for part, blob in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            (_, row, _), at = _unpacked(blob)
+            rows, first = np.unique(row[at != part], return_index=True)
+            of = at[at != part][first]
+            order = np.argsort(of, kind="stable")
+            starts = _starts(of[order])
+            asked = [(int(of[x[0]]), part, _packed((rows[x], rows[x], np.zeros(len(x))), of[x])) for x in np.split(order, starts[1:]) if len(x)]
+            yield _sent([(part, part, blob), *asked])
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each part's state for itself, and for each part that asked the columns it needs."""
+    for part, came in _gathered(batches):
+        own = came.pop(part)
+        (col, row, p), at = _unpacked(own)
+        for src, blob in came.items():
+            good = np.isin(col, _unpacked(blob)[0][0])
+            yield _sent([(src, part, _packed((col[good], row[good], p[good]), at[good]))])
+        yield _sent([(part, part, own)])
+
+
+def _multiply(inflation: float, least: float, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A round for a part's columns, with the columns of other parts that they name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, came in _gathered(batches):
+            held = [_unpacked(came.pop(part)), *(_unpacked(blob) for blob in came.values())]
+            n = len(held[0][1])
+            col, row, p, at = (np.concatenate(x) for x in zip(*((*e, a) for e, a in held), strict=True))
+            names, (col, row) = _renumbered(col, row)
+            parts = np.zeros(len(names), np.int32)
+            parts[row] = at
+            own = (col[:n], row[:n], p[:n])
+            order = np.argsort(col, kind="stable")
+            col, row, p = _squared(own, (col[order], row[order], p[order]), inflation, least, most)
+            yield _state(part, (names[col], names[row], p), parts[row])
+
+    return run
+
+
+def _as_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in batch.column(3).to_pylist():
+            (col, row, p), _ = _unpacked(blob)
+            if len(col):
+                yield _column_rows(col, row, p)
+
+
 def markov_clusters(
-    edges: DataFrame, *, inflation: float = 2.0, least: float = 1e-4, most: int = 256, rounds: int = 40, settled: float = 1e-3
+    edges: DataFrame, *, inflation: float = 2.0, least: float = 1e-4, most: int = 256, rounds: int = 40, settled: float = 1e-3,
+    homes: tuple[DataFrame, int] | None = None,
 ) -> DataFrame:
     """``node, cluster, flow`` from ``src, dst, weight`` (undirected, positive; other rows count as no edge).
 
     A column keeps its ``most`` largest entries of at least ``least``. ``flow`` is the largest share of the node's walk that
     an attractor gets; ``cluster`` is the least attractor with at least half of it, and that attractor's own, so that
     attractors which share their flow count as one. Raises if ``rounds`` rounds don't settle it.
+
+    A larger matrix is held in parts. In a round each part asks the others for the columns that its own name and gets each
+    of them once, so the products don't travel. ``homes``, ``node, part`` and the number of parts, should put nodes
+    that are tied into one part; without it parts follow from a hash.
     """
     one = edges.filter("src IS NOT NULL AND dst IS NOT NULL AND weight > 0").select("src", "dst", F.col("weight").cast("double").alias("weight"))
     both = one.filter("src <> dst").select(F.col("src").alias("row"), F.col("dst").alias("col"), "weight")
     both = both.unionByName(both.select(F.col("col").alias("row"), F.col("row").alias("col"), "weight"))
     loops = one.filter("src = dst").select(F.col("src").alias("row"), F.col("dst").alias("col"), F.lit(0.0).alias("weight"))
-    each = both.unionByName(loops).groupBy("col", "row").agg(F.max("weight").alias("weight"))
+    each = both.unionByName(loops).repartition("col").groupBy("col", "row").agg(F.max("weight").alias("weight"))
     heaviest = F.max(F.when(F.col("row") != F.col("col"), F.col("weight"))).over(Window.partitionBy("col"))
     own = F.when(F.col("row") == F.col("col"), F.lit(-1.0)).otherwise(F.col("weight"))  # loops are made anew below
     place = F.row_number().over(Window.partitionBy("col").orderBy(F.desc(own), "row"))
@@ -159,17 +308,27 @@ def markov_clusters(
         "col", F.lit(1.0).alias("q"), F.concat("e.row", F.array("col")).alias("rows"), F.concat("e.weight", F.array("heaviest")).alias("p")
     )
     matrix = materialise(begun.mapInArrow(_columns(1.0, least, most), COLUMN), "flow")
-    for done in range(rounds):
-        if (matrix.agg(F.sum(F.size("rows"))).first()[0] or 0) <= FEW:  # one task does the rounds that are left
-            finish = _rounds(inflation, least, most, rounds - done, settled)
-            matrix = materialise(matrix.repartition(1).mapInArrow(finish, COLUMN), "flow", old=matrix)
-            break
-        entries = matrix.select(F.col("col").alias("j"), F.explode(F.arrays_zip("rows", "p")).alias("x")).select("j", F.col("x.rows").alias("k"), F.col("x.p").alias("q"))
-        products = entries.join(matrix, F.col("k") == F.col("col")).select(F.col("j").alias("col"), "q", "rows", "p")
-        squared = products.repartition("col").sortWithinPartitions("col").mapInArrow(_columns(inflation, least, most), COLUMN)
-        matrix = materialise(squared, "flow", old=matrix)
-        if matrix.agg(F.max("chaos")).first()[0] < settled:
-            break
+    done, (columns, entries, chaos) = 0, matrix.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("rows")), F.lit(0)), F.max("chaos")).first()
+    if entries > FEW:
+        at, parts = homes or (None, -(-columns // PART))
+        flat = matrix.select("col", F.explode(F.arrays_zip("rows", "p")).alias("x")).select("col", F.col("x.rows").alias("row"), F.col("x.p").alias("p"))
+        for end, name in (("row", "at"), ("col", "part")):
+            hashed = F.pmod(F.xxhash64(end), F.lit(parts)).cast("int")
+            if at is None:
+                flat = flat.withColumn(name, hashed)
+            else:
+                named = at.select(F.col("node").alias(end), F.col("part").alias(name))
+                flat = flat.join(named, end, "left").withColumn(name, F.coalesce(name, hashed))
+        flat = flat.select("part", "col", "row", "at", "p").repartitionById(parts, F.col("part")).sortWithinPartitions("part")
+        state = materialise(flat.mapInArrow(_dealt, STATE), "state", old=matrix)
+        while entries > FEW and chaos >= settled and done < rounds:
+            answered = state.mapInArrow(_ask, SENT).repartitionById(parts, F.col("to")).mapInArrow(_answer, SENT)
+            squared = answered.repartitionById(parts, F.col("to")).mapInArrow(_multiply(inflation, least, most), STATE)
+            state = materialise(squared, "state", old=state)
+            done, (entries, chaos) = done + 1, state.agg(F.sum("entries"), F.max("chaos")).first()
+        matrix = materialise(state.mapInArrow(_as_columns, COLUMN), "flow", old=state)
+    if columns and (not done or chaos >= settled) and done < rounds and entries <= FEW:  # one task does the rounds that are left
+        matrix = materialise(matrix.repartition(1).mapInArrow(_rounds(inflation, least, most, rounds - done, settled), COLUMN), "flow", old=matrix)
     if (matrix.agg(F.max("chaos")).first()[0] or 0) >= settled:
         raise RuntimeError(f"flow did not settle in {rounds} rounds")
     strong = F.filter(F.arrays_zip("rows", "p"), lambda x: x.p >= F.array_max("p") / 2)
@@ -254,33 +413,100 @@ def _contracted(ties: DataFrame, labels: DataFrame) -> DataFrame:
     return named.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("weight"))
 
 
-def graph_clusters(edges: DataFrame, *, most: int = LINKS, least_tie: float = LEAST_TIE) -> DataFrame:
+def _local_clusters(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray, most: int, rounds: int, inflation: float = 2.0, least: float = 1e-4, settled: float = 1e-3) -> np.ndarray:
+    """As ``markov_clusters`` for few edges (each once, a < b), a label for each of ``n`` nodes, its own without edges."""
+    labels = np.arange(n)
+    if not len(a):
+        return labels
+    col, row, w = np.r_[a, b], np.r_[b, a], np.r_[weight, weight]
+    order = np.lexsort((row, -w, col))
+    col, row, w = col[order], row[order], w[order]
+    starts = _starts(col)
+    place = np.arange(len(col)) - np.repeat(starts, np.diff(np.r_[starts, len(col)]))
+    kept = place < most
+    state = _settle(np.r_[col[kept], col[starts]], np.r_[row[kept], col[starts]], np.r_[w[kept], w[starts]], 1.0, least, most)
+    for _ in range(rounds):
+        state = _squared(state, state, inflation, least, most)
+        if _chaos(state[0], state[2]).max() < settled:
+            break
+    else:
+        raise RuntimeError(f"flow did not settle in {rounds} rounds")
+    col, row, p = state
+    starts = _starts(col)
+    strong = p >= np.repeat(np.maximum.reduceat(p, starts), np.diff(np.r_[starts, len(col)])) / 2
+    labels[col[starts]] = np.minimum.reduceat(np.where(strong, row, n), starts)
+    return labels[labels]
+
+
+def _joined(most: int, rounds: int, least_tie: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``a, b, weight`` between all clusters become ``node, cluster``: clusters joined until none do any more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+        if not held:
+            return
+        a, b, w = (np.concatenate(x) for x in zip(*held, strict=True))
+        names, (a, b) = _renumbered(a, b)
+        n = len(names)
+        labels = np.arange(n)
+        while True:
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            order = _by_entry(a, b)
+            a, b, w = a[order], b[order], w[order]
+            first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            a, b, w = a[first], b[first], np.add.reduceat(w, first)
+            inner = np.zeros(n)
+            inner[a[a == b]] = w[a == b]
+            ties = np.flatnonzero((a != b) & (inner[a] > 0) & (inner[b] > 0))
+            share = w[ties] / (2 * np.sqrt(inner[a[ties]] * inner[b[ties]]))
+            ties, share = ties[share >= least_tie], share[share >= least_tie]
+            to = _local_clusters(n, a[ties], b[ties], share, most, rounds)
+            nodes = np.unique(np.r_[a[ties], b[ties]])
+            if len(np.unique(to[nodes])) == len(nodes):
+                break
+            labels, a, b = to[labels], to[a], to[b]
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[labels])], ["node", "cluster"])
+
+    return run
+
+
+def graph_clusters(edges: DataFrame, *, most: int = LINKS, least_tie: float = LEAST_TIE, homes: tuple[DataFrame, int] | None = None) -> DataFrame:
     """``node, cluster`` by Markov clustering of the graph ``a, b, weight`` (a < b), then of its clusters until none join.
 
     Markov clustering cuts a large cluster of a sparse graph into many small ones, so these are nodes in turn. The tie of two
     is the sum of the edges between them as a share of those within each; a cluster without inner edges stays as it is.
+    Of few ties one task does all that is left. ``homes`` as for ``markov_clusters``.
     """
-    labels = materialise(markov_clusters(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight"), most=most, rounds=ROUNDS).select("node", "cluster"), "labels")
+    found = markov_clusters(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight"), most=most, rounds=ROUNDS, homes=homes)
+    labels = materialise(found.select("node", "cluster"), "labels")
     ties = materialise(_contracted(edges, labels), "ties")
     while True:
-        inner = ties.filter("a = b").select(F.col("a").alias("node"), F.col("weight").alias("inner"))
-        scaled = (
-            ties.filter("a < b")
-            .join(inner.select(F.col("node").alias("a"), F.col("inner").alias("x")), "a")
-            .join(inner.select(F.col("node").alias("b"), F.col("inner").alias("y")), "b")
-            .select(F.col("a").alias("src"), F.col("b").alias("dst"), (F.col("weight") / (2 * F.sqrt(F.col("x") * F.col("y")))).alias("weight"))
-        )
-        scaled = materialise(scaled.filter(F.col("weight") >= least_tie), "scaled")
-        joined = materialise(markov_clusters(scaled, most=MOST, rounds=ROUNDS).select("node", "cluster"), "joined", old=scaled)
-        n, fewer = joined.agg(F.count("node"), F.countDistinct("cluster")).first()
-        if n == fewer:
-            discard(joined)
-            discard(ties)
-            return labels
+        last = ties.count() <= TIES
+        if last:
+            joined = materialise(ties.select("a", "b", "weight").repartition(1).mapInArrow(_joined(MOST, ROUNDS, least_tie), "node long, cluster long"), "joined")
+        else:
+            inner = ties.filter("a = b").select(F.col("a").alias("node"), F.col("weight").alias("inner"))
+            scaled = (
+                ties.filter("a < b")
+                .join(inner.select(F.col("node").alias("a"), F.col("inner").alias("x")), "a")
+                .join(inner.select(F.col("node").alias("b"), F.col("inner").alias("y")), "b")
+                .select(F.col("a").alias("src"), F.col("b").alias("dst"), (F.col("weight") / (2 * F.sqrt(F.col("x") * F.col("y")))).alias("weight"))
+            )
+            scaled = materialise(scaled.filter(F.col("weight") >= least_tie), "scaled")
+            joined = materialise(markov_clusters(scaled, most=MOST, rounds=ROUNDS).select("node", "cluster"), "joined", old=scaled)
+            n, fewer = joined.agg(F.count("node"), F.countDistinct("cluster")).first()
+            if n == fewer:
+                discard(joined)
+                discard(ties)
+                return labels
         moved = joined.select(F.col("node").alias("cluster"), F.col("cluster").alias("to"))
         labels = materialise(labels.join(moved, "cluster", "left").select("node", F.coalesce("to", "cluster").alias("cluster")), "labels", old=labels)
-        ties = materialise(_contracted(ties, joined), "ties", old=ties)
+        if not last:
+            ties = materialise(_contracted(ties, joined), "ties", old=ties)
         discard(joined)
+        if last:
+            discard(ties)
+            return labels
 
 
 def vector_clusters(
@@ -304,15 +530,15 @@ def vector_clusters(
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("v"))
     cell = neighbours.CELL if cells is None else max(1, rows.filter(F.size("v") == dim).count() // cells)
-    found = neighbours.nearest(rows, id_="id", vector="v", dim=dim, cell=cell).filter(F.col("cosine") >= near)
+    layout = neighbours.layout_of(rows, id_="id", vector="v", dim=dim, cell=cell)
+    found = neighbours.nearest(rows, id_="id", vector="v", dim=dim, layout=layout, least=near)
     edges = materialise(found.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.max("cosine").alias("weight")), "edges")
-    labels = graph_clusters(edges, least_tie=least_tie)
+    homes = neighbours.homes(rows, layout, PART, id_="id", vector="v", dim=dim) if layout else None  # near vectors are in one part
+    labels = graph_clusters(edges, least_tie=least_tie, homes=homes)
     kept = labels.groupBy("cluster").count().filter(F.col("count") >= LEAST_MEMBERS).select("cluster").orderBy("cluster").collect()  # one row for each cluster
     numbers = spark.createDataFrame([(r["cluster"], i) for i, r in enumerate(kept)], "cluster long, own int")
     owned = labels.join(numbers, "cluster").select(F.col("node").alias("id"), "own")
-    sent = _flow(edges, owned)
-    held = materialise(rows.join(owned, "id", "left").join(sent, "id", "left").select("id", "flow", F.coalesce("own", F.lit(-1)).alias("own"), "v"), "held", old=labels)
-    discard(edges)
+    held = materialise(rows.join(owned, "id", "left").select("id", F.coalesce("own", F.lit(-1)).alias("own"), "v"), "held", old=labels)
     same, means = np.arange(len(kept)), np.zeros((len(kept), dim))
     for step in range(1 + refine if len(kept) else 0):
         shared = spark.sparkContext.broadcast((same, means))
@@ -331,8 +557,9 @@ def vector_clusters(
     def assign(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
         return placed(df.select(*keep, F.lit(-1).alias("__own"), F.col(column).alias("__v")), keep)
 
-    members = placed(held.select("id", "flow", "own", "v"), ["id", "flow"])
-    return members.select("id", "cluster", "cosine", F.coalesce("flow", F.lit(0.0)).alias("flow")), assign
+    members = placed(held.select("id", "own", "v"), ["id"])
+    sent = _flow(edges, held.filter("own >= 0").select("id", "own"))  # one row for each id, so the join goes where nobody reads the flow
+    return members.join(sent, "id", "left").select("id", "cluster", "cosine", F.coalesce("flow", F.lit(0.0)).alias("flow")), assign
 
 
 def _flow(edges: DataFrame, owned: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def fitted_means(sample: np.ndarray, cells: int) -> np.ndarray:
 
 @dataclass
 class Layout:
-    """Centroids, the region of each cell, and each region's first task, blocks of stored rows and parts of questions."""
+    """Centroids, the region of each cell, and each region's first task, blocks of stored rows, parts of questions and stored rows (about)."""
 
     centroids: np.ndarray
     region: np.ndarray
@@ -103,6 +103,7 @@ class Layout:
     n_blocks: np.ndarray
     n_parts: np.ndarray
     probes: int
+    held: np.ndarray
 
     @property
     def tasks(self) -> int:
@@ -141,7 +142,7 @@ def plan(sample: np.ndarray, rows: int, cell: int = CELL, probes: int | None = N
     scale = rows / max(1, min(len(sample), SAMPLE))
     n_blocks, n_parts = (np.maximum(1, np.ceil(x * scale / most)).astype(np.int64) for x, most in ((held, block), (asked, asks)))
     tasks = n_blocks * n_parts
-    return Layout(centroids, region, np.cumsum(tasks) - tasks, n_blocks, n_parts, probes)
+    return Layout(centroids, region, np.cumsum(tasks) - tasks, n_blocks, n_parts, probes, held * scale)
 
 
 def _deal(shared, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -391,6 +392,39 @@ def sample_units(vectors: DataFrame, id_: str, vector: str, most: int, dim: int,
     return np.frombuffer(b"".join(found), np.float32).reshape(-1, dim)
 
 
+def layout_of(
+    vectors: DataFrame, *, id_: str = "vec_id", vector: str = "embedding", dim: int = 64, cell: int = CELL, probes: int | None = None, block: int = BLOCK, asks: int = ASKS
+) -> Layout | None:
+    """The layout for these vectors, none without usable ones."""
+    n = vectors.filter(F.size(vector) == dim).count()
+    cells = max(1, round(n / cell))
+    sample = sample_units(vectors, id_, vector, min(SAMPLE_MOST, max(SAMPLE, SAMPLE_PER_CELL * cells)), dim, n)
+    return plan(sample, n, cell, probes, block, asks) if len(sample) else None
+
+
+def _homes(shared, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layout, first, sizes = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 8192):
+                batch = whole.slice(at, 8192)
+                rows, x = unit_rows(batch.column(1), dim)
+                ids = batch.column(0).take(pa.array(rows))
+                region = layout.region[_nearest_cells(x, layout.centroids, 1)[:, 0]] if len(rows) else np.zeros(0, np.int64)
+                part = first[region] + (ids.to_numpy() * 2654435761 >> 7 & 0x7FFFFFFF) % sizes[region]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(part.astype(np.int32))], ["node", "part"])
+
+    return run
+
+
+def homes(vectors: DataFrame, layout: Layout, most: int, *, id_: str = "vec_id", vector: str = "embedding", dim: int = 64) -> tuple[DataFrame, int]:
+    """``node, part`` of the usable vectors and the number of parts: those of a region in parts of about ``most``."""
+    sizes = np.maximum(1, np.ceil(layout.held / most)).astype(np.int64)
+    shared = vectors.sparkSession.sparkContext.broadcast((layout, np.cumsum(sizes) - sizes, sizes))
+    rows = vectors.select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("v"))
+    return rows.mapInArrow(_homes(shared, dim), "node long, part int"), int(sizes.sum())
+
+
 def nearest(
     vectors: DataFrame,
     *,
@@ -402,23 +436,25 @@ def nearest(
     probes: int | None = None,
     block: int = BLOCK,
     asks: int = ASKS,
+    layout: Layout | None = None,
+    least: float | None = None,
 ) -> DataFrame:
     """``id, other, cosine, rank``: the k most similar others of every usable vector, equal cosines by the lesser id.
 
     Unusable vectors (null, of other sizes, all zero, not finite) have no row and are nobody's neighbour. ``id`` must be
-    unique. With k or fewer other vectors there are as many rows as others.
+    unique. With k or fewer other vectors there are as many rows as others. ``layout`` is made if not given; neighbours
+    below ``least`` are left out.
     """
     rows = vectors.select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("v"))
-    n = rows.filter(F.size("v") == dim).count()
-    cells = max(1, round(n / cell))
-    sample = sample_units(vectors, id_, vector, min(SAMPLE_MOST, max(SAMPLE, SAMPLE_PER_CELL * cells)), dim, n)
-    if not len(sample):
+    layout = layout or layout_of(vectors, id_=id_, vector=vector, dim=dim, cell=cell, probes=probes, block=block, asks=asks)
+    if layout is None:
         return rows.select("id", F.col("id").alias("other"), F.lit(0.0).alias("cosine"), F.lit(0).alias("rank")).limit(0)
-    layout = plan(sample, n, cell, probes, block, asks)
     shared = vectors.sparkSession.sparkContext.broadcast(layout)
     dealt = rows.mapInArrow(_deal(shared, dim), "task int, kind byte, id long, cells array<int>, vector binary")
     placed = dealt.repartitionById(layout.tasks, F.col("task")).sortWithinPartitions("task", "kind")
     found = placed.mapInArrow(_tiles(k, dim), "id long, other long, cosine double")
+    if least is not None:
+        found = found.filter(F.col("cosine") >= least)
     by = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 
