@@ -42,6 +42,8 @@ LEAST_TIE = 0.05
 LEAST_COSINE = 0.53
 #: The least cosine of the mean directions of parts of one cluster.
 SAME = 0.8
+#: Cosines between mean directions that the driver holds at once, about.
+COSINES = 1 << 20
 #: The fewest members, as any two or three vectors that are far apart lie near enough to their own mean.
 LEAST_MEMBERS = 5
 COLUMN = "col long, rows array<long>, p array<double>, chaos double"
@@ -395,10 +397,19 @@ def _assign(shared, dim: int, least: float) -> Callable[[Iterator[pa.RecordBatch
 
 
 def _merged(means: np.ndarray, least: float) -> np.ndarray:
-    """A number for each mean direction; those that are as near as that, directly or by way of others, share one."""
-    near = [np.nonzero(means[i : i + 1024] @ means.T >= least) for i in range(0, len(means), 1024)]
-    a = np.concatenate([x + 1024 * i for i, (x, _) in enumerate(near)])
-    return np.unique(least_labels(len(means), a, np.concatenate([y for _, y in near])), return_inverse=True)[1]
+    """A number for each mean direction; those that are as near as that, directly or by way of others, share one.
+
+    About ``COSINES`` cosines are held at once: parts of a large cluster are near each other in all pairs.
+    """
+    n = len(means)
+    label, rows = np.arange(n), max(1, COSINES // max(1, n))
+    for low in range(0, n, rows):
+        a, b = np.nonzero(means[low : low + rows] @ means[low:].T >= least)
+        a, b = label[a + low], label[b + low]
+        apart = a != b
+        if apart.any():
+            label = least_labels(n, a[apart], b[apart])[label]
+    return np.unique(label, return_inverse=True)[1]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
